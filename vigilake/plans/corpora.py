@@ -156,12 +156,49 @@ PYTHON_EXPECTED = [
     ("src/sql_{key}.py", "sql-string-concat", 4, 4, "    db.execute('select %s' % n)", ""),
     ("api/routes_{key}.py", "route-no-auth", 5, 0, "def list_items():", "list_items"),
     ("api/routes_{key}.py", "route-no-auth", 25, 0, "async def patch_z(*, u=Depends(f)):", "patch_z"),
-    ("src/naïve_{key}.py", "eval-usage", 1, 12, "é = 'ß'; eval(é)", ""),
+    ("src/naïve_{key}.py", "eval-usage", 1, 11, "é = 'ß'; eval(é)", ""),
     ("src/naïve_{key}.py", "eval-usage", 2, 16, "x = '😀'; y = eval('{key}')", ""),
     ("src/naïve_{key}.py", "eval-usage", 3, 6, "Ｅ = ｅval('1')", ""),
     ("build_{key}.py", "eval-usage", 1, 0, "eval(x)", ""),
 ]
 
+# Calls of interest in the Python layouts: (path, callee, bare name, receiver, first argument, operator, shell=True)
+PYTHON_CALLS = [
+    ("src/calc_{key}.py", "eval", True, None, "Name", None, 0),
+    ("src/calc_{key}.py", "eval", False, "s", "Constant", None, 0),
+    ("src/dyn_{key}.py", "exec", True, None, "Name", None, 0),
+    ("src/dyn_{key}.py", "exec", False, "session", "Name", None, 0),
+    ("src/sys_{key}.py", "system", False, "os", "Constant", None, 0),
+    ("src/sys_{key}.py", "system", False, "platform", None, None, 0),
+    ("src/sys_{key}.py", "system", False, None, "Constant", None, 0),
+    ("src/proc_{key}.py", "run", False, "subprocess", "Constant", None, 1),
+    ("src/proc_{key}.py", "run", False, "subprocess", "List", None, 0),
+    ("src/proc_{key}.py", "Popen", True, None, "Constant", None, 1),
+    ("src/proc_{key}.py", "call", False, "sh", "Constant", None, 0),
+    ("src/sql_{key}.py", "execute", False, "db", "JoinedStr", None, 0),
+    ("src/sql_{key}.py", "execute", False, "db", "BinOp", "Add", 0),
+    ("src/sql_{key}.py", "execute", False, "db", "BinOp", "Mod", 0),
+    ("src/sql_{key}.py", "execute", False, "db", "Call", None, 0),
+    ("src/naïve_{key}.py", "eval", True, None, "Name", None, 0),
+    ("src/naïve_{key}.py", "eval", True, None, "Constant", None, 0),
+    ("src/naïve_{key}.py", "eval", True, None, "Constant", None, 0),
+    ("build_{key}.py", "eval", True, None, "Name", None, 0),
+]
+# Decorated functions: (path, line, column, name, decorators, parameters, annotations, default calls, dependencies=)
+PYTHON_ROUTES = [
+    ("api/routes_{key}.py", 5, 0, "list_items", "get", "", "", "", False),
+    ("api/routes_{key}.py", 9, 0, "login_user", "post", "", "", "", False),
+    ("api/routes_{key}.py", 13, 0, "me", "get", "user", "", "Depends", False),
+    ("api/routes_{key}.py", 17, 0, "put_x", "put", "", "", "", True),
+    ("api/routes_{key}.py", 21, 0, "drop", "delete", "current_user", "User", "", False),
+    ("api/routes_{key}.py", 25, 0, "patch_z", "patch", "u", "", "", False),
+    ("api/open_{key}.py", 5, 0, "page", "route", "", "", "", False),
+]
+PYTHON_IMPORTS = [
+    ("src/sys_{key}.py", "os"), ("src/proc_{key}.py", "subprocess"), ("api/routes_{key}.py", "APIRouter"),
+    ("api/routes_{key}.py", "Depends"), ("api/open_{key}.py", "Flask"),
+]
+
 LINE_PREFIX = {"hash": "# ", "slash": "// ", "raw": ""}
 
 # One entry per manifest layout of a project: (path, content); '{key}' is the part key

@@ -551,20 +551,20 @@ def _(spark, sf):
 @query("py_calls")
 def _(spark, sf):
     ready = prepare(corpora.code_files(spark, sf))
-    return pf.py_calls(pf.python_facts(ready)).groupBy("callee", "is_bare", "receiver", "arg0_kind", "arg0_op", "shell_true_kw").agg(
+    return pf.py_calls(pf.python_facts(ready, every_file=True)).groupBy("callee", "is_bare", "receiver", "arg0_kind", "arg0_op", "shell_true_kw").agg(
         F.count(F.lit(1)).alias("n"))
 
 
 @query("py_routes")
 def _(spark, sf):
-    routes = pf.py_routes(pf.python_facts(prepare(corpora.code_files(spark, sf))))
+    routes = pf.py_routes(pf.python_facts(prepare(corpora.code_files(spark, sf)), every_file=True))
     lists = ["decorators", "param_names", "annotation_names", "default_calls"]
     return routes.select("repo", "path", "line", "col", "func", *[F.array_join(c, ",").alias(c) for c in lists], "has_dependencies_kw")
 
 
 @query("py_imports")
 def _(spark, sf):
-    return pf.py_imports(pf.python_facts(prepare(corpora.code_files(spark, sf)))).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    return pf.py_imports(pf.python_facts(prepare(corpora.code_files(spark, sf)), every_file=True)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- streams ---------------------------------------------------------------------------------------------
