@@ -49,12 +49,10 @@ def category_recall(judged: DataFrame) -> DataFrame:
 
 
 def alarming_findings(labels: DataFrame, findings: DataFrame, floor: str = fv.NOISE_FLOOR) -> DataFrame:
-    """Per clean file, its findings at or above the floor (bounded by the file)."""
+    """Findings at or above the floor on files labelled clean, one row each.
+
+    Many files may share a name, so the list of a name is left as rows.
+    """
     clean = labels.filter(F.col("kind") == "clean").select("name", "category")
     loud = findings.filter(F.col("rank") >= fv.SEVERITY_RANK[floor])
-    entry = F.struct("line", "rule_ord", "column", F.concat_ws(
-        "/", "check_name", "severity", F.col("line").cast("string")).alias("text"))
-    listed = loud.groupBy("name").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    return clean.join(listed, "name", "left").select(
-        "name", "category", F.when(F.col("e").isNull(), 0).otherwise(F.size("e")).alias("n_alarming"),
-        F.coalesce(F.array_join("e.text", ", "), F.lit("")).alias("alarming"))
+    return loud.join(clean, "name").select("name", "category", "repo", "path", "check_name", "severity", "line", "column")

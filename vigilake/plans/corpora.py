@@ -308,7 +308,7 @@ EVENT_SNIPPETS = {
     "error": "stacktrace: true\n// eval(a)\n",
 }
 # event times are divided by this, so that changes of one file fall within one second of each other
-TIME_COMPRESSION = 20_000
+TIME_COMPRESSION = 100_000
 
 
 def change_path() -> F.Column:

@@ -507,9 +507,8 @@ r AS (SELECT *, CASE WHEN n_vulnerable > 0 THEN detected / n_vulnerable ELSE 0 E
 SELECT round(rc, 3) AS recall, round(fr, 3) AS fp_rate, round(pr, 3) AS precision,
     round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END, 3) AS f1, detected, n_vulnerable, fp_files, n_clean FROM r""")
 oracle("category_recall", f"{TEXT_FOUND}, {JUDGED} SELECT category, count(*) FILTER (hit) AS hits, count(*) AS total FROM judged WHERE kind = 'vulnerable' GROUP BY category")
-oracle("alarming_list", f"""{TEXT_FOUND}, {JUDGED} SELECT t.name, t.category, count(f.name)::INTEGER AS n_alarming,
-    coalesce(string_agg(f.check_name || '/' || f.severity || '/' || f.line, ', ' ORDER BY f.line, f.rule_ord, f."column"), '') AS alarming
-FROM truth t LEFT JOIN (SELECT * FROM found WHERE rank >= 2) f ON f.name = t.name WHERE t.kind = 'clean' GROUP BY t.name, t.category""")
+oracle("alarming_list", f"""{TEXT_FOUND}, {JUDGED} SELECT t.name, t.category, f.repo, f.path, f.check_name, f.severity, f.line, f."column"
+FROM truth t JOIN found f ON f.name = t.name WHERE t.kind = 'clean' AND f.rank >= 2""")
 oracle("repo_severity_pivot", f"""{TEXT_FOUND} SELECT repo, {', '.join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in fv.SEVERITY_RANK)}, count(*) AS total
 FROM found GROUP BY ROLLUP (repo)""")
 oracle("before_after", f"""{TEXT_FOUND}, {text_ctes('info', 'after', _custom_rules('card-like-number'))},
@@ -553,18 +552,18 @@ _CONTENT = "CASE event_type " + " ".join(
     f"WHEN {q(k)} THEN {q(v)} || '// ' || event_id" for k, v in corpora.EVENT_SNIPPETS.items()) + " END"
 CHANGES = f"""changes AS MATERIALIZED (SELECT 'live' AS repo, 'src/file_' || user_id || '.js' AS path, event_id,
     1704067200000000 + floor((epoch_us(ts) - 1704067200000000) / {corpora.TIME_COMPRESSION})::BIGINT AS "at", {_CONTENT} AS content FROM events),
-moved AS MATERIALIZED (SELECT repo, path, "at", min(event_id) AS event_id FROM changes GROUP BY repo, path, "at")"""
-oracle("change_detect", f'WITH {CHANGES} SELECT repo, path, event_id, "at" FROM moved')
+moved AS MATERIALIZED (SELECT repo, path, "at" // 500000 + 1 AS poll, arg_max(event_id, ("at", event_id)) AS event_id, max("at") AS "at"
+    FROM changes GROUP BY ALL)"""
+oracle("change_detect", f'WITH {CHANGES} SELECT repo, path, event_id, poll, "at" FROM moved')
 oracle("debounce", f"""WITH RECURSIVE {CHANGES},
 scans AS (
-    SELECT repo, path, min("at") AS s FROM moved GROUP BY repo, path
+    SELECT repo, path, min(poll) AS s FROM moved GROUP BY repo, path
     UNION ALL
-    SELECT repo, path, nxt FROM (
-        SELECT c.repo, c.path, CASE WHEN count(*) FILTER (m."at" < c.s + 1000000) > 0 THEN c.s + 1000000 ELSE min(m."at") END AS nxt
-        FROM scans c JOIN moved m ON m.repo = c.repo AND m.path = c.path AND m."at" > c.s GROUP BY c.repo, c.path, c.s))
-SELECT c.repo, c.path, arg_max(m.event_id, m."at") AS event_id, c.s AS "at",
-    CASE WHEN max(m."at") = c.s THEN 'leading' ELSE 'trailing' END AS edge
-FROM scans c JOIN moved m ON m.repo = c.repo AND m.path = c.path AND m."at" <= c.s GROUP BY c.repo, c.path, c.s""")
+    SELECT c.repo, c.path, CASE WHEN min(m.poll) <= c.s + 2 THEN c.s + 2 ELSE min(m.poll) END
+    FROM scans c JOIN moved m ON m.repo = c.repo AND m.path = c.path AND m.poll > c.s GROUP BY c.repo, c.path, c.s)
+SELECT c.repo, c.path, arg_max(m.event_id, m.poll) AS event_id, c.s AS poll,
+    CASE WHEN max(m.poll) = c.s THEN 'leading' ELSE 'trailing' END AS edge
+FROM scans c JOIN moved m ON m.repo = c.repo AND m.path = c.path AND m.poll <= c.s GROUP BY c.repo, c.path, c.s""")
 _stream_rules = [r for r in builtin_line_rules() if fv.SEVERITY_RANK[r.severity] >= 2 and "dotenv" not in r.languages]
 STREAM = f"""WITH {CHANGES}, changed AS (SELECT repo || '@' || event_id AS repo, path, split_part(path, '/', -1) AS name, 'javascript' AS language, content FROM changes),
 {lines_of('changed', 'changed_lines')},

@@ -16,7 +16,7 @@ from vigilake.operators import explain, exports, files as fo, git, python_facts
 from vigilake.operators.line_rules import builtin_line_rules, comment_test
 from vigilake.plans import corpora
 from vigilake.plans.scan import prepare, scan, sort_findings
-from vigilake.session import configure
+from vigilake.session import configure, materialize
 from vigilake.streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,10 +131,12 @@ def _(spark, sf):
 def _(spark, sf):
     """Catalogue with the number of files of the corpus that each rule set applies to."""
     custom = corpora.text_rules()
+    # one row per language and a total, which is what "*" stands for
     languages = prepare(corpora.text_files(spark, sf)).groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    counts = languages.rollup("language").agg(F.sum("n").alias("n")).select(F.coalesce("language", F.lit("*")).alias("lang"), "n")
     cat = cr.catalog(spark, custom).select("is_custom", "ord", "name", "severity", F.explode("languages").alias("lang"))
-    hits = F.broadcast(cat).join(languages, (F.col("lang") == F.col("language")) | (F.col("lang") == "*"), "left")
-    return hits.groupBy("is_custom", "ord", "name", "severity").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
+    return cat.join(counts, "lang", "left").groupBy("is_custom", "ord", "name", "severity").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 @query("ignore_pattern_scan")
@@ -155,13 +157,13 @@ def _(spark, sf):
 @query("findings_json_sink")
 def _(spark, sf):
     files = corpora.text_files(spark, sf)
-    found = text_findings(spark, sf)
+    found = materialize(text_findings(spark, sf))
     return exports.json_document(found, results.severity_summary(found, prepare(files)))
 
 
 @query("sarif_sink")
 def _(spark, sf):
-    return exports.sarif_document(text_findings(spark, sf), corpora.text_files(spark, sf))
+    return exports.sarif_document(materialize(text_findings(spark, sf)), corpora.text_files(spark, sf))
 
 
 @query("fix_prompt_sink")
@@ -289,14 +291,15 @@ def _(spark, sf):
 
 @query("baseline_filter")
 def _(spark, sf):
-    known = bl.baseline_rows(text_findings(spark, sf, min_severity="medium"))
-    return bl.filter_baseline(text_findings(spark, sf), known).select("repo", "path", "line", "column", "check_name", "fingerprint")
+    found = materialize(text_findings(spark, sf))
+    known = bl.baseline_rows(results.at_least(found, "medium"))
+    return bl.filter_baseline(found, known).select("repo", "path", "line", "column", "check_name", "fingerprint")
 
 
 @query("except_baseline")
 def _(spark, sf):
-    known = bl.baseline_rows(text_findings(spark, sf, min_severity="medium"))
-    return bl.removed_by_baseline(text_findings(spark, sf), known)
+    found = materialize(text_findings(spark, sf))
+    return bl.removed_by_baseline(found, bl.baseline_rows(results.at_least(found, "medium")))
 
 
 @query("distinct_fingerprints")
@@ -376,7 +379,7 @@ def _(spark, sf):
 
 @query("reviewed_json_sink")
 def _(spark, sf):
-    found = reviewed(spark, sf)
+    found = materialize(reviewed(spark, sf))
     summary = results.severity_summary(found, prepare(corpora.text_files(spark, sf)))
     return exports.json_document(found, summary, review.verdict_stats(found))
 

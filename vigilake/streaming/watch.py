@@ -1,10 +1,10 @@
 """Continuous scanning: change detection, throttling, and scans of streams of file changes.
 
-A change is a row (repo, path, mtime, event_id, content).  State is kept per file in the
-checkpointed state store: the newest modification time, the time of the last scan and at most
-one postponed change.  All rows of one file in one micro-batch meet in one group, so the size
-of a trigger (``maxFilesPerTrigger`` of the source) is what bounds it; between triggers only
-the state remains.
+A change is a row (repo, path, mtime, event_id, content).  A watcher that polls sees at most
+one change per file and poll, the newest.  So changes are first reduced to (file, poll) by a
+windowed aggregation, which combines before it shuffles: however often one file changes, two
+rows per second of it remain.  Only those reach the keyed state of the throttle, which holds
+the time of the last scan and at most one postponed change per file.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from vigilake.plans.scan import scan
 from vigilake.session import shared_folder
 
 WATERMARK = "10 seconds"
-INTERVAL_US = int(fv.WATCH_INTERVAL_SECONDS * 1_000_000)
+POLL_US = 500_000
+POLLS_PER_SCAN = int(fv.WATCH_INTERVAL_SECONDS * 1_000_000) // POLL_US
 END = "end of input"
 
 
@@ -36,79 +37,82 @@ def watchable(changes: DataFrame) -> DataFrame:
     return changes.filter(paths.suffix(name).isin(fv.WATCHED_SUFFIXES) & paths.default_keep(F.col("path"), name))
 
 
-def _keyed(changes: DataFrame) -> DataFrame:
-    return changes.select("repo", "path", "event_id", F.unix_micros("mtime").alias("at"), "mtime").withWatermark("mtime", WATERMARK)
+def change_detect(changes: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """(repo, path, poll, event_id, at, seen_at): the newest change of each file and poll.
 
-
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int]]:
-    """(time, event) of one file, by time; equal times by event."""
-    rows = pd.concat([b[["at", "event_id"]] for b in batches], ignore_index=True)
-    return zip(*(rows.sort_values(["at", "event_id"])[c].tolist() for c in ("at", "event_id")))
-
-
-def _detect(key, batches, state: GroupState):
-    seen = state.get[0] if state.exists else None
-    out = []
-    for at, event in _ordered(batches):
-        if seen is None or at > seen:
-            seen = at
-            out.append((*key, event, at))
-    state.update((seen,))
-    yield pd.DataFrame(out, columns=["repo", "path", "event_id", "at"])
-
-
-def change_detect(changes: DataFrame) -> DataFrame:
-    """Changes whose modification time is newer than any seen of that file."""
-    return _keyed(watchable(changes)).groupBy("repo", "path").applyInPandasWithState(
-        _detect, "repo string, path string, event_id long, at long", "seen long", "append", GroupStateTimeout.NoTimeout)
-
-
-def throttle_step(seen, last, pending, at, event):
-    """One change of a file: the new state and the scans (time, event, edge) it causes.
-
-    The first change is scanned at once.  A change within a second of the last scan is
-    postponed; at the end of that second the newest postponed change is scanned.
+    ``poll`` numbers the polls; a change is seen by the first poll after it.  ``snapshot``
+    (repo, path, mtime) holds the files as they were at the start: only newer changes count.
+    Changes later than the watermark are dropped.
+    """
+    if snapshot is not None:
+        before = snapshot.select("repo", "path", F.col("mtime").alias("known"))
+        changes = changes.join(before, ["repo", "path"], "left").filter("known is null or mtime > known").drop("known")
+    newest = F.max(F.struct(F.unix_micros("mtime").alias("at"), "event_id")).alias("newest")
+    return (
+        changes.withWatermark("mtime", WATERMARK)
+        .groupBy("repo", "path", F.window("mtime", f"{POLL_US // 1000} milliseconds").alias("w"))
+        .agg(newest)
+        .select(
+            "repo", "path", (F.unix_micros("w.end") / POLL_US).cast("long").alias("poll"),
+            "newest.event_id", "newest.at", F.window_time("w").alias("seen_at"))
+    )
+
+
+def throttle_step(last, pending, poll, event):
+    """One seen change of a file: the new state and the scans (poll, event, edge) it causes.
+
+    The first change is scanned at once.  A change seen less than a second after the last scan
+    is postponed; when that second is over the newest postponed change is scanned.
     """
     scans = []
-    if seen is not None and at <= seen:
-        return seen, last, pending, scans
-    if pending is not None and at > last + INTERVAL_US:
-        last += INTERVAL_US
+    if pending is not None and poll > last + POLLS_PER_SCAN:
+        last += POLLS_PER_SCAN
         scans.append((last, pending, "trailing"))
         pending = None
-    if last is None or at - last >= INTERVAL_US:
-        scans.append((at, event, "leading"))
-        last, pending = at, None
+    if last is None or poll - last >= POLLS_PER_SCAN:
+        scans.append((poll, event, "leading"))
+        last, pending = poll, None
     else:
         pending = event
-    return at, last, pending, scans
+    return last, pending, scans
 
 
-def _throttle(key, batches, state: GroupState):
-    seen, last, pending = state.get if state.exists else (None, None, None)
+def _throttle(key, batches: Iterator[pd.DataFrame], state: GroupState):
+    if key[0] == END:
+        return
+    last, pending = state.get if state.exists else (None, None)
     scans = []
     if state.hasTimedOut:
-        scans.append((last + INTERVAL_US, pending, "trailing"))
-        last, pending = last + INTERVAL_US, None
-    elif key[0] != END:
-        for at, event in _ordered(batches):
-            seen, last, pending, new = throttle_step(seen, last, pending, at, event)
+        last += POLLS_PER_SCAN
+        scans.append((last, pending, "trailing"))
+        pending = None
+    else:
+        rows = pd.concat([b[["poll", "event_id"]] for b in batches], ignore_index=True).sort_values("poll")
+        for poll, event in zip(rows["poll"].tolist(), rows["event_id"].tolist()):
+            last, pending, new = throttle_step(last, pending, poll, event)
             scans += new
-        due_ms = (last + INTERVAL_US) // 1000 + 1 if pending is not None else None
-        if due_ms is not None and due_ms <= state.getCurrentWatermarkMs():
-            scans.append((last + INTERVAL_US, pending, "trailing"))
-            last, pending, due_ms = last + INTERVAL_US, None, None
-        if due_ms is not None:
-            state.setTimeoutTimestamp(due_ms)
-    state.update((seen, last, pending))
-    yield pd.DataFrame([(*key, e, t, edge) for t, e, edge in scans], columns=["repo", "path", "event_id", "at", "edge"])
-
-
-def debounce(changes: DataFrame) -> DataFrame:
-    """Scans to run: at most one per second and file, the newest content never lost."""
-    return _keyed(changes).groupBy("repo", "path").applyInPandasWithState(
-        _throttle, "repo string, path string, event_id long, at long, edge string",
-        "seen long, last long, pending long", "append", GroupStateTimeout.EventTimeTimeout)
+        if pending is not None:
+            due_ms = (last + POLLS_PER_SCAN) * POLL_US // 1000 + 1
+            if due_ms <= state.getCurrentWatermarkMs():
+                last += POLLS_PER_SCAN
+                scans.append((last, pending, "trailing"))
+                pending = None
+            else:
+                state.setTimeoutTimestamp(due_ms)
+    state.update((last, pending))
+    yield pd.DataFrame([(*key, e, t, edge) for t, e, edge in scans], columns=["repo", "path", "event_id", "poll", "edge"])
+
+
+def debounce(seen: DataFrame) -> DataFrame:
+    """Scans to run: at most one per second and file, the newest content never lost.
+
+    ``seen`` is the stream of a table that ``change_detect`` writes; Spark does not chain this
+    operator behind an aggregation in one query.
+    """
+    rows = seen.select("repo", "path", "poll", "event_id", "seen_at").withWatermark("seen_at", WATERMARK)
+    return rows.groupBy("repo", "path").applyInPandasWithState(
+        _throttle, "repo string, path string, event_id long, poll long, edge string", "last long, pending long",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scan_changes(changes: DataFrame, min_severity: str = fv.WATCH_MIN_SEVERITY, **options) -> DataFrame:
@@ -161,27 +165,37 @@ def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable |
     return result.drop("batch")
 
 
-def replay_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(change_detect(event_stream(spark, sf_dir)), spark, shared_folder(spark))
-
-
-def _end_stream(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.readStream.schema("repo string, path string, event_id long, mtime timestamp").parquet(folder)
-
+def _replay_to_end(stream: DataFrame, spark: SparkSession, operator: Callable[[DataFrame], DataFrame]) -> str:
+    """Drains the stream, then sends an end marker that moves the watermark past the last window and timer.
 
-def replay_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drains the events, then sends an end marker that moves the watermark past the last timer."""
+    Returns the folder of the results.
+    """
     folder = shared_folder(spark)
     ends = f"{folder}/ends"
-    marker = spark.range(1).select(
-        F.lit(END).alias("repo"), F.lit("").alias("path"), F.lit(-1).cast("long").alias("event_id"),
-        F.lit("2100-01-01").cast("timestamp").alias("mtime"))
+    values = {"string": F.lit(END), "bigint": F.lit(-1).cast("long"), "timestamp": F.lit("2100-01-01").cast("timestamp")}
+    marker = spark.range(1).select(*[values[t].alias(c) for c, t in stream.dtypes])
     marker.limit(0).write.parquet(ends)
-    changes = watchable(event_stream(spark, sf_dir)).select("repo", "path", "event_id", "mtime")
-    scans = debounce(changes.unionByName(_end_stream(spark, ends)))
-    drain(scans, spark, folder)
+    result = operator(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)))
+    drain(result, spark, folder)
     marker.write.mode("append").parquet(ends)
-    return drain(scans, spark, folder)
+    drain(result, spark, folder)
+    return f"{folder}/out"
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> str:
+    changes = watchable(event_stream(spark, sf_dir)).select("repo", "path", "event_id", "mtime")
+    return _replay_to_end(changes, spark, change_detect)
+
+
+def replay_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = spark.read.parquet(_seen(spark, sf_dir))
+    return seen.filter(F.col("repo") != END).select("repo", "path", "event_id", "poll", "at")
+
+
+def replay_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _seen(spark, sf_dir)
+    seen = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    return spark.read.parquet(_replay_to_end(seen, spark, debounce))
 
 
 def replay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,10 +209,9 @@ def replay_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream of findings without those that a baseline of high findings knows."""
+    """The stream of findings without those that a saved baseline of high findings knows."""
+    folder = shared_folder(spark)
     changes = corpora.change_events(corpora.table(spark, sf_dir, "events"))
-    known = bl.baseline_rows(scan_changes(changes, min_severity="high"))
-    fresh = bl.filter_baseline(scan_changes(event_stream(spark, sf_dir)), known)
-    return drain(fresh, spark, shared_folder(spark)).select("repo", "path", "event_id", "check_name", "line", "fingerprint")
-
-
+    bl.save_baseline(scan_changes(changes, min_severity="high"), f"{folder}/baseline")
+    fresh = bl.filter_baseline(scan_changes(event_stream(spark, sf_dir)), bl.load_baseline(spark, f"{folder}/baseline"))
+    return drain(fresh, spark, folder).select("repo", "path", "event_id", "check_name", "line", "fingerprint")
