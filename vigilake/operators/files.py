@@ -13,9 +13,15 @@ IGNORE_FILE = ".scanignore"
 
 
 def classify(files: DataFrame) -> DataFrame:
-    """Adds ``name`` and ``language``; reads the path only."""
+    """Adds ``name`` and ``language``; reads the path only.
+
+    A stored ``language`` is kept: filters on it then prune partitions.
+    """
     name = paths.basename(F.col("path"))
-    return files.withColumns({"name": name, "language": paths.language(name)})
+    added = {"name": name}
+    if "language" not in files.columns:
+        added["language"] = paths.language(name)
+    return files.withColumns(added)
 
 
 def readable(files: DataFrame, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:

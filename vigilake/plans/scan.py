@@ -17,6 +17,7 @@ from vigilake.operators import files as file_ops
 from vigilake.operators.git import env_gitignore_findings
 from vigilake.operators.line_rules import builtin_line_rules, text_findings
 from vigilake.operators.python_facts import fact_findings, python_facts
+from vigilake.sources.tables import CONTROL
 
 
 def prepare(
@@ -66,7 +67,8 @@ def scan(
         parts.append(fact_findings(python_facts(ready, max_chars=max_chars), fact_rules))
     if git_rules and git_lookup:
         envs = ready.filter((F.col("name") == ".env") & (F.length("content") <= max_chars))
-        found = env_gitignore_findings(files, git_roots, envs)
+        control = files.filter(F.col("language") == CONTROL) if "language" in files.columns else files
+        found = env_gitignore_findings(control, git_roots, envs)
         parts.append(found.filter(F.col("check_name").isin(git_rules)))
     if not parts:
         return files.sparkSession.createDataFrame([], "repo string").select(
