@@ -4,7 +4,7 @@ A change is a row (repo, path, mtime, event_id, content).  A watcher that polls
 one change per file and poll, the newest.  So changes are first reduced to (file, poll) by a
 windowed aggregation, which combines before it shuffles: however often one file changes, two
 rows per second of it remain.  Only those reach the keyed state of the throttle, which holds
-the time of the last scan and at most one postponed change per file.
+the time of the last scan, at most one postponed change and the polls that wait for the watermark.
 """
 
 from __future__ import annotations
@@ -37,19 +37,19 @@ def watchable(changes: DataFrame) -> DataFrame:
     return changes.filter(paths.suffix(name).isin(fv.WATCHED_SUFFIXES) & paths.default_keep(F.col("path"), name))
 
 
-def change_detect(changes: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+def change_detect(changes: DataFrame, snapshot: DataFrame | None = None, delay: str = WATERMARK) -> DataFrame:
     """(repo, path, poll, event_id, at, seen_at): the newest change of each file and poll.
 
     ``poll`` numbers the polls; a change is seen by the first poll after it.  ``snapshot``
     (repo, path, mtime) holds the files as they were at the start: only newer changes count.
-    Changes later than the watermark are dropped.
+    Changes that arrive more than ``delay`` out of order are dropped.
     """
     if snapshot is not None:
         before = snapshot.select("repo", "path", F.col("mtime").alias("known"))
         changes = changes.join(before, ["repo", "path"], "left").filter("known is null or mtime > known").drop("known")
     newest = F.max(F.struct(F.unix_micros("mtime").alias("at"), "event_id")).alias("newest")
     return (
-        changes.withWatermark("mtime", WATERMARK)
+        changes.withWatermark("mtime", delay)
         .groupBy("repo", "path", F.window("mtime", f"{POLL_US // 1000} milliseconds").alias("w"))
         .agg(newest)
         .select(
@@ -77,42 +77,48 @@ def throttle_step(last, pending, poll, event):
     return last, pending, scans
 
 
+def _poll_ms(poll: int) -> int:
+    return poll * POLL_US // 1000
+
+
 def _throttle(key, batches: Iterator[pd.DataFrame], state: GroupState):
+    """Waits for the watermark before it looks at a poll, so the order of arrival does not matter.
+
+    What waits in the state spans the watermark's delay: about twenty polls.
+    """
     if key[0] == END:
         return
-    last, pending = state.get if state.exists else (None, None)
-    scans = []
-    if state.hasTimedOut:
+    last, pending, polls, events = state.get if state.exists else (None, None, [], [])
+    waiting = dict(zip(polls, events))
+    if not state.hasTimedOut:
+        for b in batches:
+            waiting.update(zip(b["poll"].tolist(), b["event_id"].tolist()))
+    now, scans = state.getCurrentWatermarkMs(), []
+    for poll in sorted(p for p in waiting if _poll_ms(p) <= now):
+        last, pending, new = throttle_step(last, pending, poll, waiting.pop(poll))
+        scans += new
+    if pending is not None and _poll_ms(last + POLLS_PER_SCAN) <= now:
         last += POLLS_PER_SCAN
         scans.append((last, pending, "trailing"))
         pending = None
-    else:
-        rows = pd.concat([b[["poll", "event_id"]] for b in batches], ignore_index=True).sort_values("poll")
-        for poll, event in zip(rows["poll"].tolist(), rows["event_id"].tolist()):
-            last, pending, new = throttle_step(last, pending, poll, event)
-            scans += new
-        if pending is not None:
-            due_ms = (last + POLLS_PER_SCAN) * POLL_US // 1000 + 1
-            if due_ms <= state.getCurrentWatermarkMs():
-                last += POLLS_PER_SCAN
-                scans.append((last, pending, "trailing"))
-                pending = None
-            else:
-                state.setTimeoutTimestamp(due_ms)
-    state.update((last, pending))
+    due = [*waiting] + ([last + POLLS_PER_SCAN] if pending is not None else [])
+    if due:
+        state.setTimeoutTimestamp(_poll_ms(min(due)) + 1)
+    state.update((last, pending, list(waiting), list(waiting.values())))
     yield pd.DataFrame([(*key, e, t, edge) for t, e, edge in scans], columns=["repo", "path", "event_id", "poll", "edge"])
 
 
-def debounce(seen: DataFrame) -> DataFrame:
+def debounce(seen: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Scans to run: at most one per second and file, the newest content never lost.
 
     ``seen`` is the stream of a table that ``change_detect`` writes; Spark does not chain this
-    operator behind an aggregation in one query.
+    operator behind an aggregation in one query.  ``delay`` bounds how far out of order the
+    table may be read, and is also how long a scan waits.
     """
-    rows = seen.select("repo", "path", "poll", "event_id", "seen_at").withWatermark("seen_at", WATERMARK)
+    rows = seen.select("repo", "path", "poll", "event_id", "seen_at").withWatermark("seen_at", delay)
     return rows.groupBy("repo", "path").applyInPandasWithState(
-        _throttle, "repo string, path string, event_id long, poll long, edge string", "last long, pending long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+        _throttle, "repo string, path string, event_id long, poll long, edge string",
+        "last long, pending long, polls array<long>, events array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def scan_changes(changes: DataFrame, min_severity: str = fv.WATCH_MIN_SEVERITY, **options) -> DataFrame:
