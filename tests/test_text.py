@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigilake import fixed_values as fv
 from vigilake.functions import paths, text
-from vigilake.functions.anchors import anchor_pattern
+from vigilake.functions.anchors import anchor_pattern, required_literals
 
 ODD = ["", " a ", " x ", "\x1c\x1d a\x85", "\t　", "é😀 eval(1)", "a᠎b", "​z"]
 
@@ -67,7 +67,7 @@ def test_search_and_offset_like_python(spark, pattern):
 
 
 def test_suffix_like_pathlib(spark):
-    names = ["a.py", ".env", ".env.local", "a.", "a.b.c", "noext", ".a.b", "x.PY", "ü.js", "a b.ts"]
+    names = ["a.py", ".env", ".env.local", "a.", "a.b.c", "noext", ".a.b", "x.PY", "ü.js", "a b.ts", "a..", "..", "a..b", ".", "x.tar.gz"]
     for v, s in column(spark, names).select("v", paths.suffix(F.col("v"))).collect():
         assert s == PurePosixPath(v).suffix
 
@@ -85,8 +85,17 @@ def test_globs_like_fnmatch(spark):
         assert hit == fnmatch.fnmatchcase(v, g), (g, v)
 
 
+def test_skipped_names_like_fnmatch(spark):
+    values = ["a.pyc", "a.min.js", "min.js", ".map", "yarn.lock", "package-lock.json", "xpackage-lock.json", "a.js", "a.PYC", "lock", "a.lock"]
+    for v, hit in column(spark, values).select("v", paths.is_skipped_name(F.col("v"))).collect():
+        assert hit == any(fnmatch.fnmatchcase(v, g) for g in fv.SKIPPED_FILES), v
+    odd = ["a?c", "*.x*", "*.pyc", "plain", "[ab]z"]
+    for v, hit in column(spark, ["abc", "q.xy", "1.pyc", "plain", "az", "cz"]).select("v", paths.matches_any_glob(F.col("v"), odd)).collect():
+        assert hit == any(fnmatch.fnmatchcase(v, g) for g in odd), v
+
+
 def test_skipped_directories_like_fnmatch(spark):
-    values = ["a/b.py", "node_modules/x.js", "x/node_modules/y.js", "node_modules", "pkg.egg-info/x.py", "a/dist2/x.js", "env/x.py", "x/env"]
+    values = ["a/b.py", "node_modules/x.js", "x/node_modules/y.js", "node_modules", "pkg.egg-info/x.py", "a/dist2/x.js", "env/x.py", "x/env", ".egg-info/x", "a.egg-info", "x/y.egg-info/z/w", "xenv/a", "a/.git/b/c"]
     for v, hit in column(spark, values).select("v", paths.in_skipped_dir(F.col("v"))).collect():
         want = any(fnmatch.fnmatchcase(p, d) for p in v.split("/")[:-1] for d in fv.SKIPPED_DIRS)
         assert hit == want, v
@@ -101,9 +110,29 @@ def test_anchor_pattern_finds_exactly_the_literals(spark):
     fold = str.maketrans("ſKıİ", "skii")
     pattern = anchor_pattern(words)
     for v, hit in column(spark, values).select("v", F.rlike("v", F.lit(pattern))).collect():
-        assert hit == any(w in v.translate(fold).lower() for w in words), v
+        want = any(w in v if w != w.lower() else w in v.translate(fold).lower() for w in words)
+        assert hit == want, v
 
 
 def test_long_blank_runs_are_linear(spark):
     line = " " * 300_000 + "x" + " " * 300_000
     assert column(spark, [line]).select(F.length(text.strip(F.col("v")))).first()[0] == 1
+
+
+def test_required_literals():
+    cases = {
+        r'\btoken\s*=\s*"[0-9a-f]{40}"': ("token",), r"[a-z]+@[a-z]+\.[a-z]{2,}": ("@",), r"(?i)\b(?:licen[cs]e|copyright)\b": ("copyright", "licen"),
+        r"(a|b)?x*": (), r"\.from\(.+\)\.(select|insert)\(": (".from(",), r"(\w)\1": (), r"(?:ab|c?)zq": ("zq",), r"(?!key)vw": ("vw",),
+        r"(?x) k e y # comment": ("key",), r"(?i)éx": ("x",), r"(?:\$q){2,}|[xy]": (), r"\b[0-9]+\.[0-9]+": (),
+    }
+    assert {p: required_literals(p) for p in cases} == cases
+
+
+def test_matches_contain_a_required_literal():
+    random.seed(9)
+    for pattern in [r"(?i)abc|de[fg]+h", r"x(?:yz|zy)+\d", r"q(?=u)[a-z]{2}", r"(?:(?:jk)|(?:vw)){1,2}"]:
+        words = required_literals(pattern)
+        for _ in range(3000):
+            v = "".join(random.choice("abcdefghjkquvwxyzABC1") for _ in range(6))
+            if re.search(pattern, v) and words:
+                assert any(w in v.lower() for w in words), (pattern, v)

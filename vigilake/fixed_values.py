@@ -84,7 +84,7 @@ class LineRule(NamedTuple):
     ``column_at`` is ``match`` (offset of the match), ``zero`` (not set) or a literal whose
     first position in the line is reported.  ``also`` is a second pattern that has to match
     on the same line, ``gate`` names a per-file condition of ``operators.file_gates``.
-    ``anchors`` are lower-case literals; every match contains at least one of them.
+    ``anchors`` are literals of which every match contains at least one (see ``functions.anchors``).
     """
 
     ord: int
@@ -169,12 +169,12 @@ CONFIG_RULES = [
              r"(?i)(?:cors|access.control.allow.origin)\s*[(:=]\s*['\"]?\*['\"]?",
              "CORS allows all origins — any website can make requests to your API",
              "Restrict CORS to specific trusted origins",
-             ("cors", "control")),
+             ("cors", "allow")),
     LineRule(403, "cors-credentials-wildcard", "config", "high", ANY, ALL_COMMENTS,
              r"(?i)allow_credentials\s*[=:]\s*True.*origin.*\*|origin.*\*.*allow_credentials\s*[=:]\s*True",
              "CORS with credentials and wildcard origin — browsers block this but it signals misconfiguration",
              "Never combine credentials: true with origin: *",
-             ("allow_credentials",)),
+             ("allow",)),
     LineRule(404, "insecure-cookie", "config", "medium", ANY, ALL_COMMENTS,
              r"(?i)(?:secure|httponly)\s*[=:]\s*(?:false|False)\b",
              "Cookie security flag disabled",
@@ -267,7 +267,7 @@ EXPRESS_AUTH_WORDS = ["authenticate", "auth", "verify", "protect", "requireAuth"
 SECRET_RULES = [
     LineRule(100, "aws-access-key", "secrets", "critical", ANY, NO_COMMENTS,
              r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-             "AWS access key detected", "Load the key from the environment and rotate it", ("akia", "asia")),
+             "AWS access key detected", "Load the key from the environment and rotate it", ("AKIA", "ASIA")),
     LineRule(101, "github-token", "secrets", "critical", ANY, NO_COMMENTS,
              r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})",
              "GitHub token detected", "Revoke the token and load it from the environment",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ def basename(path: Column) -> Column:
 
 def suffix(name: Column) -> Column:
     """Text from the last dot on; empty for a leading dot only or a trailing dot."""
-    return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
+    inner_dot = F.call_function("locate", F.lit("."), name, F.lit(2)) > 0
+    return F.when(
+        inner_dot & ~F.endswith(name, F.lit(".")), F.concat(F.lit("."), F.substring_index(name, ".", -1))
+    ).otherwise(F.lit(""))
 
 
 def is_env_name(name: Column) -> Column:
@@ -31,12 +36,33 @@ def language(name: Column) -> Column:
 
 def in_skipped_dir(path: Column) -> Column:
     """A parent directory of the path is on the skip list."""
-    parts = "|".join(_one_part(d) for d in fv.SKIPPED_DIRS)
-    return F.rlike(path, F.lit(f"(?s)(?:^|/)(?:{parts})/"))
+    parts = F.split(path, "/")
+    named = F.array(*[F.lit(d) for d in fv.SKIPPED_DIRS if _is_plain(d)])
+    globs = "|".join(_one_part(d) for d in fv.SKIPPED_DIRS if not _is_plain(d))
+    return F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), named) | F.rlike(path, F.lit(f"(?s)(?:^|/)(?:{globs})/"))
+
+
+def _is_plain(glob: str) -> bool:
+    return not any(ch in glob for ch in "*?[")
+
+
+def matches_any_glob(name: Column, globs: list[str]) -> Column:
+    """The name matches one of the globs; plain names and ``*tail`` need no regex."""
+    names = [g for g in globs if _is_plain(g)]
+    tails = [g[1:] for g in globs if g.startswith("*") and _is_plain(g[1:])]
+    last = [t for t in tails if t.startswith(".") and "." not in t[1:]]
+    other = [g for g in globs if g not in names and g[1:] not in tails]
+    tests = [name.isin(names)] if names else []
+    if last:
+        tests.append(F.contains(name, F.lit(".")) & F.concat(F.lit("."), F.substring_index(name, ".", -1)).isin(last))
+    tests += [F.endswith(name, F.lit(t)) for t in tails if t not in last]
+    if other:
+        tests.append(F.rlike(name, F.lit("|".join(f"(?:{glob_regex(g)})" for g in other))))
+    return reduce(Column.__or__, tests)
 
 
 def is_skipped_name(name: Column) -> Column:
-    return F.rlike(name, F.lit("|".join(glob_regex(g) for g in fv.SKIPPED_FILES)))
+    return matches_any_glob(name, fv.SKIPPED_FILES)
 
 
 def is_scannable_name(name: Column) -> Column:

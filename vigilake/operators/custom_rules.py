@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilake import fixed_values as fv
+from vigilake.functions.anchors import required_literals
 from vigilake.functions.text import java_pattern
 
 FIRST_CUSTOM_ORD = 1000
@@ -83,7 +84,7 @@ def compile_rules(rows: Iterable, family: str = "custom") -> list[fv.LineRule]:
     for i, r in enumerate(rows):
         out.append(fv.LineRule(
             FIRST_CUSTOM_ORD + i, r["id"], family, r["severity"].lower(), tuple(r["languages"] or ("*",)),
-            fv.ALL_COMMENTS, r["pattern"], r["message"], r["fix"] or "", ()))
+            fv.ALL_COMMENTS, r["pattern"], r["message"], r["fix"] or "", required_literals(r["pattern"])))
     return out
 
 

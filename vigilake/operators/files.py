@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vigilake import fixed_values as fv
 from vigilake.functions import paths, text
 from vigilake.model import broadcast_if_small
+from vigilake.session import materialize
 
 IGNORE_FILE = ".scanignore"
 
@@ -66,7 +67,8 @@ def ignore_filter(files: DataFrame, ignores: DataFrame | None = None, extra: lis
     per_repo = ignores.groupBy("repo").agg(
         F.array_join(F.sort_array(F.collect_set(
             F.concat(F.lit("(?:"), text.glob_regex_column(F.col("glob")), F.lit(")")))), "|").alias("_ignored"))
-    joined = kept.join(broadcast_if_small(per_repo), "repo", "left")
+    # stored once: its size is measured, and every pass of a scan reads it
+    joined = kept.join(broadcast_if_small(materialize(per_repo)), "repo", "left")
     hit = F.rlike(path, F.col("_ignored")) | F.rlike(name, F.col("_ignored"))
     return joined.filter(F.col("_ignored").isNull() | ~hit).drop("_ignored")
 

@@ -219,19 +219,30 @@ MANIFESTS: list[list[tuple[str, str]]] = [
 ]
 
 
-SPREAD_BY = {"documents": "doc_id", "pages": "page_id"}
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores where its files yield fewer partitions than that.
+def spread(df: DataFrame, name: str, splits: int) -> DataFrame:
+    """Rows spread over the cores where the files of a table yield fewer splits than that.
 
     Large tables arrive in many splits and are read as they are.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, SPREAD_BY[name]) if name in SPREAD_BY and splits < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_BY and df.rdd.getNumPartitions() < cores:
-        return df.repartition(2 * cores, SPREAD_BY[name])
-    return df
+    return spread(df, name, df.rdd.getNumPartitions()) if name in SPREAD_BY else df
+
+
+def derived(df: DataFrame, keep: list[str], **columns) -> DataFrame:
+    """Computed columns as the output of a generator.
+
+    Filters on them (the ignore rules alone are dozens of tests of the path) then see a plain
+    column; pushed below a projection they would compute it anew for every test.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def text_rules() -> list[fv.LineRule]:
@@ -244,8 +255,8 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.col("source"), F.lit("/"))
     path = F.when(ext == "env", F.concat(stem, F.lit(".env."), F.col("doc_id"))).otherwise(
         F.concat(stem, F.lit("doc_"), F.col("doc_id"), F.lit("."), ext))
-    return table(spark, sf_dir, "documents").select(
-        F.col("source").alias("repo"), path.alias("path"), F.col("text").alias("content"))
+    return derived(table(spark, sf_dir, "documents"), ["source", "text"], path=path).select(
+        F.col("source").alias("repo"), "path", F.col("text").alias("content"))
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,16 +272,15 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         appended = appended.when(
             F.col("append") == how, F.concat(F.lit(prefix), F.replace(body, F.lit("\n"), F.lit("\n" + prefix))))
     content = F.concat(F.replace("snippet", F.lit("{key}"), key), appended)
-    repo_path = F.concat(F.lit("d"), key, F.lit("/"))
     # the number of layouts is a constant of this module, so is the broadcast side
-    joined = docs.join(F.broadcast(layouts), "layout")
-    shared = F.col("path") == ".scanignore"
-    repo = F.when(F.col("layout") == _ignore_layout(), F.concat(F.col("source"), F.lit("_"), key)).otherwise(F.col("source"))
-    path = F.replace("path", F.lit("{key}"), key)
-    nested = F.when(F.col("path").startswith("dup/") | F.col("path").startswith("sec/conftest"), F.concat(repo_path, path))
-    return joined.select(
-        repo.alias("repo"), F.when(shared, F.col("path")).otherwise(F.coalesce(nested, path)).alias("path"),
-        content.alias("content"))
+    joined = docs.join(F.broadcast(layouts.withColumnRenamed("path", "lpath")), "layout")
+    own = F.col("layout") == _ignore_layout()
+    nested = F.startswith("lpath", F.lit("dup/")) | F.startswith("lpath", F.lit("sec/conftest"))
+    path = F.concat(F.when(nested, F.concat(F.lit("d"), key, F.lit("/"))).otherwise(""), F.replace("lpath", F.lit("{key}"), key))
+    files = derived(
+        joined, ["doc_id", "text", "snippet", "append"],
+        repo=F.when(own, F.concat(F.col("source"), F.lit("_"), key)).otherwise(F.col("source")), path=path)
+    return files.select("repo", "path", content.alias("content"))
 
 
 def _ignore_layout() -> int:
@@ -331,9 +341,8 @@ def change_content() -> F.Column:
 
 def change_events(events: DataFrame) -> DataFrame:
     """(repo, path, mtime, event_id, content) of events taken as file changes; batch or stream."""
-    return events.select(
-        F.lit("live").alias("repo"), change_path().alias("path"), change_time().alias("mtime"), "event_id",
-        change_content().alias("content"))
+    rows = derived(events, ["event_id", "event_type"], repo=F.lit("live"), path=change_path(), mtime=change_time())
+    return rows.select("repo", "path", "mtime", "event_id", change_content().alias("content"))
 
 
 def truth_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -513,7 +513,8 @@ def _(spark, sf):
 
 @query("sorted_findings")
 def _(spark, sf):
-    return sort_findings(code_scan(spark, sf))
+    # the sort samples its input first: without a stored copy the scan would run twice
+    return sort_findings(materialize(code_scan(spark, sf)))
 
 
 @query("union_checks")

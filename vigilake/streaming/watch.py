@@ -145,11 +145,11 @@ def top_findings(found: DataFrame, n: int = fv.WATCH_TOP) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 1000)
+        spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 1000)
         .parquet(sf_dir))
-    return corpora.change_events(events)
+    return corpora.change_events(corpora.spread(events, "events", table.rdd.getNumPartitions()))
 
 
 def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable | None = None) -> DataFrame:
