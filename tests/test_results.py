@@ -46,6 +46,13 @@ def test_baseline_header_counts_before_deduplication(some):
     assert rows(bl.baseline_header(some), "repo", "version", "count", "distinct_count") == [("a", 1, 4, 3), ("b", 1, 2, 1)]
 
 
+def test_baseline_document(some):
+    ordered = bl.baseline_document(some).filter("repo = 'a'").orderBy("section", "fingerprint").collect()
+    doc = json.loads("".join(r.text for r in ordered))
+    prints = sorted({r.fingerprint for r in bl.with_fingerprint(some.filter("repo = 'a'")).collect()})
+    assert doc == {"version": 1, "count": 4, "fingerprints": prints}
+
+
 def test_baseline_filter_removes_every_duplicate(some):
     known = bl.baseline_rows(some.filter("check_name = 'c1'"))
     assert rows(bl.filter_baseline(some, known), "repo", "check_name") == [("a", "c2"), ("a", "c3")]
@@ -61,6 +68,8 @@ def test_baseline_round_trip_and_missing(spark, some, tmp_path):
     doc = tmp_path / "b.json"
     doc.write_text(json.dumps({"repo": "b", "version": 1, "fingerprints": ["x", "x"]}))
     assert bl.load_baseline(spark, str(doc)).count() == 1
+    doc.write_text(json.dumps({"version": 1, "fingerprints": ["x"]}))
+    assert bl.load_baseline(spark, str(doc), "shop").first().repo == "shop"
     doc.write_text("{broken")
     assert bl.load_baseline(spark, str(doc)) is None
 

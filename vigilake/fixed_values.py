@@ -101,6 +101,8 @@ class LineRule(NamedTuple):
     also: str | None = None
     unless: str | None = None
     gate: str | None = None
+    # a pattern that matches the same lines in linear time, where ``pattern`` may backtrack
+    linear: str | None = None
 
 
 JS = ("javascript", "typescript")
@@ -174,7 +176,9 @@ CONFIG_RULES = [
              r"(?i)allow_credentials\s*[=:]\s*True.*origin.*\*|origin.*\*.*allow_credentials\s*[=:]\s*True",
              "CORS with credentials and wildcard origin — browsers block this but it signals misconfiguration",
              "Never combine credentials: true with origin: *",
-             ("allow",)),
+             ("allow",),
+             linear=r"(?i)^(?>.*?allow_credentials\s*[=:]\s*True)(?>.*?origin).*?\*"
+                    r"|^(?>.*?origin)(?>.*?\*).*?allow_credentials\s*[=:]\s*True"),
     LineRule(404, "insecure-cookie", "config", "medium", ANY, ALL_COMMENTS,
              r"(?i)(?:secure|httponly)\s*[=:]\s*(?:false|False)\b",
              "Cookie security flag disabled",

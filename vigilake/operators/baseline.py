@@ -41,10 +41,27 @@ def save_baseline(findings: DataFrame, path: str) -> None:
     baseline_rows(findings).write.mode("overwrite").parquet(path)
 
 
-def load_baseline(spark, path: str) -> DataFrame | None:
+def baseline_document(findings: DataFrame) -> DataFrame:
+    """Rows (repo, section, fingerprint, text) of a JSON document per repository, in document order.
+
+    ``{"version": 1, "count": n, "fingerprints": [...]}`` with the count before de-duplication.
+    """
+    counted = with_fingerprint(findings).groupBy("repo", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    heads = counted.groupBy("repo").agg(F.sum("n").alias("n"), F.min("fingerprint").alias("first"))
+    quoted = F.regexp_extract(F.to_json(F.struct(F.col("fingerprint").alias("f"))), r"(?s)^\{\"f\":(.*)\}$", 1)
+    comma = F.when(F.col("fingerprint") == F.col("first"), F.lit("")).otherwise(F.lit(","))
+    items = counted.join(heads.select("repo", "first"), "repo").select(
+        "repo", F.lit(1).alias("section"), "fingerprint", F.concat(comma, quoted).alias("text"))
+    head = F.concat(F.lit('{"version":1,"count":'), F.col("n").cast("string"), F.lit(',"fingerprints":['))
+    edge = lambda n, text: heads.select("repo", F.lit(n).alias("section"), F.lit("").alias("fingerprint"), text.alias("text"))
+    return edge(0, head).unionByName(items).unionByName(edge(2, F.lit("]}")))
+
+
+def load_baseline(spark, path: str, repo: str | None = None) -> DataFrame | None:
     """Saved fingerprints, or None (not an empty set) where there is no readable baseline.
 
-    ``path`` is a table written by ``save_baseline`` or a JSON document with ``fingerprints``.
+    ``path`` is a table written by ``save_baseline`` or a JSON document with ``fingerprints``;
+    ``repo`` names the repository of a document that does not.
     """
     from pyspark.errors import AnalysisException
 
@@ -54,7 +71,7 @@ def load_baseline(spark, path: str) -> DataFrame | None:
             kept = doc.filter("fingerprints is not null")
             if kept.isEmpty():
                 return None
-            return kept.select("repo", F.explode("fingerprints").alias("fingerprint")).distinct()
+            return kept.select(F.coalesce("repo", F.lit(repo)).alias("repo"), F.explode("fingerprints").alias("fingerprint")).distinct()
         return spark.read.parquet(path).select("repo", "fingerprint")
     except AnalysisException:
         return None

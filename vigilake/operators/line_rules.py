@@ -69,7 +69,7 @@ def rule_condition(rule: fv.LineRule) -> str:
         terms.append(f"gates.{rule.gate}")
     if rule.comments:
         terms.append("not " + comment_test("stripped", rule.comments))
-    terms.append(text.sql_matches("text", rule.pattern))
+    terms.append(text.sql_matches("text", rule.linear or rule.pattern))
     if rule.also:
         terms.append(text.sql_matches("text", rule.also))
     if rule.unless:

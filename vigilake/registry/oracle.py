@@ -309,6 +309,12 @@ oracle("baseline_sink", f"""{TEXT_FOUND} SELECT repo, 1 AS version, count(*) AS
 FROM (SELECT repo, {PRINT} FROM found) GROUP BY repo""")
 oracle("baseline_scan", f"{TEXT_FOUND} SELECT DISTINCT repo, {PRINT} FROM found")
 
+oracle("baseline_document", f"""{TEXT_FOUND}, printed AS (SELECT repo, {PRINT} FROM found)
+SELECT repo, 0 AS section, '' AS fingerprint, '{{"version":1,"count":' || count(*) || ',"fingerprints":[' AS text FROM printed GROUP BY repo
+UNION ALL SELECT repo, 1, fingerprint, CASE WHEN row_number() OVER (PARTITION BY repo ORDER BY fingerprint) = 1 THEN '' ELSE ',' END || to_json(fingerprint)
+    FROM (SELECT DISTINCT * FROM printed)
+UNION ALL SELECT DISTINCT repo, 2, '', ']}}' FROM printed""")
+
 SUMMARY = """summary AS (
     SELECT f.repo, files_scanned, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium,
            coalesce(low, 0) AS low, coalesce(total, 0) AS total
@@ -536,6 +542,8 @@ _FAMILY_IDS = {
     "rules_js_injection": [r.rule_id for r in fv.INJECTION_JS_RULES],
     "route_no_auth": ["route-no-auth"], "express_no_middleware": ["express-no-middleware"],
 }
+for _r in all_rules():
+    _FAMILY_IDS.setdefault(_r.rule_id.replace("-", "_"), [_r.rule_id])
 for _k, _ids in _FAMILY_IDS.items():
     oracle(_k, f"{code_findings(_ids)} SELECT {COLS} FROM found")
 

@@ -154,6 +154,11 @@ def _(spark, sf):
     return bl.baseline_rows(text_findings(spark, sf))
 
 
+@query("baseline_document")
+def _(spark, sf):
+    return bl.baseline_document(text_findings(spark, sf))
+
+
 @query("findings_json_sink")
 def _(spark, sf):
     files = corpora.text_files(spark, sf)
@@ -539,6 +544,12 @@ _family("route_no_auth", ["route-no-auth"])
 _family("express_no_middleware", [fv.EXPRESS_RULE.rule_id])
 
 
+for _rule in all_rules():
+    _name = _rule.rule_id.replace("-", "_")
+    if _name not in QUERIES:
+        _family(_name, [_rule.rule_id])
+
+
 @query("rules_custom")
 def _(spark, sf):
     return text_findings(spark, sf)

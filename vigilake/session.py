@@ -11,8 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # whole files travel to Python in small batches: at the size cap a batch stays below 256 MB
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # whole files travel to Python: batches are bounded by bytes, not by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     "spark.sql.files.maxPartitionBytes": "64m",
 }
 

@@ -30,6 +30,15 @@ def _documents(path: str) -> list:
     return [d for d in yaml.safe_load_all(text) if d is not None]
 
 
+def _listed(doc):
+    """``languages: python`` means a list of one."""
+    if isinstance(doc, list):
+        return [_listed(d) for d in doc]
+    if isinstance(doc, dict) and isinstance(doc.get("languages"), str):
+        return {**doc, "languages": [doc["languages"]]}
+    return doc
+
+
 def read_rule_packs(spark: SparkSession, root: str, folder: str = RULES_DIR) -> DataFrame:
     """(source, ord, doc) rows for ``custom_rules.parse_docs``, in file-name order.
 
@@ -48,5 +57,5 @@ def read_rule_packs(spark: SparkSession, root: str, folder: str = RULES_DIR) ->
                 raise
             print(f"skipped {path}: {e}")
             continue
-        rows += [(os.path.basename(path), i, json.dumps(d)) for i, d in enumerate(docs) if isinstance(d, (dict, list))]
+        rows += [(os.path.basename(path), i, json.dumps(_listed(d))) for i, d in enumerate(docs) if isinstance(d, (dict, list))]
     return spark.createDataFrame(rows, PACK)

@@ -159,6 +159,7 @@ def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable |
     repeated after a failure replaces its own output.
     """
     out = f"{folder}/out"
+    schema = stream.schema if each is None else each(spark.createDataFrame([], stream.schema)).schema
     if each is None:
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
@@ -167,8 +168,10 @@ def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable |
 
         writer = stream.writeStream.foreachBatch(write)
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    result = spark.read.parquet(out)
-    return result.drop("batch")
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
 
 
 def _replay_to_end(stream: DataFrame, spark: SparkSession, operator: Callable[[DataFrame], DataFrame]) -> str:
