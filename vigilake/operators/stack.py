@@ -16,11 +16,11 @@ def _signals() -> list[tuple[str, str, str]]:
     out = [(f"path = {sql_string(p)}", fw, cat) for p, fw, cat in fv.STACK_FILES]
     node = f"path = '{NODE_MANIFEST}'"
     out.append((node, *fv.STACK_NODE))
-    out += [(f"{node} and array_contains(json_object_keys(manifest.{section}), {sql_string(dep)})", fw, cat)
+    out += [(f"{node} and array_contains({section}, {sql_string(dep)})", fw, cat)
             for section, dep, fw, cat in fv.STACK_NODE_DEPS]
     for m in PYTHON_MANIFESTS:
         out.append((f"path = '{m}'", *fv.STACK_PYTHON))
-        out += [(f"path = '{m}' and contains(lower(content), {sql_string(dep)})", fw, cat) for dep, fw, cat in fv.STACK_PYTHON_DEPS]
+        out += [(f"path = '{m}' and contains(lowered, {sql_string(dep)})", fw, cat) for dep, fw, cat in fv.STACK_PYTHON_DEPS]
     return out
 
 
@@ -34,7 +34,10 @@ def detect_stack(files: DataFrame) -> DataFrame:
     cases = [f"case when {c} then named_struct('ord', {i}, 'framework', {sql_string(fw)}, 'category', {sql_string(cat)}) end"
              for i, (c, fw, cat) in enumerate(signals)]
     manifest = F.when(F.col("path") == NODE_MANIFEST, F.from_json("content", "dependencies string, devDependencies string"))
-    hits = files.filter(F.col("path").isin(paths)).withColumn("manifest", manifest).select(
+    read = files.filter(F.col("path").isin(paths)).withColumn("manifest", manifest).select(
+        "repo", "path", F.lower("content").alias("lowered"),
+        *[F.json_object_keys(f"manifest.{s}").alias(s) for s in ("dependencies", "devDependencies")])
+    hits = read.select(
         "repo", F.expr(f"inline(array_compact(array({', '.join(cases)})))"))
     return hits.groupBy("repo", "framework").agg(F.min("ord").alias("ord"), F.min_by("category", "ord").alias("category"))
 

@@ -219,7 +219,7 @@ MANIFESTS: list[list[tuple[str, str]]] = [
 ]
 
 
-SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id"}
+SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "part": "p_partkey"}
 
 
 def spread(df: DataFrame, name: str, splits: int) -> DataFrame:
