@@ -137,7 +137,8 @@ INJECTION_JS_RULES = [
              r"\bres\.redirect\s*\(\s*[^)]*\breq\.",
              "Redirect target comes from the request — open redirect risk",
              "Validate the target against an allowlist, or use a relative path",
-             ("res.redirect",)),
+             ("res.redirect",),
+             linear=r"(?:^|\))(?>[^)]*?\bres\.redirect\s*\()[^)]*?\breq\."),
     LineRule(214, "nosql-injection", "injection", "high", JS, SLASH_COMMENTS,
              r"\$where\b",
              "NoSQL injection: MongoDB $where built from interpolated input",
