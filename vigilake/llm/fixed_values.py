@@ -1,0 +1,150 @@
+"""Word lists and rule tables. Data only."""
+
+from __future__ import annotations
+
+# FIXED VALUES: phrases every license scan reports, with their labels
+BASE_PHRASES = [
+    ("gnu general public license", "gpl"),
+    ("apache license", "apache"),
+    ("cc by", "cc-by"),
+    ("mit license", "mit"),
+]
+
+# FIXED VALUES: (label, keyword, name as regex over words, identifier as regex over words).
+# One blank stands for the gap between two words.
+LICENSES = [
+    ("mit", "mit", "mit license", "mit"),
+    ("mit-0", "mit", "mit no attribution license", "mit 0"),
+    ("isc", "isc", "isc license", "isc"),
+    ("bsd", "bsd", "bsd( style)? license", "bsd"),
+    ("bsd-2-clause", "bsd", "(simplified bsd license|freebsd license|bsd 2 clause( simplified)? license)", "bsd 2 clause"),
+    ("bsd-3-clause", "bsd", "((new|modified|revised) bsd license|bsd 3 clause( new| revised)? license)", "bsd 3 clause"),
+    ("bsd-4-clause", "bsd", "(original bsd license|bsd 4 clause license)", "bsd 4 clause"),
+    ("0bsd", "bsd", "zero clause bsd license", "0bsd"),
+    ("apache-1.1", "apache", "apache( software)? license( version)? 1 1", "apache 1 1"),
+    ("apache-2.0", "apache", "apache license( version| v)? (2|2 0|v2|v2 0)", "apache 2 0"),
+    ("apache", "apache", "apache( software)? license", "apache"),
+    ("gpl-1.0", "gnu", "gnu general public license( version)? (1|1 0|v1)", "gpl 1 0( only| or later)?"),
+    ("gpl-2.0", "gnu", "gnu general public license( version)? (2|2 0|v2)", "gpl 2 0( only)?"),
+    ("gpl-2.0-or-later", "gnu", "gnu general public license( version)? (2|2 0|v2) or( at your option)?( any)? later( version)?", "gpl 2 0 or later"),
+    ("gpl-3.0", "gnu", "gnu general public license( version)? (3|3 0|v3)", "gpl 3 0( only)?"),
+    ("gpl-3.0-or-later", "gnu", "gnu general public license( version)? (3|3 0|v3) or( at your option)?( any)? later( version)?", "gpl 3 0 or later"),
+    ("gpl", "gnu", "gnu general public license", "gpl"),
+    ("lgpl-2.0", "gnu", "gnu library general public license( version)? (2|2 0|v2)", "lgpl 2 0( only| or later)?"),
+    ("lgpl-2.1", "gnu", "gnu lesser general public license( version)? (2 1|v2 1)", "lgpl 2 1( only| or later)?"),
+    ("lgpl-3.0", "gnu", "gnu lesser general public license( version)? (3|3 0|v3)", "lgpl 3 0( only| or later)?"),
+    ("lgpl", "gnu", "gnu (lesser|library) general public license", "lgpl"),
+    ("agpl-3.0", "gnu", "gnu affero general public license( version)? (3|3 0|v3)", "agpl 3 0( only| or later)?"),
+    ("agpl", "affero", "(gnu )?affero general public license", "agpl"),
+    ("gfdl-1.3", "gnu", "gnu free documentation license( version)? 1 3", "gfdl 1 3( only| or later)?"),
+    ("gfdl", "gnu", "gnu free documentation license", "gfdl"),
+    ("mpl-1.1", "mozilla", "mozilla public license( version)? 1 1", "mpl 1 1"),
+    ("mpl-2.0", "mozilla", "mozilla public license( version| v)? (2|2 0)", "mpl 2 0"),
+    ("mpl", "mozilla", "mozilla public license", "mpl"),
+    ("epl-1.0", "eclipse", "eclipse public license( version| v)? (1|1 0)", "epl 1 0"),
+    ("epl-2.0", "eclipse", "eclipse public license( version| v)? (2|2 0)", "epl 2 0"),
+    ("epl", "eclipse", "eclipse public license", "epl"),
+    ("cddl-1.0", "development", "common development and distribution license( version)? 1 0", "cddl 1 0"),
+    ("cddl-1.1", "development", "common development and distribution license( version)? 1 1", "cddl 1 1"),
+    ("cpl-1.0", "common", "common public license( version)? 1 0", "cpl 1 0"),
+    ("eupl-1.1", "european", "european union public licen[cs]e( version)? 1 1", "eupl 1 1"),
+    ("eupl-1.2", "european", "european union public licen[cs]e( version)? 1 2", "eupl 1 2"),
+    ("cecill-2.1", "cecill", "cecill( free software)? license( agreement)?( version)? 2 1", "cecill 2 1"),
+    ("artistic-1.0", "artistic", "artistic license( version)? (1|1 0)", "artistic 1 0"),
+    ("artistic-2.0", "artistic", "artistic license( version)? (2|2 0)", "artistic 2 0"),
+    ("bsl-1.0", "boost", "boost software license( version)? 1 0", "bsl 1 0"),
+    ("bsl-1.1", "business", "business source license( version)? 1 1", "busl 1 1"),
+    ("unlicense", "unlicense", "the unlicense", "unlicense"),
+    ("wtfpl", "public", "do what the fuck you want to public license", "wtfpl"),
+    ("zlib", "zlib", "zlib license", "zlib"),
+    ("libpng-2.0", "libpng", "(png reference library|libpng) license( version 2)?", "libpng 2 0"),
+    ("openssl", "openssl", "openssl license", "openssl"),
+    ("python-2.0", "python", "python( software foundation)? license( version 2)?", "python 2 0"),
+    ("psf-2.0", "psf", "psf license( agreement)?", "psf 2 0"),
+    ("php-3.01", "php", "php license( version)? 3 01", "php 3 01"),
+    ("ruby", "ruby", "ruby license", "ruby"),
+    ("postgresql", "postgresql", "postgresql license", "postgresql"),
+    ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
+    ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
+    ("ofl-1.1", "sil", "sil open font license( version)? 1 1", "ofl 1 1"),
+    ("ofl", "sil", "sil open font license", "ofl"),
+    ("odbl-1.0", "open", "open( data commons open)? database license( v1 0| version 1 0)?", "odbl 1 0"),
+    ("odc-by-1.0", "open", "open data commons attribution license( v1 0| version 1 0)?", "odc by 1 0"),
+    ("pddl-1.0", "public", "public domain dedication and license( v1 0| version 1 0)?", "pddl 1 0"),
+    ("cdla-permissive-2.0", "community", "community data license agreement permissive( version)? 2 0", "cdla permissive 2 0"),
+    ("cdla-sharing-1.0", "community", "community data license agreement sharing( version)? 1 0", "cdla sharing 1 0"),
+    ("cc0-1.0", "cc0", "(creative commons )?(cc0|zero)( 1 0)?( universal)?", "cc0 1 0"),
+    ("cc-by-2.0", "by", "cc by 2 0", "cc by 2 0"),
+    ("cc-by-3.0", "by", "cc by 3 0", "cc by 3 0"),
+    ("cc-by-4.0", "by", "cc by 4 0", "cc by 4 0"),
+    ("cc-by", "creative", "creative commons attribution( license)?( 2 0| 3 0| 4 0)?( international)?", "cc by"),
+    ("cc-by-sa-3.0", "by", "cc by sa 3 0", "cc by sa 3 0"),
+    ("cc-by-sa-4.0", "by", "cc by sa 4 0", "cc by sa 4 0"),
+    ("cc-by-sa", "creative", "creative commons attribution share ?alike( license)?( 2 0| 3 0| 4 0)?( international)?", "cc by sa"),
+    ("cc-by-nc-4.0", "by", "cc by nc 4 0", "cc by nc 4 0"),
+    ("cc-by-nc", "creative", "creative commons attribution non ?commercial( license)?( 2 0| 3 0| 4 0)?( international)?", "cc by nc"),
+    ("cc-by-nc-sa-4.0", "by", "cc by nc sa 4 0", "cc by nc sa 4 0"),
+    ("cc-by-nc-nd-4.0", "by", "cc by nc nd 4 0", "cc by nc nd 4 0"),
+    ("cc-by-nd-4.0", "by", "cc by nd 4 0", "cc by nd 4 0"),
+    ("cc-by-nd", "creative", "creative commons attribution no ?derivatives( license)?( 2 0| 3 0| 4 0)?( international)?", "cc by nd"),
+    ("ncsa", "illinois", "university of illinois ncsa open source license", "ncsa"),
+    ("vim", "vim", "vim license", "vim"),
+    ("x11", "x11", "x11 license", "x11"),
+    ("curl", "curl", "curl license", "curl"),
+    ("sspl-1.0", "server", "server side public license( version)? (1|1 0|v1)?", "sspl 1 0"),
+    ("elastic-2.0", "elastic", "elastic license( version)? (2|2 0|v2)", "elastic 2 0"),
+    ("osl-3.0", "open", "open software license( version)? 3 0", "osl 3 0"),
+    ("afl-3.0", "academic", "academic free license( version)? 3 0", "afl 3 0"),
+    ("upl-1.0", "universal", "universal permissive license( version)? 1 0", "upl 1 0"),
+    ("ecl-2.0", "educational", "educational community license( version)? 2 0", "ecl 2 0"),
+    ("openrail-m", "responsible", "(creativeml )?open ?rail m|responsible ai license", "openrail m"),
+]
+
+# FIXED VALUES: (label, keyword, regex over words) of addresses and headers that name a license
+LICENSE_MARKS = [
+    ("mit", "opensource", "opensource org licenses mit"),
+    ("apache-2.0", "apache", "apache org licenses license 2 0"),
+    ("gpl", "gnu", "gnu org licenses( gpl)?"),
+    ("lgpl", "gnu", "gnu org licenses lgpl( 2 1| 3 0)?"),
+    ("mpl-2.0", "mozilla", "mozilla org mpl 2 0"),
+    ("epl-2.0", "eclipse", "eclipse org legal epl( v20| 2 0)"),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa-4.0", "creativecommons", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc-4.0", "creativecommons", "creativecommons org licenses by nc 4 0"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
+    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
+    ("public-domain", "domain", "(released into|dedicated to|in) the public domain"),
+    ("proprietary", "rights", "all rights reserved"),
+    ("proprietary", "confidential", "proprietary and confidential"),
+]
+
+# FIXED VALUES: (kind, pattern, flags, capture group whose length counts, least length)
+SECRETS = [
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "i", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", "", 0, 20),
+    ("hex", r"[0-9a-f]+", "", 0, 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]+", "", 0, 40),
+    ("google", r"AIza[0-9A-Za-z_-]+", "", 0, 39),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]+", "", 0, 15),
+    ("stripe", r"[rs]k_live_[0-9A-Za-z]+", "", 0, 28),
+    ("npm", r"npm_[A-Za-z0-9]+", "", 0, 40),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "", 0, 40),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "", 0, 20),
+    ("bearer", r"bearer\x20+([A-Za-z0-9._~+/-]+)", "i", 1, 20),
+    ("webhook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", "", 0, 40),
+]
+
+# FIXED VALUES: groups of terms that name people; a counterfactual text has one member for another
+IDENTITY_GROUPS = [
+    ["man", "woman"], ["men", "women"], ["boy", "girl"], ["male", "female"], ["he", "she"], ["father", "mother"],
+    ["son", "daughter"], ["husband", "wife"],
+    ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist", "sikh"],
+    ["christians", "muslims", "jews", "hindus", "buddhists", "atheists", "sikhs"],
+    ["black", "white", "asian", "latino", "indigenous"],
+    ["gay", "straight", "lesbian", "bisexual", "queer", "heterosexual"],
+    ["transgender", "cisgender"], ["disabled", "blind", "deaf"], ["young", "old", "elderly"],
+    ["american", "mexican", "chinese", "indian", "african", "european", "arab"],
+]
