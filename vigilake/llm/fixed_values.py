@@ -17,7 +17,8 @@ LICENSES = [
     ("mit-0", "mit", "mit no attribution license", "mit 0"),
     ("isc", "isc", "isc license", "isc"),
     ("bsd", "bsd", "bsd( style)? license", "bsd"),
-    ("bsd-2-clause", "bsd", "(simplified bsd license|freebsd license|bsd 2 clause( simplified)? license)", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(simplified bsd license|bsd 2 clause( simplified)? license)", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd", "freebsd license", "bsd 2 clause freebsd"),
     ("bsd-3-clause", "bsd", "((new|modified|revised) bsd license|bsd 3 clause( new| revised)? license)", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(original bsd license|bsd 4 clause license)", "bsd 4 clause"),
     ("0bsd", "bsd", "zero clause bsd license", "0bsd"),
@@ -57,7 +58,8 @@ LICENSES = [
     ("unlicense", "unlicense", "the unlicense", "unlicense"),
     ("wtfpl", "public", "do what the fuck you want to public license", "wtfpl"),
     ("zlib", "zlib", "zlib license", "zlib"),
-    ("libpng-2.0", "libpng", "(png reference library|libpng) license( version 2)?", "libpng 2 0"),
+    ("libpng-2.0", "libpng", "libpng license( version 2)?", "libpng 2 0"),
+    ("libpng-2.0", "png", "png reference library license( version 2)?", "libpng"),
     ("openssl", "openssl", "openssl license", "openssl"),
     ("python-2.0", "python", "python( software foundation)? license( version 2)?", "python 2 0"),
     ("psf-2.0", "psf", "psf license( agreement)?", "psf 2 0"),
@@ -73,7 +75,8 @@ LICENSES = [
     ("pddl-1.0", "public", "public domain dedication and license( v1 0| version 1 0)?", "pddl 1 0"),
     ("cdla-permissive-2.0", "community", "community data license agreement permissive( version)? 2 0", "cdla permissive 2 0"),
     ("cdla-sharing-1.0", "community", "community data license agreement sharing( version)? 1 0", "cdla sharing 1 0"),
-    ("cc0-1.0", "cc0", "(creative commons )?(cc0|zero)( 1 0)?( universal)?", "cc0 1 0"),
+    ("cc0-1.0", "cc0", "cc0( 1 0)?( universal)?", "cc0 1 0"),
+    ("cc0-1.0", "creative", "creative commons zero( 1 0)?( universal)?", "cc0"),
     ("cc-by-2.0", "by", "cc by 2 0", "cc by 2 0"),
     ("cc-by-3.0", "by", "cc by 3 0", "cc by 3 0"),
     ("cc-by-4.0", "by", "cc by 4 0", "cc by 4 0"),
@@ -91,13 +94,14 @@ LICENSES = [
     ("vim", "vim", "vim license", "vim"),
     ("x11", "x11", "x11 license", "x11"),
     ("curl", "curl", "curl license", "curl"),
-    ("sspl-1.0", "server", "server side public license( version)? (1|1 0|v1)?", "sspl 1 0"),
+    ("sspl-1.0", "server", "server side public license(( version)? (1|1 0|v1))?", "sspl 1 0"),
     ("elastic-2.0", "elastic", "elastic license( version)? (2|2 0|v2)", "elastic 2 0"),
     ("osl-3.0", "open", "open software license( version)? 3 0", "osl 3 0"),
     ("afl-3.0", "academic", "academic free license( version)? 3 0", "afl 3 0"),
     ("upl-1.0", "universal", "universal permissive license( version)? 1 0", "upl 1 0"),
     ("ecl-2.0", "educational", "educational community license( version)? 2 0", "ecl 2 0"),
-    ("openrail-m", "responsible", "(creativeml )?open ?rail m|responsible ai license", "openrail m"),
+    ("openrail-m", "openrail", "(creativeml )?openrail m", "openrail m"),
+    ("openrail-m", "responsible", "responsible ai license", "openrail"),
 ]
 
 # FIXED VALUES: (label, keyword, regex over words) of addresses and headers that name a license

@@ -27,7 +27,7 @@ from vigilake.llm.fixed_values import BASE_PHRASES, LICENSE_MARKS, LICENSES
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: every signature holds one of these
-GATE = rf"(?i)licen[cs]e|spdx|creative|domain|rights|confidential|permission|redistribution|rail|cc0|zero|cc{GAP}+by"
+GATE = rf"(?i)licen[cs]e|spdx|creative|domain|rights|confidential|permission|redistribution|openrail|cc0|mozilla|eclipse|cc{GAP}+by"
 
 
 @dataclass(frozen=True)

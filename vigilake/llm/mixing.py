@@ -92,10 +92,14 @@ def plan(keyed: DataFrame, m: Mixture) -> DataFrame:
     return goals.join(broadcast_if_small(cut), group, "left").drop("left")
 
 
+def _partly() -> Column:
+    """Words taken in the last, cut epoch."""
+    return F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(
+        F.col("key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(F.lit(0)).cast("long")
+
+
 def _taken() -> Column:
-    inside = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(
-        F.col("key") == F.col("cut_key"), F.least("size", "cut_words")).otherwise(F.lit(0))
-    return F.col("epochs") * F.col("size") + inside
+    return F.col("epochs") * F.col("size") + _partly()
 
 
 def mixture_report(docs: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -114,27 +118,22 @@ def mix(docs: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text_co
     """
     keyed = keep(_keyed(docs, m, id_col, text_col, source_col))
     goals = keep(plan(keyed, m))
-    names = {f"_m_{c}": F.col(c) for c in goals.columns if c not in ("nul", "src")}
-    goals = goals.select(F.col("nul").alias("_m_nul"), F.col("src").alias("_m_src"), *[c.alias(n) for n, c in names.items()])
     source, text = F.col(source_col), text_of(text_col)
-    rows = docs.join(
-        broadcast_if_small(goals),
-        (source.isNull() == F.col("_m_nul")) & (F.coalesce(source.cast("string"), F.lit("")) == F.col("_m_src")))
-    rows = rows.withColumns({"_m_size": word_count(text), "_m_key": F.unhex(random_key(F.col(id_col), m.seed))})
-    part = F.when(F.col("_m_key") < F.col("_m_cut_key"), F.col("_m_size")).when(
-        F.col("_m_key") == F.col("_m_cut_key"), F.least("_m_size", "_m_cut_words")).otherwise(F.lit(0))
-    rows = rows.withColumn("_m_part", part)
-    words = F.expr("cast(_m_epochs as bigint)")
+    # the row travels as one struct, so that no column of it can clash with those of the plan
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.isNull().alias("nul"),
+        F.coalesce(source.cast("string"), F.lit("")).alias("src"), text.alias("text"), word_count(text).alias("size"),
+        F.unhex(random_key(F.col(id_col), m.seed)).alias("key"))
+    rows = rows.join(broadcast_if_small(goals), ["nul", "src"])
     copies = F.concat(
-        F.when(F.col("_m_size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_repeat(F.col("_m_size"), words.cast("int"))),
-        F.when(F.col("_m_part") > 0, F.array(F.col("_m_part"))).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_m_take", F.explode(copies))
+        F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_repeat(F.col("size"), F.col("epochs").cast("int"))),
+        F.when(_partly() > 0, F.array(_partly())).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("take", F.explode(copies)).withColumn("whole", F.col("take") >= F.col("size"))
     # pieces end where a word ends, so the first n of them are the first n words as they stand
-    pieces = F.split(text, f"(?<={NOT_SPACES})(?={SPACES})", -1)
-    cut = F.array_join(F.slice(pieces, 1, F.col("_m_take").cast("int")), "")
-    whole = F.col("_m_take") >= F.col("_m_size")
-    changed = {text_col: F.when(whole, F.col(text_col)).otherwise(cut)}
-    out = rows.withColumns(changed)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+    pieces = F.split("text", f"(?<={NOT_SPACES})(?={SPACES})", -1)
+    cut = F.array_join(F.slice(pieces, 1, F.col("take").cast("int")), "")
+    kept = {c: F.col("row").getField(c) for c in docs.columns}
+    kept[text_col] = F.when(F.col("whole"), kept[text_col]).otherwise(cut)
+    if "n_chars" in kept:
+        kept["n_chars"] = F.when(F.col("whole"), kept["n_chars"]).otherwise(F.length(cut).cast("long"))
+    return rows.select(*[c.alias(n) for n, c in kept.items()])
