@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import SPACES, keep, text_of
+from vigilake.llm.common import SPACES, fresh, keep, text_of
 
 COUNTERS = 1024
 
@@ -83,7 +83,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns.  Repeated rows (equal doc_id and text) stay together."""
+    gone_id, gone_sha = fresh(docs, "gone_id"), fresh(docs, "gone_sha")
     gone = exact_duplicates(docs, id_col, text_col).filter("doc_id is distinct from keep_id").select(
-        F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha"))
+        F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
     normal = F.sha2(F.regexp_replace(text_of(text_col), SPACES + "+", " "), 256)
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (normal == F.col("_sha")), "left_anti")
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (normal == F.col(gone_sha)), "left_anti")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import textarrays as ta
-from vigilake.llm.common import bitmap, in_bitmap, keep, partitions, release
+from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, partitions, release
 from vigilake.llm.components import components
 
 STARS = 4
@@ -261,8 +261,9 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str =
 
     Documents move only where a bitmap of the ids that go cannot tell that they stay.
     """
+    name = fresh(docs, "gone")
     gone = keep(near_duplicates(docs, words, percent, id_col, text_col).filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_gone")).distinct().withColumn("_key", F.xxhash64("_gone")))
-    maybe = in_bitmap(bitmap(gone, "_key"), F.xxhash64(F.col(id_col)))
-    stay = docs.filter(maybe).join(gone.select("_gone"), F.col(id_col) == F.col("_gone"), "left_anti")
+        F.col("doc_id").alias(name)).distinct().withColumn("key", F.xxhash64(name)))
+    maybe = in_bitmap(bitmap(gone, "key"), F.xxhash64(F.col(id_col)))
+    stay = docs.filter(maybe).join(gone.select(name), F.col(id_col) == F.col(name), "left_anti")
     return docs.filter(~maybe).unionByName(stay)
