@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +37,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps whose rows have been stored by ``keep``."""
-    import gc
-
+    """Lets Spark delete shuffle files of steps whose rows have been stored and that nothing refers to any more."""
+    time.sleep(1)  # events of the last job still hold its plan
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

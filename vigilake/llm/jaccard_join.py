@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import textarrays as ta
-from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, partitions, release
+from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, partitions, release, store
 from vigilake.llm.components import components
 
 STARS = 4
-SKETCH_BITS = 18
+SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: members that one copy of a star's centre is compared with
 PER_CENTRE = 512
@@ -117,13 +117,16 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(node, first, second): prefix shingles in the two rarity orders; a set is sent once per task."""
+    """(node, first, last, second): prefix shingles in the two rarity orders, and the rank of the last of the first.
+
+    A set is sent once per task.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            nodes, first, second = [], [], []
+            nodes, first, last, second = [], [], [], []
             for _, _, data, offsets in ta.slices(batch.column(0)):
                 for s in ta.shingle_sets(data, offsets, k):
                     if not len(s) or (node := _node(s)) in seen:
@@ -132,19 +135,24 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     size = prefix_length(len(s), percent)
                     t = _other(s)
                     nodes.append(node)
-                    order = np.lexsort((s, counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
+                    rank = counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    order = np.lexsort((s, rank))[:size]
                     first.append(s[order].view(np.int64))
+                    last.append(int(rank[order[-1]]).to_bytes(4, "big") + int(s[order[-1]]).to_bytes(8, "big"))
                     order = np.lexsort((t, counts[1][(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
                     second.append((t[order] & np.uint64(0x7FFFFFFF)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32()))],
-                ["node", "first", "second"])
+                [pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.binary()),
+                 pa.array(second, pa.list_(pa.int32()))], ["node", "first", "last", "second"])
 
-    return rows.select("text").mapInArrow(run, "node binary, first array<long>, second array<int>")
+    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>")
 
 
 def _sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(cid, items): the sets of the wanted classes (cid, node, text_hash)."""
+    """(cid, left, right, items): the sets of the wanted classes (cid, node, text_hash, left, right).
+
+    48 bits of each shingle's hash, so that two sets of 100,000 shingles share one by chance once in 28,000 pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -154,32 +162,44 @@ def _sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                 for s in ta.shingle_sets(data, offsets, k):
                     if len(s) and (node := _node(s)) not in seen:
                         seen.add(node)
-                        got[node] = s.tobytes()
+                        got[node] = (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.binary()), pa.array(list(got.values()), pa.binary())], ["node", "items"])
 
     near = rows.filter(in_bitmap(bitmap(wanted, "text_hash"), F.col("text_hash"))).select("text")
     sets = near.mapInArrow(run, "node binary, items binary")
-    return sets.join(wanted.select("cid", "node"), "node").groupBy("cid").agg(F.first("items").alias("items"))
+    return sets.join(wanted.select("cid", "node", "left", "right"), "node").groupBy("cid", "left", "right").agg(F.first("items").alias("items"))
+
+
+def _unpacked(raw) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the wanted similarity."""
+    spark = rows.sparkSession
     pairs = keep(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = keep(classes.join(ends, "cid", "left_semi").select("cid", "node", "text_hash"))
+    release(spark)
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(True).alias("l")), F.struct(F.col("b").alias("cid"), F.lit(False).alias("l")))).alias("e"))
+    ends = ends.groupBy("e.cid").agg(F.bool_or("e.l").alias("left"), F.bool_or(~F.col("e.l")).alias("right"))
+    wanted = keep(classes.select("cid", "node", "text_hash").join(ends, "cid"))
     sets = keep(_sets(rows, k, wanted))
+    del ends
+    release(spark)
     # a class with many partners is sent in several copies, each for some of them
     slots = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PER_CENTRE) + 1).alias("slots"))
     salted = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots"))).drop("slots")
-    centres = slots.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").withColumn(
+    centres = slots.join(sets.filter("left").select(F.col("cid").alias("a"), F.col("items").alias("x")), "a").withColumn(
         "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).drop("slots")
-    both = salted.join(centres, ["a", "slot"]).join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b")
+    members = sets.filter("right").select(F.col("cid").alias("b"), F.col("items").alias("y"))
+    both = salted.join(centres, ["a", "slot"]).join(members, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
@@ -200,20 +220,30 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(prefixes: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs of classes of different components that share a prefix shingle in both rarity orders."""
+    """Pairs of classes of different components that pass the filters of both rarity orders.
+
+    Of two prefixes, the one whose last shingle comes first in the order lies wholly within the range of the
+    other: what it does not share with the other prefix is not in the other set at all, which bounds the overlap.
+    """
     keyed = prefixes.select(F.explode("first").alias("token"), "cid", "comp", "n").repartition(width, "token")
     several = keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     mixed = keep(keyed.join(several, "token"))
+    del keyed, several
     release(prefixes.sparkSession)
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    outside = mixed.join(largest, "token").filter("comp <> top").select("token", F.col("cid").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-    pairs = outside.join(mixed, "token").filter((F.col("xc") != F.col("comp")) & _alike(F.col("xn"), F.col("n"), percent)).select(
-        F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).distinct()
-    second = prefixes.select("cid", "second")
-    return (
-        pairs.join(second.select(F.col("cid").alias("a"), F.col("second").alias("s")), "a")
-        .join(second.select(F.col("cid").alias("b"), F.col("second").alias("t")), "b")
-        .filter(F.arrays_overlap("s", "t")).select("a", "b"))
+    topped = mixed.join(largest, "token")
+    outside = topped.filter("comp <> top").select("token", F.col("cid").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
+    # a pair meets once for each shingle: from outside to the largest component, or from the smaller to the larger class outside
+    met = outside.join(topped, "token").filter(
+        (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("top")) | (F.col("x") < F.col("cid"))) & _alike(F.col("xn"), F.col("n"), percent))
+    pairs = met.groupBy(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    facts = prefixes.select("cid", "n", "last", "second", F.size("first").alias("size"))
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in facts.columns]), side)
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / F.lit(100 + percent))
+    missing = [F.col(f"{s}_size") - F.col("shared") <= F.col(f"{s}_n") - overlap for s in ("a", "b")]
+    bound = F.when(F.col("a_last") <= F.col("b_last"), missing[0]).otherwise(missing[1])
+    return pairs.filter(bound & F.arrays_overlap("a_second", "b_second")).select("a", "b")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -221,19 +251,19 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    profile = keep(_profile(rows, k))
+    profile = store(_profile(rows, k))
     documents = profile.filter("part is null").select("doc_id", "text_hash", "n", "node", "stars")
     classes = keep(documents.filter("n > 0").groupBy("node").agg(
         F.first("n").alias("n"), F.first("stars").alias("stars"), F.min("text_hash").alias("text_hash")).withColumn(
         "cid", F.monotonically_increasing_id()))
-    release(spark)
     links = keep(_verified(rows, classes, _star_pairs(classes, percent), k, percent))
+    release(spark)
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     release(spark)
     known = classes.select("cid", "node", "n").join(
         joined.select(F.col("u").alias("cid"), F.col("v").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     prefixes = keep(_prefixes(rows, k, percent, _sketch(profile)).groupBy("node").agg(
-        F.first("first").alias("first"), F.first("second").alias("second")).join(known, "node").drop("node"))
+        *[F.first(c).alias(c) for c in ("first", "last", "second")]).join(known, "node").drop("node"))
     release(spark)
     more = keep(_verified(rows, classes, _prefix_pairs(prefixes, percent, partitions(spark)), k, percent))
     release(spark)

@@ -14,7 +14,8 @@ bytes.  Windows that follow each other with one anchor form a chunk.
    So it is for anchors that were spread, which compares them across the boundaries of buckets.
 3. What was asked for is looked up in the texts, the suffixes themselves are range-partitioned by the same
    splitters and sorted by multikey quicksort over 8-byte words.  Neighbours' common prefixes give the groups of
-   equal right parts for each place of the anchor in a window; the left parts decide within them.
+   equal right parts for each place of the anchor in a window; the left parts decide within them.  Windows of
+   anchors that were spread are compared by an aggregation that finds the smallest document of each.
 4. Spans are merged per document and cut out.
 
 Texts move only for documents that step 3 or 4 needs.  Fingerprints of anchors and chunks have 48 bits each,
@@ -41,6 +42,10 @@ from vigilake.llm.common import bitmap, in_bitmap, keep, partitions, release, st
 LENGTH = 50
 GRAM = 16
 SAMPLE = 16
+#: anchors that are packed together on the map side
+PACK = 400_000
+#: what a bucket says of chunks: to be removed, to be looked at, and to be looked at although they were spread
+SPAN, LOOK, SPREAD = 0, 1, 2
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _TOP = np.uint64(1 << 63)
 
@@ -132,12 +137,32 @@ def _fingerprints(rows: DataFrame, buckets: Buckets, length: int, gram: int) ->
     """One row per batch, bucket and kind: the packed fingerprints of the anchors that go there."""
     shared = rows.sparkSession.sparkContext.broadcast(buckets)
 
+    def packed(parts: list[tuple], ids: np.ndarray, ths: np.ndarray) -> pa.RecordBatch:
+        where, row, lo, more, off, key, chunk = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1]))[:len(order)]
+        out = []
+        for s, e in zip(edges, np.append(edges[1:], len(order))):
+            pick = order[s:e]
+            r, p = row[pick], lo[pick].astype(np.int64)
+            new = np.append(True, r[1:] != r[:-1])
+            heads = np.flatnonzero(new)
+            step = np.where(new, p, p - np.append(0, p[:-1]))
+            own = ids[r[heads]]
+            out.append((
+                int(where[pick[0]]) // 2, bool(where[pick[0]] % 2), planes(own - np.append(0, own[:-1]), 8), planes(ths[r[heads]], 4),
+                planes(np.diff(np.append(heads, len(r))), 4), planes(step, 4), planes(more[pick], 1), planes(off[pick], 1),
+                planes(key[pick] >> np.uint64(16), 6), planes(chunk[pick] >> np.uint64(16), 6)))
+        columns = list(zip(*out)) if out else [()] * 10
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         for batch in batches:
             ids = batch.column(0).fill_null(np.iinfo(np.int64).max).to_numpy()
             ths = batch.column(2).to_numpy()
-            parts = []
+            parts, held = [], 0
             for first, _, data, offsets in ta.slices(batch.column(1)):
                 got = anchors(data, offsets, length, gram)
                 where = b.ranges(got["lead"], got["key"])
@@ -146,27 +171,15 @@ def _fingerprints(rows: DataFrame, buckets: Buckets, length: int, gram: int) ->
                     spread = ta.mix(ids[got["row"][open_] + first].view(np.uint64)) % np.uint64(b.count)
                     where[open_] = spread.astype(np.int64)
                 start = offsets[got["row"]]
-                parts.append((where * 2 + open_, got["row"] + first, got["lo"] - start, got["hi"] - got["lo"], got["at"] - got["lo"], got["key"], got["chunk"]))
-            if not parts:
-                continue
-            where, row, lo, more, off, key, chunk = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(where, kind="stable")
-            edges = np.flatnonzero(np.append(True, where[order][1:] != where[order][:-1]))[:len(order)]
-            out = []
-            for s, e in zip(edges, np.append(edges[1:], len(order))):
-                pick = order[s:e]
-                r, p = row[pick], lo[pick]
-                new = np.append(True, r[1:] != r[:-1])
-                heads = np.flatnonzero(new)
-                step = np.where(new, p, p - np.append(0, p[:-1]))
-                own = ids[r[heads]]
-                out.append((
-                    int(where[pick[0]]) // 2, bool(where[pick[0]] % 2), planes(own - np.append(0, own[:-1]), 8), planes(ths[r[heads]], 4),
-                    planes(np.diff(np.append(heads, len(r))), 4), planes(step, 4), planes(more[pick], 1), planes(off[pick], 1),
-                    planes(key[pick] >> np.uint64(16), 6), planes(chunk[pick] >> np.uint64(16), 6)))
-            columns = list(zip(*out)) if out else [()] * 10
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), *[pa.array(c, pa.binary()) for c in columns[2:]]], names)
+                parts.append((
+                    (where * 2 + open_).astype(np.int32), (got["row"] + first).astype(np.int32), (got["lo"] - start).astype(np.int32),
+                    (got["hi"] - got["lo"]).astype(np.uint8), (got["at"] - got["lo"]).astype(np.uint8), got["key"], got["chunk"]))
+                held += len(where)
+                if held >= PACK:
+                    yield packed(parts, ids, ths)
+                    parts, held = [], 0
+            if parts:
+                yield packed(parts, ids, ths)
 
     names = ["bucket", "open", "ids", "ths", "counts", "step", "more", "off", "key", "chunk"]
     return rows.mapInArrow(run, "bucket int, open boolean, " + ", ".join(f"{n} binary" for n in names[2:]))
@@ -201,7 +214,8 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     kinds = np.add.reduceat(new_chunk.astype(np.int64), key_heads)
     several = (kinds > 1) & (np.minimum.reduceat(d, key_heads) < np.maximum.reduceat(d, key_heads))
     ask = ~repeated & (several[group] | open_[order])
-    for kind, chosen in ((True, order[repeated]), (False, order[ask])):
+    spread = open_[order]
+    for kind, chosen in ((SPAN, order[repeated]), (LOOK, order[ask & ~spread]), (SPREAD, order[ask & spread])):
         chosen = chosen[np.lexsort((lo[chosen], th[chosen], doc[chosen]))]
         if not len(chosen):
             continue
@@ -212,27 +226,38 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
         for at in range(0, len(heads), 20_000):
             pick = range(at, min(at + 20_000, len(heads)))
             yield pa.RecordBatch.from_arrays([
-                pa.array([kind] * len(pick)), pa.array(x[heads[at:at + 20_000]]), pa.array(y[heads[at:at + 20_000]]),
+                pa.array([kind] * len(pick), pa.int32()), pa.array(x[heads[at:at + 20_000]]), pa.array(y[heads[at:at + 20_000]]),
                 pa.array([starts[heads[i]:ends[i]].tobytes() for i in pick], pa.binary()),
                 pa.array([widths[heads[i]:ends[i]].tobytes() for i in pick], pa.binary()),
-                pa.array([offs[heads[i]:ends[i]].tobytes() for i in pick], pa.binary())], ["settled", "doc_id", "th", "lo", "more", "off"])
+                pa.array([offs[heads[i]:ends[i]].tobytes() for i in pick], pa.binary())], ["kind", "doc_id", "th", "lo", "more", "off"])
+
+
+def _asked(rows: DataFrame, settled: DataFrame, kind: int) -> DataFrame:
+    """The texts in which chunks are to be looked at, with their places; other texts are not moved."""
+    wanted = settled.filter(F.col("kind") == kind).groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "more", "off")])
+    ids = settled.filter(F.col("kind") == kind).select("th")
+    near = rows.filter(in_bitmap(bitmap(ids, "th"), F.col("th"))).withColumn("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    # rows that are repeated ask for the same chunks, which changes nothing
+    return near.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "lo", "more", "off")
+
 
+def _places(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
+    for doc, th, text, los, mores, offs in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        lo = np.frombuffer(b"".join(los), np.int32).astype(np.int64)
+        end = lo + np.frombuffer(b"".join(mores), np.uint8) + length
+        yield doc, th, np.frombuffer(text.encode(), np.uint8), lo, end, np.frombuffer(b"".join(offs), np.uint8).astype(np.int64)
 
-def _cut_out(rows: DataFrame, asked: DataFrame, buckets: Buckets, length: int, gram: int) -> DataFrame:
+
+def _cut_out(asked: DataFrame, buckets: Buckets, length: int, gram: int) -> DataFrame:
     """The chunks that were asked for, with the bucket of their suffix."""
-    shared = rows.sparkSession.sparkContext.broadcast(buckets)
+    shared = asked.sparkSession.sparkContext.broadcast(buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, th, text, los, mores, offs in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                data = np.frombuffer(text.encode(), np.uint8)
-                lo = np.frombuffer(b"".join(los), np.int32).astype(np.int64)
-                end = lo + np.frombuffer(b"".join(mores), np.uint8) + length
-                off = np.frombuffer(b"".join(offs), np.uint8).astype(np.int64)
-                out.append((
-                    np.full(len(lo), doc), np.full(len(lo), th), lo, off, data[(lo + off)[:, None] + np.arange(gram)],
-                    [data[a:b].tobytes() for a, b in zip(lo.tolist(), end.tolist())]))
+            out = [
+                (np.full(len(lo), doc), np.full(len(lo), th), lo, off, data[(lo + off)[:, None] + np.arange(gram)],
+                 [data[a:b].tobytes() for a, b in zip(lo.tolist(), end.tolist())])
+                for doc, th, data, lo, end, off in _places(batch, length)]
             if not out:
                 continue
             doc, th, lo, off, grams = (np.concatenate([x[i] for x in out]) for i in range(5))
@@ -247,11 +272,36 @@ def _cut_out(rows: DataFrame, asked: DataFrame, buckets: Buckets, length: int, g
                 pa.array(shared.value.ranges(lead, key), pa.int32()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()),
                 pa.array(lo, pa.int32()), pa.array(off, pa.int32()), chunks], ["bucket", "doc_id", "th", "lo", "off", "chunk"])
 
-    near = rows.filter(in_bitmap(bitmap(asked, "th"), F.col("th")))
-    top = F.coalesce("doc_id", F.lit(2**63 - 1))
-    # rows that are repeated ask for the same chunks, which changes nothing
-    joined = near.withColumn("doc_id", top).join(asked, ["doc_id", "th"]).select("doc_id", "th", "text", "lo", "more", "off")
-    return joined.mapInArrow(run, "bucket int, doc_id long, th long, lo int, off int, chunk binary")
+    return asked.mapInArrow(run, "bucket int, doc_id long, th long, lo int, off int, chunk binary")
+
+
+def _spread_spans(asked: DataFrame, length: int) -> DataFrame:
+    """Spans of windows whose anchors were spread over buckets: the smallest document of each window, by its hashes.
+
+    Minima are combined before the shuffle, so a window that is in a third of all documents is not gathered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, th, data, lo, end, _ in _places(batch, length):
+                at = np.unique(np.concatenate([np.arange(a, b - length + 1) for a, b in zip(lo.tolist(), end.tolist())]))
+                hashes = [ta.span_hash(ta.prefix_hash(x), at, at + length).view(np.int64) for x in (data, data ^ np.uint8(0x5A))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), doc)), pa.array(np.full(len(at), th)), pa.array(at, pa.int32()), *map(pa.array, hashes)],
+                    ["doc_id", "th", "at", "h1", "h2"])
+
+    windows = store(asked.mapInArrow(run, "doc_id long, th long, at int, h1 long, h2 long"))
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    hit = windows.join(least, ["h1", "h2"]).filter("doc_id > least").select("doc_id", "th", "at")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([x.tobytes() for x in at], pa.binary()),
+                pa.array([b"\0"] * len(at), pa.binary())], ["doc_id", "th", "lo", "more"])
+
+    return hit.mapInArrow(pack, "doc_id long, th long, lo binary, more binary")
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,17 +401,19 @@ def repeated_bytes(
     buckets = _splitters(rows, count, length, gram)
     packed = _fingerprints(rows, buckets, length, gram).repartitionById(count, "bucket")
     settled = store(packed.mapInArrow(
-        lambda b: _settle(b, length), "settled boolean, doc_id long, th long, lo binary, more binary, off binary"))
+        lambda b: _settle(b, length), "kind int, doc_id long, th long, lo binary, more binary, off binary"))
     del packed
     release(spark)
-    asked = settled.filter("not settled").groupBy("doc_id", "th").agg(*[F.collect_list(c).alias(c) for c in ("lo", "more", "off")])
-    chunks = _cut_out(rows, asked, buckets, length, gram).repartitionById(count, "bucket")
+    chunks = _cut_out(_asked(rows, settled, LOOK), buckets, length, gram).repartitionById(count, "bucket")
     compared = store(chunks.mapInArrow(lambda b: _compare(b, length, gram), "doc_id long, th long, lo binary, more binary"))
-    del asked, chunks
+    del chunks
     release(spark)
-    spans = settled.filter("settled").select("doc_id", "th", "lo", "more").unionByName(compared).groupBy("doc_id", "th").agg(
-        F.collect_list("lo").alias("lo"), F.collect_list("more").alias("more"))
-    ids = settled.filter("settled").select("th").unionByName(compared.select("th"))
+    every = settled.filter(F.col("kind") == SPAN).select("doc_id", "th", "lo", "more").unionByName(compared)
+    if len(buckets.hot):
+        every = every.unionByName(store(_spread_spans(_asked(rows, settled, SPREAD), length)))
+        release(spark)
+    spans = every.groupBy("doc_id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("more").alias("more"))
+    ids = every.select("th")
     touched = in_bitmap(bitmap(ids, "th"), F.col("th"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
