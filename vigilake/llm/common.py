@@ -38,8 +38,8 @@ def keep(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of steps whose rows have been stored and that nothing refers to any more."""
-    time.sleep(1)  # events of the last job still hold its plan
     gc.collect()
+    time.sleep(1)  # the JVM hears of dropped references, and events of the last job let go of its plan, a little later
     spark.sparkContext._jvm.System.gc()
 
 

@@ -7,8 +7,8 @@ Orders.  A global order puts rare shingles first; how rare one is comes from a t
 orders with different tables and hashes, and ``STARS`` purely random ones, are used.
 
 1. The first shingle of a class in each random order puts it into ``STARS`` groups; it is compared with the
-   smallest class of each group.  Verified links give components, in which nearly all copies of a text meet
-   without comparing them pair by pair.
+   most central class of each group, the one whose shingles are the most frequent.  Verified links give
+   components, in which nearly all copies of a text meet without comparing them pair by pair.
 2. Two sets of the wanted similarity share a shingle among the first n - ceil(t n) + 1 of either set in every
    order.  Classes of *different* components that share a prefix shingle in the first rarity order are
    candidates; those that share none in the second are dropped; the rest are verified.  So no link between
@@ -117,7 +117,8 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(node, first, last, second): prefix shingles in the two rarity orders, and the rank of the last of the first.
+    """(node, first, last, second, central): prefix shingles in the two rarity orders, the rank of the last of the
+    first, and how frequent the shingles are.
 
     A set is sent once per task.
     """
@@ -126,7 +127,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            nodes, first, last, second = [], [], [], []
+            nodes, first, last, second, central = [], [], [], [], []
             for _, _, data, offsets in ta.slices(batch.column(0)):
                 for s in ta.shingle_sets(data, offsets, k):
                     if not len(s) or (node := _node(s)) in seen:
@@ -136,6 +137,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     t = _other(s)
                     nodes.append(node)
                     rank = counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    central.append(float(np.log(rank).mean()))
                     order = np.lexsort((s, rank))[:size]
                     first.append(s[order].view(np.int64))
                     last.append(int(rank[order[-1]]).to_bytes(4, "big") + int(s[order[-1]]).to_bytes(8, "big"))
@@ -143,9 +145,9 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     second.append((t[order] & np.uint64(0x7FFFFFFF)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.binary()),
-                 pa.array(second, pa.list_(pa.int32()))], ["node", "first", "last", "second"])
+                 pa.array(second, pa.list_(pa.int32())), pa.array(central, pa.float64())], ["node", "first", "last", "second", "central"])
 
-    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>")
+    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>, central double")
 
 
 def _sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -213,8 +215,10 @@ def _alike(left: Column, right: Column, percent: int) -> Column:
 
 
 def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    groups = classes.select("cid", "n", F.posexplode("stars").alias("j", "key"))
-    centre = groups.groupBy("j", "key").agg(F.min(F.struct("cid", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    """Every class with the most central one of each of its groups: the text that the others are edits of, if it is there."""
+    groups = classes.select("cid", "n", "central", F.posexplode("stars").alias("j", "key"))
+    centre = groups.groupBy("j", "key").agg(
+        F.max(F.struct("central", "cid", "n")).alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     met = groups.join(centre, ["j", "key"]).filter((F.col("cid") != F.col("c.cid")) & _alike(F.col("n"), F.col("c.n"), percent))
     return met.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
@@ -254,18 +258,19 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     profile = store(_profile(rows, k))
     documents = profile.filter("part is null").select("doc_id", "text_hash", "n", "node", "stars")
     classes = keep(documents.filter("n > 0").groupBy("node").agg(
-        F.first("n").alias("n"), F.first("stars").alias("stars"), F.min("text_hash").alias("text_hash")).withColumn(
+        *[F.first(c).alias(c) for c in ("n", "stars")], F.min("text_hash").alias("text_hash")).withColumn(
         "cid", F.monotonically_increasing_id()))
-    links = keep(_verified(rows, classes, _star_pairs(classes, percent), k, percent))
     release(spark)
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    release(spark)
-    known = classes.select("cid", "node", "n").join(
-        joined.select(F.col("u").alias("cid"), F.col("v").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     prefixes = keep(_prefixes(rows, k, percent, _sketch(profile)).groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("first", "last", "second")]).join(known, "node").drop("node"))
+        *[F.first(c).alias(c) for c in ("first", "last", "second", "central")]).join(
+        classes.select("cid", "node", "n", "stars"), "node").drop("node"))
     release(spark)
-    more = keep(_verified(rows, classes, _prefix_pairs(prefixes, percent, partitions(spark)), k, percent))
+    links = keep(_verified(rows, classes, _star_pairs(prefixes, percent), k, percent))
+    release(spark)
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    known = prefixes.drop("stars").join(
+        joined.select(F.col("u").alias("cid"), F.col("v").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    more = keep(_verified(rows, classes, _prefix_pairs(known, percent, partitions(spark)), k, percent))
     release(spark)
     every = joined.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(every)
