@@ -226,26 +226,31 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 def _prefix_pairs(prefixes: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs of classes of different components that pass the filters of both rarity orders.
 
-    Of two prefixes, the one whose last shingle comes first in the order lies wholly within the range of the
-    other: what it does not share with the other prefix is not in the other set at all, which bounds the overlap.
+    A pair is made at its first common shingle in the first order: what comes before it in either set is not in the
+    other, which bounds the overlap by the two positions.  Of two prefixes, the one whose last shingle comes first
+    in the order lies wholly within the range of the other: what it does not share with the other prefix is not in
+    the other set at all, which bounds the overlap again.
     """
-    keyed = prefixes.select(F.explode("first").alias("token"), "cid", "comp", "n").repartition(width, "token")
+    keyed = prefixes.select(F.posexplode("first").alias("pos", "token"), "cid", "comp", "n")
+    # the most that may come before the first common shingle, whatever the partner's size
+    keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))).repartition(width, "token")
     several = keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
     mixed = keep(keyed.join(several, "token"))
     del keyed, several
     release(prefixes.sparkSession)
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    topped = mixed.join(largest, "token")
-    outside = topped.filter("comp <> top").select("token", F.col("cid").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-    # a pair meets once for each shingle: from outside to the largest component, or from the smaller to the larger class outside
-    met = outside.join(topped, "token").filter(
-        (F.col("xc") != F.col("comp")) & ((F.col("comp") == F.col("top")) | (F.col("x") < F.col("cid"))) & _alike(F.col("xn"), F.col("n"), percent))
-    pairs = met.groupBy(F.least("x", "cid").alias("a"), F.greatest("x", "cid").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    facts = prefixes.select("cid", "n", "last", "second", F.size("first").alias("size"))
+    outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos")])
+    need = F.ceil((F.col("x_n") + F.col("n")) * percent / F.lit(100 + percent))
+    met = outside.join(mixed, "token").filter(
+        (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), percent)
+        & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need))
+    pairs = met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
+    facts = prefixes.select("cid", "n", "first", "last", "second")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in facts.columns]), side)
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / F.lit(100 + percent))
-    missing = [F.col(f"{s}_size") - F.col("shared") <= F.col(f"{s}_n") - overlap for s in ("a", "b")]
+    shared = F.size(F.array_intersect("a_first", "b_first"))
+    missing = [F.size(f"{s}_first") - shared <= F.col(f"{s}_n") - overlap for s in ("a", "b")]
     bound = F.when(F.col("a_last") <= F.col("b_last"), missing[0]).otherwise(missing[1])
     return pairs.filter(bound & F.arrays_overlap("a_second", "b_second")).select("a", "b")
 
