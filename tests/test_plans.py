@@ -56,3 +56,40 @@ def test_baseline_is_an_anti_join(table):
     found = scan(table, git_lookup=False)
     text = plan(bl.filter_baseline(found, bl.baseline_rows(found).filter(F.lit(True))))
     assert "LeftAnti" in text and "NestedLoop" not in text
+
+
+def test_long_lists_move_only_their_own_text(spark, table, monkeypatch):
+    """With broadcasts ruled out, texts pass a bitmap before they meet an exchange, and ignored files are dropped as findings."""
+    from vigilake import model
+    from vigilake.operators import files as fo
+    from vigilake.plans import scan as scan_module
+
+    for module in (model, fo, scan_module):
+        monkeypatch.setattr(module, "is_small", lambda df, *a: False)
+    changed = spark.createDataFrame([("r", "a.js")], "repo string, path string")
+    kept = fo.changed_files(table, changed)
+    assert "scalar-subquery" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.path for r in kept.collect()] == ["a.js"]
+    ignores = spark.createDataFrame([("r", "b.*"), ("r", "[z-a]"), ("q", "a.js")], "repo string, glob string")
+    found = scan(table, ignores=ignores, git_lookup=False)
+    for line in plan(found).split("\n"):
+        assert not ("Exchange" in line and "content" in line)
+    assert sorted(r.path for r in found.collect()) == [".env", "a.js"]
+
+
+def test_documents_group_nothing(spark, table):
+    from vigilake.operators import exports
+
+    found = scan(table, git_lookup=False)
+    text = plan(exports._items(found, exports.finding_json(), 1))
+    assert "collect_list" not in text
+
+
+def test_only_control_files_are_read_for_globs(spark, files, tmp_path):
+    from vigilake.operators.files import ignore_globs
+    from vigilake.sources import tables
+
+    path = str(tmp_path / "stored")
+    tables.write_files(files({"a.js": "x", ".scanignore": "b.*", ".gitignore": ".env"}), path)
+    text = plan(ignore_globs(tables.read_files(spark, path)))
+    assert "PartitionFilters: [isnotnull(language" in text and "control" in text

@@ -132,13 +132,16 @@ def test_verdicts(spark, some):
 
 def test_review_batches(spark, some, files):
     contents = files({"x/f.js": "z" * 8001, "y/f.js": "short"}, "a")
-    got = {r.path: r.prompt for r in review.review_batches(some.filter("repo = 'a'"), contents).collect()}
-    assert set(got) == {"x/f.js", "y/f.js", "g.js"}
+    batches = review.review_batches(some.filter("repo = 'a'"), contents).collect()
+    assert sorted((r.path, r.part, r.parts, r.n_findings) for r in batches) == [("g.js", 0, 1, 1), ("x/f.js", 0, 2, 0), ("x/f.js", 1, 2, 2), ("y/f.js", 0, 1, 1)]
+    got = {r.path: r.prompt for r in batches if r.part == r.parts - 1}
+    rest = next(r.prompt for r in batches if (r.path, r.part) == ("x/f.js", 0)).split("\n")
+    assert rest[0].endswith("(part 1 of 2)") and rest[3] == "z" * 8000 and rest[-2] == "FINDINGS (0 issues flagged by static scanner):"
     lines = got["x/f.js"].split("\n")
     nonce = lines[2].split(" ")[1][:-3]
     assert len(nonce) == 16 and lines[2] == f"<<<UNTRUSTED_FILE {nonce}>>>"
-    assert lines[3] == "z" * 8000 and lines[4] == "... (truncated, 8001 chars total)"
-    assert lines[5:] == [
+    assert lines[0].endswith("(part 2 of 2)") and lines[3] == "z"
+    assert lines[4:] == [
         f"<<<END_UNTRUSTED_FILE {nonce}>>>", "", "FINDINGS (2 issues flagged by static scanner):",
         "", "0. [CRITICAL] Line 9: c2", "   Message: about c2", "   Code:   k", "   Scanner suggestion: do this",
         "", "1. [HIGH] Line 2: c1", "   Message: about c1", "   Code: eval(x)", "   Scanner suggestion: do this"]

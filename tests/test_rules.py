@@ -152,12 +152,26 @@ def test_severity_threshold_and_demotion(found):
     assert [r[:2] for r in found(contents, min_severity="critical")] == [("b.js", "aws-access-key")]
 
 
-def test_size_cap_is_in_characters(found):
+def test_a_cap_is_an_option_and_in_characters(found):
     cap = fv.MAX_FILE_CHARS
     code = "eval(x)\n"
     contents = {"at.js": code + "é" * (cap - len(code)), "over.js": code + "é" * (cap - len(code) + 1),
                 "at.py": code + "#" * (cap - len(code)), "over.py": code + "#" * (cap - len(code) + 1)}
-    assert [r[0] for r in found(contents, only=["js-eval", "eval-usage"])] == ["at.js", "at.py"]
+    assert [r[0] for r in found(contents, only=["js-eval", "eval-usage"], max_chars=cap)] == ["at.js", "at.py"]
+    assert [r[0] for r in found(contents, only=["js-eval", "eval-usage"])] == sorted(contents)
+
+
+def test_the_last_line_of_a_long_file_is_scanned(found):
+    long = {"a.js": "x = 1\n" * 500_000 + "eval(x)", "b.py": "x = 1\n" * 100_000 + "eval(x)"}
+    assert [r[:3] for r in found(long, only=["js-eval", "eval-usage"])] == [("a.js", "js-eval", 500_001), ("b.py", "eval-usage", 100_001)]
+
+
+def test_files_that_are_not_scanned_are_listed(files):
+    from vigilake.operators.files import not_scanned
+
+    table = files({"a.js": "x" * 11, "b.js": "x", "c.js": None})
+    assert sorted(tuple(r)[1:] for r in not_scanned(table, 10).collect()) == [("a.js", "longer than 10 characters"), ("c.js", "not readable")]
+    assert [r.path for r in not_scanned(table).collect()] == ["c.js"]
 
 
 @pytest.mark.parametrize("source", ["def f(:", "x = '\0'", "(" * 5000, "\ud800".encode("utf-8", "replace").decode()])
@@ -167,6 +181,18 @@ def test_unparsable_python_yields_nothing(found, source):
 
 def test_folded_identifiers_reach_the_parser(found):
     assert found({"a.py": "ｅval(x)\n"}, only=["eval-usage"]) == [("a.py", "eval-usage", 1, 0)]
+    assert found({"a.py": "exeᶜ(x)\n"}, only=["exec-usage"]) == [("a.py", "exec-usage", 1, 0)]
+
+
+def test_every_folding_letter_is_in_the_class():
+    import unicodedata
+
+    from vigilake.operators.python_facts import compatibility_letters
+
+    inside = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", compatibility_letters()))
+    for c in range(0x80, 0x110000):
+        if unicodedata.normalize("NFKC", chr(c)).isascii() and unicodedata.normalize("NFKC", chr(c)).isalpha():
+            assert inside.match(chr(c)), hex(c)
 
 
 def test_linear_patterns_match_the_same_lines():

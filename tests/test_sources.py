@@ -34,12 +34,12 @@ def tree(tmp_path):
 def test_tree_reads_hidden_files(spark, tree):
     files = read_tree(spark, str(tree), "shop")
     got = {r.path: r.content for r in files.collect()}
-    assert sorted(got) == [".env", ".git", ".gitignore", "_private/a.py", "node_modules/c.js", "src/b.js"]
+    assert sorted(got) == [".env", ".git", ".gitignore", "_private/a.py", "big.js", "node_modules/c.js", "src/b.js"]
     assert got["_private/a.py"] == "x = '�'\neval(x)\n"
     rows = scan(files, only=[r for r in rule_ids() if "eval" in r or "env" in r]).select("repo", "path", "check_name").collect()
     assert sorted(map(tuple, rows)) == [
         ("shop", ".env", "env-has-secret"), ("shop", ".env", "env-not-gitignored"),
-        ("shop", "_private/a.py", "eval-usage"), ("shop", "src/b.js", "js-eval")]
+        ("shop", "_private/a.py", "eval-usage"), ("shop", "big.js", "js-eval"), ("shop", "src/b.js", "js-eval")]
 
 
 def test_one_file_and_missing_tree(spark, tree):
@@ -75,10 +75,10 @@ def test_rule_packs(spark, tmp_path):
     docs = cr.parse_docs(read_rule_packs(spark, str(tmp_path)))
     checked = {r.id: r.reason for r in cr.validate(docs).collect()}
     assert checked == {"zero": None, "one": None, "two": "invalid severity: loud", "three": "missing fields: severity, pattern, message", "bad": "invalid regex"}
-    loaded = cr.load_rules(docs)
+    refused = []
+    loaded = cr.load_rules(docs, refused)
+    assert sorted(refused) == sorted((k, v) for k, v in checked.items() if v)
     assert [(r.rule_id, r.severity, r.languages, r.fix) for r in loaded] == [("zero", "low", ("python",), "f"), ("one", "high", ("*",), "")]
-    with pytest.raises(ValueError):
-        cr.load_rules(docs, max_rules=1)
 
 
 def test_yaml_rule_packs(spark, tmp_path):
@@ -107,8 +107,10 @@ def test_nearest_git_root(files):
     envs = df.filter("path like '%.env'").select("repo", "path")
     from vigilake.operators.git import git_roots
     got = {r.path: r.dir for r in nearest_git_root(envs, git_roots(df)).collect()}
-    assert got == {"x/y/.env": "x", "z/.env": ""}  # eleven levels up is too far
-    assert sorted((r.path, r.check_name) for r in env_gitignore_findings(df).collect()) == [("z/.env", "env-no-gitignore")]
+    assert got == {"x/y/.env": "x", "z/.env": "", f"{deep}/.env": ""}
+    assert {r.path for r in nearest_git_root(envs, git_roots(df), max_levels=10).collect()} == {"x/y/.env", "z/.env"}
+    assert sorted((r.path, r.check_name) for r in env_gitignore_findings(df).collect()) == [
+        (f"{deep}/.env", "env-no-gitignore"), ("z/.env", "env-no-gitignore")]
 
 
 def test_registered_rules_and_checks(files):

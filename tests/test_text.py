@@ -79,12 +79,39 @@ def test_globs_like_fnmatch(spark):
     for g in globs:
         for v, hit in df.select("v", F.rlike("v", F.lit(text.glob_regex(g)))).collect():
             assert hit == fnmatch.fnmatchcase(v, g), (g, v)
-    simple = [g for g in globs if g != "[]]x"]
-    pairs = spark.createDataFrame([(v, g) for v in names for g in simple], "v string, g string")
-    for v, g, hit in pairs.select("v", "g", F.rlike("v", text.glob_regex_column(F.col("g")))).collect():
+    random.seed(3)
+    globs += ["[z-a]*", "[!z-a]", "[[]x", "[[...slug]].js", "a&&b", "[a&&b]", "[]", "[!]", "[", "[!", "[a-", "[a-]", "[--a]", "[a-c-e]", "[z-a-c]", "[^a]", "[\\]", "\\", "(", "a|b", "**", "[!]]", "[]-a]", "{x}", "[~b]"]
+    globs += ["".join(random.choice("[]!-^\\az&|*?b.]") for _ in range(random.randint(1, 8))) for _ in range(3000)]
+    pairs = [(v, g) for g in globs for v in random.sample(names, 4)] + [
+        ("".join(random.choice("[]!-^\\az&|b.") for _ in range(random.randint(0, 4))), g) for g in globs for _ in range(6)]
+    frame = spark.createDataFrame(pairs, "v string, g string")
+    for v, g, hit in frame.select("v", "g", F.rlike("v", text.glob_regex_column(F.col("g")))).collect():
         assert hit == fnmatch.fnmatchcase(v, g), (g, v)
 
 
+DIALECT = [
+    r"(?P<a>x)(?P<b_c>y)", r"(?x) a b  # comment (", r"a{,2}b", r"a{,}b", r"a{b", r"x{}", r"[[(]\d", r"[]a]b", r"[^]a]b", r"[a&&b]c", r"[&&#]{2}", r"a(?#note)b",
+    r"(?P<q>['\"])z(?P=q)", r"(?i)[a-c~^]{2}", r"(?x)[ #]a", r"a++b", r"(?>ab|a)c", r"\Aa\Z", r"[\]x]", r"(?s)a.b", r"x(?=y)", r"(?<!a)b",
+]
+
+
+def test_patterns_of_users_like_python(spark):
+    random.seed(11)
+    values = ["".join(random.choice("aabbxyz&#~^[](){},;12 '\"") for _ in range(random.randint(0, 7))) for _ in range(400)]
+    values += ["xy", "aab", "a{b", "x{}", "[1", "]b", "&&", "##", "ab", "'z'", " a", "#a", "aac", "a", "a\nb", "b"]
+    df = column(spark, values)
+    for p in DIALECT:
+        assert text.unsupported(p) is None
+        for form in text.executed_forms(p):
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(form)
+        for v, hit, at in df.select("v", text.matches(F.col("v"), p), text.match_offset(F.col("v"), p)).collect():
+            m = re.search(p, v)
+            assert hit == (m is not None) and (not m or "\n" in v or at == m.start()), (p, v)
+    union = "|".join(f"(?:{text.java_pattern(p, named=False)})" for p in DIALECT if not text.has_back_reference(p))
+    spark.sparkContext._jvm.java.util.regex.Pattern.compile(union)
+    assert text.unsupported("(a)?(?(1)b|c)") and text.unsupported("(?a)x") and text.unsupported(r"\N{DASH}")
+
+
 def test_skipped_names_like_fnmatch(spark):
     values = ["a.pyc", "a.min.js", "min.js", ".map", "yarn.lock", "package-lock.json", "xpackage-lock.json", "a.js", "a.PYC", "lock", "a.lock"]
     for v, hit in column(spark, values).select("v", paths.is_skipped_name(F.col("v"))).collect():

@@ -5,37 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILES = "repo string, path string, content string"
 FINDINGS = (
     "repo string, path string, name string, check_name string, severity string, rank int, line int, "
     "column int, message string, snippet string, fix_hint string, rule_ord int"
 )
-RULES = (
-    "rule_ord int, rule_id string, family string, severity string, languages array<string>, "
-    "pattern string, message string, fix string"
-)
-BASELINE = "repo string, fingerprint string"
-VERDICTS = "repo string, path string, response string"
-LABELS = "name string, kind string, category string, min_severity string"
-IGNORES = "repo string, glob string"
 
 FINDING_COLUMNS = [f.split()[0] for f in FINDINGS.split(", ")]
 
-# The scanner's result order; rule_ord and column make it total within a line.
-RESULT_ORDER = ["rank desc", "path", "line", "rule_ord", "column"]
-
 
 def result_order() -> list[Column]:
-    return [F.desc("rank"), F.asc("path"), F.asc("line"), F.asc("rule_ord"), F.asc("column")]
+    """The scanner's result order; rule_ord and column make it total within a line, repo across repositories."""
+    return [F.desc("rank"), F.asc("path"), F.asc("line"), F.asc("rule_ord"), F.asc("column"), F.asc("repo")]
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
-    """Broadcast hint only after measuring the side; otherwise Spark picks the join at run time.
-
-    The measuring job aggregates on the executors and returns two numbers.  It stops the hint
-    from ever depending on how large a table is expected to be.
-    """
+def is_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> bool:
+    """Measured, never guessed: an aggregation on the executors that returns two numbers."""
     text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
     size = sum(text, F.lit(0).cast("long")) + 16 * len(df.columns)
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
+    return rows <= max_rows and size <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast hint only after measuring the side; otherwise Spark picks the join at run time."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

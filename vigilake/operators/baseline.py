@@ -50,7 +50,7 @@ def baseline_document(findings: DataFrame) -> DataFrame:
     heads = counted.groupBy("repo").agg(F.sum("n").alias("n"), F.min("fingerprint").alias("first"))
     quoted = F.regexp_extract(F.to_json(F.struct(F.col("fingerprint").alias("f"))), r"(?s)^\{\"f\":(.*)\}$", 1)
     comma = F.when(F.col("fingerprint") == F.col("first"), F.lit("")).otherwise(F.lit(","))
-    items = counted.join(heads.select("repo", "first"), "repo").select(
+    items = counted.join(broadcast_if_small(heads.select("repo", "first")), "repo").select(
         "repo", F.lit(1).alias("section"), "fingerprint", F.concat(comma, quoted).alias("text"))
     head = F.concat(F.lit('{"version":1,"count":'), F.col("n").cast("string"), F.lit(',"fingerprints":['))
     edge = lambda n, text: heads.select("repo", F.lit(n).alias("section"), F.lit("").alias("fingerprint"), text.alias("text"))

@@ -12,10 +12,9 @@ from pyspark.sql import types as T
 
 from vigilake import fixed_values as fv
 from vigilake.functions.anchors import required_literals
-from vigilake.functions.text import java_pattern
+from vigilake.functions.text import executed_forms, unsupported
 
 FIRST_CUSTOM_ORD = 1000
-MAX_RULES = 5_000
 RULE_DOC = "id string, severity string, languages array<string>, message string, pattern string, fix string"
 
 
@@ -24,9 +23,10 @@ def _python_regex_error(pattern: pd.Series) -> pd.Series:
     def check(p):
         try:
             re.compile(p)
-        except (re.error, OverflowError, RecursionError) as e:
-            return str(e)
-        return None
+        except (re.error, OverflowError, RecursionError):
+            return "invalid regex"
+        missing = unsupported(p)
+        return missing and f"not supported by the scan engine: {missing}"
 
     return pattern.map(check, na_action="ignore").astype(object)
 
@@ -43,7 +43,7 @@ def validate(docs: DataFrame) -> DataFrame:
     reason = (
         F.when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
         .when(~lowered.isin(list(fv.SEVERITY_RANK)), F.concat(F.lit("invalid severity: "), lowered))
-        .when(F.col("_regex").isNotNull(), F.lit("invalid regex"))
+        .when(F.col("_regex").isNotNull(), F.col("_regex"))
     )
     return checked.withColumns({
         "reason": reason,
@@ -63,16 +63,18 @@ def parse_docs(packs: DataFrame) -> DataFrame:
     is_list = F.rlike("doc", F.lit(r"^\s*\["))
     one = F.array(F.from_json("doc", RULE_DOC))
     many = F.from_json("doc", f"array<struct<{RULE_DOC.replace(' array', ':array').replace(' string', ':string')}>>")
+    place = [c for c in ("repo", "source", "ord") if c in packs.columns]
     return (
-        packs.select("source", "ord", F.posexplode(F.when(is_list, many).otherwise(one)).alias("pos", "rule"))
-        .select("source", "ord", "pos", "rule.*")
+        packs.select(*place, F.posexplode(F.when(is_list, many).otherwise(one)).alias("pos", "rule"))
+        .select(*place, "pos", "rule.*")
     )
 
 
 def java_accepts(spark: SparkSession, pattern: str) -> bool:
-    """True when the translated pattern compiles in the JVM; the query would fail otherwise."""
+    """True when every form in which the scan runs the pattern compiles in the JVM; the query would fail otherwise."""
     try:
-        spark._jvm.java.util.regex.Pattern.compile(java_pattern(pattern))
+        for form in executed_forms(pattern):
+            spark._jvm.java.util.regex.Pattern.compile(form)
     except Exception:
         return False
     return True
@@ -88,19 +90,23 @@ def compile_rules(rows: Iterable, family: str = "custom") -> list[fv.LineRule]:
     return out
 
 
-def load_rules(docs: DataFrame, max_rules: int = MAX_RULES) -> list[fv.LineRule]:
-    """Valid rules as line rules.
+def load_rules(docs: DataFrame, rejected: list | None = None) -> list[fv.LineRule]:
+    """Valid rules as line rules; they become literals of the plan, in as many passes as they need.
 
-    Rules become literals of the plan, so they have to fit in it: a table above ``max_rules``
-    is refused, not cut.
+    ``rejected`` gets (id, reason) of every rule that is left out.
     """
-    valid = validate(docs).filter("valid")
-    order = [c for c in ("source", "ord", "pos", "id") if c in valid.columns]
-    rows = valid.orderBy(*order).limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} custom rules")
-    spark = docs.sparkSession
-    return compile_rules([r for r in rows if java_accepts(spark, r["pattern"])])
+    checked = validate(docs)
+    order = [c for c in ("source", "ord", "pos", "id") if c in checked.columns]
+    rows, kept = checked.orderBy(*order).collect(), []
+    for r in rows:
+        reason = r["reason"]
+        if reason is None and not java_accepts(docs.sparkSession, r["pattern"]):
+            reason = "not supported by the scan engine: the pattern does not compile"
+        if reason is None:
+            kept.append(r)
+        elif rejected is not None:
+            rejected.append((r["id"], reason))
+    return compile_rules(kept)
 
 
 def catalog(spark: SparkSession, custom: list[fv.LineRule] = ()) -> DataFrame:

@@ -1,9 +1,8 @@
 """Exports: JSON and SARIF documents per repository, and fix prompts.
 
 A repository can hold any share of all findings, so its document is never built in one group.
-It is a set of rows (repo, section, ord, path, text) whose texts, in the order of these
-columns, are the document.  Findings enter as one row per severity and file: that group is
-bounded by the file size cap.
+It is a set of rows (repo, section, ord, path, line, rule_ord, column, text) whose texts, in the order
+of these columns, are the document.  Every finding is one row.
 """
 
 from __future__ import annotations
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 
 from vigilake import __version__, fixed_values as fv
 from vigilake.functions import severity
+from vigilake.model import broadcast_if_small
 
-DOCUMENT_ORDER = ["section", "ord", "path"]
+DOCUMENT_ORDER = ["section", "ord", "path", "line", "rule_ord", "column"]
 
 
 def finding_json(reviewed: bool = False) -> Column:
@@ -40,20 +40,24 @@ def sarif_result() -> Column:
 
 
 def _items(findings: DataFrame, item: Column, section: int) -> DataFrame:
-    """Findings as comma-separated rows; only the first row of a repository has no leading comma."""
-    entry = F.struct("line", "rule_ord", "column", item.alias("json"))
-    grouped = findings.groupBy("repo", "path", (-F.col("rank")).alias("ord")).agg(
-        F.array_join(F.sort_array(F.collect_list(entry))["json"], ",").alias("text"))
-    first = grouped.groupBy("repo").agg(F.min(F.struct("ord", "path")).alias("first"))
-    joined = grouped.join(first, "repo")
-    leading = (F.col("ord") == F.col("first.ord")) & (F.col("path") == F.col("first.path"))
+    """Findings as rows with a leading comma; only the first row of a repository has none.
+
+    Findings at the very same place share a row.
+    """
+    place = ["ord", "path", "line", "rule_ord", "column"]
+    rows = findings.select("repo", (-F.col("rank")).alias("ord"), *place[1:], item.alias("item"))
+    rows = rows.groupBy("repo", *place).agg(F.listagg("item", F.lit(",")).alias("text"))
+    first = findings.groupBy("repo").agg(F.min(F.struct((-F.col("rank")).alias("ord"), *place[1:])).alias("first"))
+    joined = rows.join(broadcast_if_small(first), "repo")
     return joined.select(
-        "repo", F.lit(section).alias("section"), "ord", "path",
-        F.when(leading, F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))).alias("text"))
+        "repo", F.lit(section).alias("section"), *place,
+        F.when(F.struct(*place) == F.col("first"), F.col("text")).otherwise(F.concat(F.lit(","), F.col("text"))).alias("text"))
 
 
 def _section(repos: DataFrame, section: int, body: Column) -> DataFrame:
-    return repos.select("repo", F.lit(section).alias("section"), F.lit(0).alias("ord"), F.lit("").alias("path"), body.alias("text"))
+    nothing = {c: F.lit(0).alias(c) for c in ("line", "rule_ord", "column")}
+    return repos.select(
+        "repo", F.lit(section).alias("section"), F.lit(0).alias("ord"), F.lit("").alias("path"), *nothing.values(), body.alias("text"))
 
 
 def json_document(findings: DataFrame, summary: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:

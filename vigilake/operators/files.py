@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake import fixed_values as fv
 from vigilake.functions import paths, text
-from vigilake.model import broadcast_if_small
+from vigilake.functions.bitmaps import bitmap, in_bitmap
+from vigilake.model import broadcast_if_small, is_small
 from vigilake.session import materialize
 
 IGNORE_FILE = ".scanignore"
+CONTROL = "control"
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -25,18 +26,31 @@ def classify(files: DataFrame) -> DataFrame:
     return files.withColumns(added)
 
 
-def readable(files: DataFrame, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:
-    """Drops files longer than the cap (characters, after decoding)."""
-    return files.filter(F.length("content") <= max_chars)
+def readable(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """All files, or those up to a cap (characters, after decoding) where one is asked for."""
+    return files if max_chars is None else files.filter(F.length("content") <= max_chars)
 
 
-def decode(files: DataFrame, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:
-    """``content`` from a binary column ``raw``: decoded, newlines normalised, capped."""
+def not_scanned(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(repo, path, reason) of files that a scan with the same cap leaves out, or that have no content."""
+    reason = F.when(F.col("content").isNull(), F.lit("not readable"))
+    if max_chars is not None:
+        reason = reason.when(F.length("content") > max_chars, F.lit(f"longer than {max_chars} characters"))
+    return files.select("repo", "path", reason.alias("reason")).filter("reason is not null")
+
+
+def decode(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """``content`` from a binary column ``raw``: decoded, newlines normalised, capped only on request."""
     return readable(files.withColumn("content", text.decode_utf8(F.col("raw"))).drop("raw"), max_chars)
 
 
 def ignore_globs(files: DataFrame, ignore_file: str = IGNORE_FILE) -> DataFrame:
-    """(repo, glob) from the ignore file at the root of each repository."""
+    """(repo, glob) from the ignore file at the root of each repository.
+
+    Of a table stored by ``sources.tables`` only the partition of control files is read.
+    """
+    if "language" in files.columns:
+        files = files.filter(F.col("language") == CONTROL)
     return (
         files.filter(F.col("path") == ignore_file)
         .select("repo", F.explode(text.lines_of("content")).alias("glob"))
@@ -54,9 +68,9 @@ def globs_match(globs: list[str], path: Column, name: Column) -> Column:
 def ignore_filter(files: DataFrame, ignores: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
     """Files that the ignore rules let through.
 
-    ``ignores`` holds (repo, glob) rows.  The globs of a repository (one ignore file, so
-    bounded by the size cap) become one regex, and files meet it in an equi-join on ``repo``
-    with at most one row per repository: no theta join, no fan-out.
+    ``ignores`` holds (repo, glob) rows.  The globs of a repository (the lines of one ignore
+    file) become one regex, and files meet it in an equi-join on ``repo`` with at most one row
+    per repository: no theta join, no fan-out.
     """
     path, name = F.col("path"), paths.basename(F.col("path"))
     kept = files.filter(paths.default_keep(path, name))
@@ -64,11 +78,21 @@ def ignore_filter(files: DataFrame, ignores: DataFrame | None = None, extra: lis
         kept = kept.filter(~globs_match(extra, path, name))
     if ignores is None:
         return kept
-    per_repo = ignores.groupBy("repo").agg(
-        F.array_join(F.sort_array(F.collect_set(
-            F.concat(F.lit("(?:"), text.glob_regex_column(F.col("glob")), F.lit(")")))), "|").alias("_ignored"))
-    # stored once: its size is measured, and every pass of a scan reads it
-    joined = kept.join(broadcast_if_small(materialize(per_repo)), "repo", "left")
+    return drop_ignored(kept, ignore_regexes(ignores))
+
+
+def ignore_regexes(ignores: DataFrame) -> DataFrame:
+    """(repo, _ignored): one regex per repository, stored: its size is measured, and every pass of a scan reads it."""
+    one = F.concat(F.lit("(?:"), text.glob_regex_column(F.col("glob")), F.lit(")"))
+    regexes = ignores.select("repo", one.alias("regex")).groupBy("repo").agg(
+        F.array_join(F.sort_array(F.collect_set("regex")), "|").alias("_ignored"))
+    return materialize(regexes)
+
+
+def drop_ignored(rows: DataFrame, regexes: DataFrame) -> DataFrame:
+    """Rows (repo, path, ...) whose path and file name match no regex of their repository."""
+    path, name = F.col("path"), paths.basename(F.col("path"))
+    joined = rows.join(broadcast_if_small(regexes), "repo", "left")
     hit = F.rlike(path, F.col("_ignored")) | F.rlike(name, F.col("_ignored"))
     return joined.filter(F.col("_ignored").isNull() | ~hit).drop("_ignored")
 
@@ -79,8 +103,16 @@ def single_file(files: DataFrame, repo: str, path: str) -> DataFrame:
 
 
 def changed_files(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """Files named in ``changed`` (repo, path): a semi-join, broadcast only when measured small."""
-    return files.join(broadcast_if_small(changed.select("repo", "path").distinct()), ["repo", "path"], "left_semi")
+    """Files named in ``changed`` (repo, path): a semi-join, broadcast only when measured small.
+
+    A longer list is met behind a bitmap of fixed size, so that few other files' text moves.
+    """
+    wanted = changed.select("repo", "path").distinct()
+    if not is_small(wanted):
+        wanted = wanted.withColumn("_key", F.xxhash64("repo", "path"))
+        files = files.filter(in_bitmap(bitmap(wanted, "_key"), F.xxhash64("repo", "path")))
+        return files.join(wanted.drop("_key"), ["repo", "path"], "left_semi")
+    return files.join(F.broadcast(wanted), ["repo", "path"], "left_semi")
 
 
 def numbered_lines(files: DataFrame) -> DataFrame:

@@ -29,14 +29,14 @@ def env_files(files: DataFrame) -> DataFrame:
         (F.col("name") == ".env") & ~paths.in_skipped_dir(F.col("path")))
 
 
-def nearest_git_root(envs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(repo, path, dir): nearest ancestor with ``.git``, at most ten levels up.
+def nearest_git_root(envs: DataFrame, roots: DataFrame, max_levels: int | None = None) -> DataFrame:
+    """(repo, path, dir): nearest ancestor with ``.git``, at any depth unless ``max_levels`` says otherwise.
 
-    Each file yields at most ten ancestor rows, which meet the roots in an equi-join.
+    Each file yields a row for each of its ancestors, which meet the roots in an equi-join.
     """
     parts = F.split("path", "/")
     above = F.size(parts) - 1
-    depth = F.sequence(F.lit(0), F.least(F.lit(fv.GIT_ROOT_MAX_LEVELS - 1), above))
+    depth = F.sequence(F.lit(0), above if max_levels is None else F.least(F.lit(max_levels - 1), above))
     climbed = envs.select("repo", "path", F.posexplode(
         F.transform(depth, lambda k: F.array_join(F.slice(parts, 1, above - k), "/"))).alias("depth", "dir"))
     return (

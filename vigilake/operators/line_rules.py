@@ -147,7 +147,7 @@ def _anchor_test(column: str, rules: Sequence[fv.LineRule], whole_file: bool) ->
     free = [r for r in rules if not r.anchors]
     if free and whole_file:
         return "true"
-    joined = [text.java_pattern(r.pattern) for r in free if not text.has_back_reference(r.pattern)]
+    joined = [text.java_pattern(r.pattern, named=False) for r in free if not text.has_back_reference(r.pattern)]
     for at in range(0, len(joined), RULES_PER_PREFILTER):
         union = "|".join(f"(?:{p})" for p in joined[at:at + RULES_PER_PREFILTER])
         terms.append(f"rlike({column}, {text.sql_string(union)})")
@@ -157,7 +157,7 @@ def _anchor_test(column: str, rules: Sequence[fv.LineRule], whole_file: bool) ->
 
 def text_findings(
     files: DataFrame, line_rules: Sequence[fv.LineRule], file_rules: Sequence[str] = (),
-    env_rules: Sequence[fv.FileRule] = (), max_chars: int = fv.MAX_FILE_CHARS,
+    env_rules: Sequence[fv.FileRule] = (), max_chars: int | None = None,
 ) -> DataFrame:
     """Findings of line, file and environment rules over classified files, in one pass.
 
@@ -169,7 +169,7 @@ def text_findings(
     env = "language = 'dotenv'" if env_rules else "false"
     file_hit = "coalesce(size(file_hits) > 0, false)" if file_rules else "false"
     live = (
-        f"length(content) <= {max_chars} and ({file_hit} or ({env} and contains(content, '=')) "
+        f"{'true' if max_chars is None else f'length(content) <= {max_chars}'} and ({file_hit} or ({env} and contains(content, '=')) "
         f"or {_anchor_test('content', line_rules, True)})")
     # The test sits inside the generator: as a filter it would be pushed through whatever
     # computes the content (decoding, a join) and would repeat that work for every literal.
@@ -191,12 +191,9 @@ def text_findings(
         "repo", "path", "name", "text", (F.col("pos") + 1).alias("line"),
         F.expr(f"inline(array_compact(array({', '.join(hits)})))"))
     cut = text.rstrip(F.col("text"))
-    short = F.when(F.length("text") > 80, F.concat(F.substring(cut, 1, 80), F.lit("..."))).otherwise(cut)
-    hardcoded = next(r.ord for r in fv.FRAMEWORK_LINE_RULES if r.rule_id == "supabase-hardcoded-key")
     snippet = (
         F.when(F.col("arg") == "", F.lit(""))
         .when(F.col("arg").isNotNull(), F.concat("arg", F.lit("=****")))
-        .when(F.col("rule_ord") == hardcoded, short)
         .otherwise(cut))
     rules = [*line_rules, *(fv.FILE_RULES[r] for r in file_rules), *env_rules]
     return with_rule_attributes(found.withColumn("snippet", snippet).drop("text"), rules)

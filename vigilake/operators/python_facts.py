@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import functools
+import unicodedata
 import warnings
 from collections.abc import Sequence
 
@@ -36,11 +38,18 @@ FACT = T.StructType([
 FACTS = T.StructType([T.StructField("facts", T.ArrayType(FACT)), T.StructField("imports", _STRINGS)])
 CALLEES = ["eval", "exec", "system", "execute", *fv.SHELL_CALLS]
 
-# Characters that the Python parser folds to ASCII letters inside identifiers
-COMPATIBILITY_LETTERS = (
-    r"[\x{AA}\x{BA}\x{17F}\x{2B0}-\x{2B8}\x{2E1}-\x{2E3}\x{1D2C}-\x{1D6A}\x{2071}\x{207F}\x{2090}-\x{209C}"
-    r"\x{2100}-\x{217F}\x{2C7C}\x{FB00}-\x{FB06}\x{FF21}-\x{FF5A}\x{1D400}-\x{1D7FF}]"
-)
+
+@functools.cache
+def compatibility_letters() -> str:
+    """Java class of the characters that the Python parser folds to ASCII letters inside identifiers."""
+    ranges: list[list[int]] = []
+    for c in range(0x80, 0x110000):
+        if any(ch.isascii() and ch.isalpha() for ch in unicodedata.normalize("NFKC", chr(c))) and not 0xD800 <= c <= 0xDFFF:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
 
 
 def _called(func: ast.expr) -> str | None:
@@ -131,16 +140,16 @@ def worth_parsing(content: Column) -> Column:
     """Files that can yield a finding: decided in the JVM before any text goes to Python."""
     calls = any_of(content, ["eval", "exec", "system", "shell"])
     routes = F.contains(content, F.lit("@")) & any_of(content, fv.AUTH_INDICATORS)
-    return calls | routes | F.rlike(content, F.lit(COMPATIBILITY_LETTERS))
+    return calls | routes | F.rlike(content, F.lit(compatibility_letters()))
 
 
-def python_facts(files: DataFrame, every_file: bool = False, max_chars: int = fv.MAX_FILE_CHARS) -> DataFrame:
+def python_facts(files: DataFrame, every_file: bool = False, max_chars: int | None = None) -> DataFrame:
     """(repo, path, name, facts, imports) of the Python files among classified files.
 
     Files that cannot yield a finding reach the Python worker as null.
     """
     content = F.col("content")
-    wanted = F.length(content) <= max_chars
+    wanted = content.isNotNull() if max_chars is None else F.length(content) <= max_chars
     if not every_file:
         wanted = wanted & worth_parsing(content)
     python = files.filter(F.col("language") == "python")

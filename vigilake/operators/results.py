@@ -41,6 +41,10 @@ def exit_gate(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def fail_on_gate(summary: DataFrame, fail_on: str) -> DataFrame:
     """Threshold gate over ``severity_summary``; medium and low both fail on any finding."""
+    return summary.select("repo", F.lit(fail_on).alias("fail_on"), _should_fail(fail_on).alias("should_fail"))
+
+
+def _should_fail(fail_on: str) -> Column:
     bad = {
         "critical": F.col("critical") > 0,
         "high": (F.col("critical") > 0) | (F.col("high") > 0),
@@ -48,14 +52,17 @@ def fail_on_gate(summary: DataFrame, fail_on: str) -> DataFrame:
         "low": F.col("total") > 0,
         "none": F.lit(False),
     }[fail_on]
-    return summary.select("repo", F.lit(fail_on).alias("fail_on"), F.when(bad, 1).otherwise(0).alias("should_fail"))
+    return F.when(bad, 1).otherwise(0)
 
 
-def findings_by_file(findings: DataFrame) -> DataFrame:
-    """Per file: number of findings, worst rank and its messages in result order.
+def fail_on_gates(summary: DataFrame, levels: list[str]) -> DataFrame:
+    """The gate at several thresholds, in one pass over the summary."""
+    gates = [F.struct(F.lit(x).alias("fail_on"), _should_fail(x).alias("should_fail")) for x in levels]
+    return summary.select("repo", F.inline(F.array(*gates)))
 
-    A file is bounded by the size cap, so its list is too.
-    """
+
+def findings_by_file(findings: DataFrame) -> DataFrame:
+    """Per file: number of findings, worst rank and its checks in result order (names only, for the findings of one file)."""
     entry = F.struct((-F.col("rank")).alias("r"), "line", "rule_ord", "column", "check_name")
     grouped = findings.groupBy("repo", "path").agg(
         F.count(F.lit(1)).alias("n"), F.max("rank").alias("worst"), F.sort_array(F.collect_list(entry)).alias("e"))

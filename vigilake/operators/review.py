@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake import fixed_values as fv
 from vigilake.functions import severity
+from vigilake.functions.bitmaps import bitmap, in_bitmap
 from vigilake.operators.results import finding_index
 
 VERDICT = "index int, verdict string, confidence int, explanation string, severity string, fix string"
@@ -18,7 +19,7 @@ def random_nonce() -> Column:
 
 
 def truncated(content: Column) -> Column:
-    """What is sent of a file: all of it, or its head and a note."""
+    """The head of a long file and a note, for callers that want one prompt per file at any price."""
     head, tail = fv.REVIEW_TRUNCATED.split("{n}")
     n = F.length(content)
     cut = F.concat(F.substring(content, 1, fv.REVIEW_MAX_CHARS), F.lit(head), n.cast("string"), F.lit(tail))
@@ -29,37 +30,51 @@ def _item() -> Column:
     first = F.concat(
         F.lit("\n"), F.col("idx").cast("string"), F.lit(". ["), F.upper("severity"), F.lit("] Line "),
         F.col("line").cast("string"), F.lit(": "), F.col("check_name"))
-    code = F.when(F.col("snippet") != "", F.concat(
-        F.lit("   Code: "), F.substring("snippet", 1, fv.REVIEW_SNIPPET_CHARS)))
+    code = F.when(F.col("snippet") != "", F.concat(F.lit("   Code: "), F.col("snippet")))
     hint = F.when(F.col("fix_hint") != "", F.concat(F.lit("   Scanner suggestion: "), F.col("fix_hint")))
     return F.array_join(
         F.array_compact(F.array(first, F.concat(F.lit("   Message: "), F.col("message")), code, hint)), "\n")
 
 
-def review_batches(findings: DataFrame, files: DataFrame, nonce: Column | None = None) -> DataFrame:
-    """One prompt per file with findings: fenced, untrusted content and the numbered findings.
+def review_batches(
+    findings: DataFrame, files: DataFrame, nonce: Column | None = None, max_chars: int = fv.REVIEW_MAX_CHARS,
+) -> DataFrame:
+    """Prompts (repo, path, part, parts, n_findings, prompt): fenced, untrusted content and numbered findings.
 
-    Only the part of a file that is sent takes part in the join, and the findings of one file
-    are bounded by the size cap.  ``nonce`` may be an expression over repo, path and content;
-    it is replaced where the file happens to contain it.
+    A file of more than ``max_chars`` characters makes several prompts, which together hold all its text; a
+    finding goes with the part in which its line begins.  Only files with findings (and the few that a bitmap of
+    their keys lets through) take part in the join.  ``nonce`` may be an expression over repo, path and content; it
+    is replaced where the file happens to contain it.
     """
     items = finding_index(findings).groupBy("repo", "path").agg(
-        F.count(F.lit(1)).alias("n_findings"),
-        F.sort_array(F.collect_list(F.struct("idx", _item().alias("item")))).alias("items"))
+        F.sort_array(F.collect_list(F.struct("idx", "line", _item().alias("item")))).alias("items"))
+    keys = findings.select(F.xxhash64("repo", "path").alias("key"))
     chosen = random_nonce() if nonce is None else nonce
-    sent = files.select("repo", "path", truncated(F.col("content")).alias("body"), chosen.alias("n0")).withColumn(
-        "nonce", F.when(F.contains("body", F.col("n0")), F.substring(F.md5(F.concat("n0", "body")), 1, 16))
+    sent = files.filter(in_bitmap(bitmap(keys, "key"), F.xxhash64("repo", "path"))).select(
+        "repo", "path", "content", chosen.alias("n0")).withColumn(
+        "nonce", F.when(F.contains("content", F.col("n0")), F.substring(F.md5(F.concat("n0", "content")), 1, 16))
         .otherwise(F.col("n0"))).drop("n0")
     joined = items.join(sent, ["repo", "path"], "left").withColumn(
-        "body", F.coalesce("body", F.lit("(file not readable)")))
+        "content", F.coalesce("content", F.lit("(file not readable)")))
+    joined = joined.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.length("content") / max_chars)).cast("int"))
+    begin = lambda line: F.when(line <= 1, 0).otherwise(
+        F.length(F.call_function("substring_index", F.col("content"), F.lit("\n"), line - 1)) + 1)
+    placed = F.transform("items", lambda i: F.struct(
+        F.least(F.floor(begin(i["line"]) / max_chars).cast("int"), F.col("parts") - 1).alias("part"), i["item"].alias("item")))
+    each = joined.withColumn("placed", placed).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    each = each.withColumns({
+        "body": F.substr("content", F.col("part") * max_chars + 1, F.lit(max_chars)),
+        "own": F.filter("placed", lambda i: i["part"] == F.col("part"))["item"]}).withColumn("n_findings", F.size("own").cast("long"))
     mark = lambda form: F.replace(F.lit(form), F.lit("{nonce}"), F.col("nonce"))
     note = F.replace(F.replace(F.lit(fv.REVIEW_NOTE), F.lit("{open}"), mark(fv.REVIEW_OPEN)), F.lit("{close}"), mark(fv.REVIEW_CLOSE))
     head = F.concat(
         F.lit("FINDINGS ("), F.col("n_findings").cast("string"), F.lit(" issues flagged by static scanner):"))
+    which = F.when(F.col("parts") > 1, F.concat(
+        F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(" of "), F.col("parts").cast("string"), F.lit(")"))).otherwise("")
     prompt = F.concat_ws(
-        "\n", F.concat(F.lit("FILE: "), F.col("path")), note, mark(fv.REVIEW_OPEN), F.col("body"),
-        mark(fv.REVIEW_CLOSE), F.lit(""), head, F.array_join("items.item", "\n"))
-    return joined.select("repo", "path", "n_findings", prompt.alias("prompt"))
+        "\n", F.concat(F.lit("FILE: "), F.col("path"), which), note, mark(fv.REVIEW_OPEN), F.col("body"),
+        mark(fv.REVIEW_CLOSE), F.lit(""), head, F.array_join("own", "\n"))
+    return each.select("repo", "path", "part", "parts", "n_findings", prompt.alias("prompt"))
 
 
 def parse_verdicts(responses: DataFrame) -> DataFrame:

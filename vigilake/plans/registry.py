@@ -43,7 +43,7 @@ class Checks:
     def scan(self, files: DataFrame, *, min_severity: str = "info", **options) -> DataFrame:
         """The built-in scan plus everything registered here."""
         out = scan(files, min_severity=min_severity, custom_rules=self.rules(), **options)
-        ready = prepare(files, ignores=options.get("ignores"), extra_ignores=options.get("extra_ignores"))
+        ready = prepare(files, **{k: options[k] for k in ("ignores", "extra_ignores", "ignore_rules") if k in options})
         for i, (name, fn) in enumerate(self._checks):
             found = fn(ready).withColumns({
                 "name": paths.basename(F.col("path")), "check_name": F.lit(name),

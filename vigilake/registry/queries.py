@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,11 @@ from vigilake.operators import explain, exports, files as fo, git, python_facts
 from vigilake.operators.line_rules import builtin_line_rules, comment_test
 from vigilake.plans import corpora
 from vigilake.plans.scan import prepare, scan, sort_findings
-from vigilake.session import configure, materialize
-from vigilake.streaming import watch
+from vigilake.session import configure, materialize, shared_folder
+from vigilake.plans.repo_rules import packs_in, scan_repo_rules
+from vigilake.plans.registry import Checks
+from vigilake.registry import replays
+from vigilake.sources import tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -85,7 +89,7 @@ def _(spark, sf):
     docs = corpora.table(spark, sf, "documents")
     raw = F.concat(F.encode("text", "UTF-8"), F.lit(bytearray(b"\r\n\xff tail \xc3\r")), F.encode("lang", "UTF-8"))
     files = docs.select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), raw.alias("raw"))
-    out = fo.decode(files, max_chars=5000)
+    out = fo.decode(files)
     return out.select(
         "repo", "path", F.length("content").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
@@ -411,7 +415,7 @@ def _(spark, sf):
 @query("explain_enrich")
 def _(spark, sf):
     found = explain.explain_findings(code_scan(spark, sf, only=family_ids("injection", "config", "dotenv-secrets")))
-    return found.groupBy("check_name", "family", "title", "patterns").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(*explain.DOC_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("explain_names")
@@ -449,7 +453,7 @@ def _(spark, sf):
 @query("severity_summary")
 def _(spark, sf):
     files = corpora.code_files(spark, sf)
-    kept = fo.readable(prepare(files, ignores=fo.ignore_globs(files)))
+    kept = prepare(files, ignores=fo.ignore_globs(files))
     return results.severity_summary(code_scan(spark, sf, only=family_ids("config", "injection")), kept)
 
 
@@ -461,11 +465,7 @@ def _(spark, sf):
 @query("fail_on_gate")
 def _(spark, sf):
     summary = results.severity_summary(text_findings(spark, sf, "low"), prepare(corpora.text_files(spark, sf)))
-    out = None
-    for level in ("critical", "high", "medium", "low", "none"):
-        one = results.fail_on_gate(summary, level)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return results.fail_on_gates(summary, ["critical", "high", "medium", "low", "none"])
 
 
 @query("findings_by_file")
@@ -587,26 +587,135 @@ def _(spark, sf):
 
 @query("change_detect")
 def _(spark, sf):
-    return watch.replay_change_detect(spark, sf)
+    return replays.replay_change_detect(spark, sf)
 
 
 @query("debounce")
 def _(spark, sf):
-    return watch.replay_debounce(spark, sf)
+    return replays.replay_debounce(spark, sf)
 
 
 @query("stream_scan")
 def _(spark, sf):
-    return watch.replay_scan(spark, sf)
+    return replays.replay_scan(spark, sf)
 
 
 @query("stream_top5")
 def _(spark, sf):
-    return watch.replay_top(spark, sf)
+    return replays.replay_top(spark, sf)
 
 
 @query("stream_baseline_filter")
 def _(spark, sf):
-    return watch.replay_baseline(spark, sf)
+    return replays.replay_baseline(spark, sf)
+
+
+@query("watch_pipeline")
+def _(spark, sf):
+    return replays.replay_pipeline(spark, sf)
+
+
+# -- operators under their own name -----------------------------------------------------------------------
+
+
+@query("single_file")
+def _(spark, sf):
+    """One file that the ignore rules would skip, named as a user names it."""
+    files = corpora.code_files(spark, sf)
+    repo, path = files.filter(F.startswith("path", F.lit("node_modules/"))).select(F.min_by("repo", "path"), F.min("path")).first()
+    return scan(fo.single_file(files, repo, path), ignore_rules=False, git_lookup=False, only=family_ids("injection"))
+
+
+@query("baseline_load")
+def _(spark, sf):
+    """Baselines as they are found: a saved table, a JSON document, a missing and a corrupt one (a null row each)."""
+    folder = shared_folder(spark)
+    found = materialize(results.at_least(text_findings(spark, sf), "medium"))
+    bl.save_baseline(found, f"{folder}/table")
+    one = bl.baseline_rows(found).agg(F.array_sort(F.collect_set(F.when(F.col("repo") == "src1", F.col("fingerprint")))).alias("fingerprints"))
+    one.select(F.to_json(F.struct(F.lit("src1").alias("repo"), F.lit(1).alias("version"), "fingerprints"))).coalesce(1).write.text(f"{folder}/one.json")
+    one.select(F.lit("{not json")).write.text(f"{folder}/corrupt.json")
+    out = None
+    for kind in ("table", "one.json", "missing", "corrupt.json"):
+        known = bl.load_baseline(spark, f"{folder}/{kind}")
+        if known is None:
+            known = spark.createDataFrame([(None, None)], "repo string, fingerprint string")
+        part = known.select(F.lit(kind).alias("kind"), "repo", "fingerprint")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("registered_checks")
+def _(spark, sf):
+    """A registered rule and a registered check next to built-in ones."""
+    checks = Checks()
+    checks.register_rule({"id": "licence-line", "severity": "LOW", "pattern": r"(?i)licen[cs]e", "message": "License line"})
+    checks.register_check("long-file", lambda files: files.filter(F.length("content") > 10_000).select(
+        "repo", "path", F.lit("medium").alias("severity"), F.lit(1).alias("line"), F.lit(0).alias("column"),
+        F.concat(F.length("content").cast("string"), F.lit(" characters")).alias("message"), F.lit("").alias("snippet"), F.lit("").alias("fix_hint")))
+    found = checks.scan(corpora.text_files(spark, sf), only=["licence-line"], extra_ignores=["src1[0-9]/*"])
+    return found.select("repo", "path", "check_name", "severity", "line", "column", "message")
+
+
+MALFORMED_IGNORES = ["[z-a]*", "doc_[!z-a]1.py", "*/doc_[[]*", "[", "*/doc_[]1-3]5.*", "a&&b", "[[...slug]].js", "(", "doc_7?.{ts,js}", "*[7-", "doc_[5-9-b]0.js"]
+
+
+@query("ignore_malformed")
+def _(spark, sf):
+    """Files that odd ignore lines leave; every repository has all of them."""
+    files = corpora.text_files(spark, sf)
+    lines = files.select("repo").distinct().select(
+        "repo", F.lit(fo.IGNORE_FILE).alias("path"), F.lit("\n".join(MALFORMED_IGNORES)).alias("content"))
+    return fo.ignore_filter(files, fo.ignore_globs(lines)).select("repo", "path")
+
+
+DIALECT_RULES = [
+    ("named-one", r"(?P<what>token) = (?P<value>\S+)"), ("named-two", r"(?P<what>GNU|MIT) (?P<value>General|License)"),
+    ("verbose", "(?x) licen[cs]e  # either spelling ("), ("open-repeat", r"\d{,3}\.\d{1,3}\.\d{,3}\.\d{1,3}"),
+    ("nested", r"[[(]\d+[])]"), ("ampersands", r"[&&#]{3}"), ("brace", r"x{|\+1 \(\d{3}\)"), ("conditional", r"(a)?(?(1)b|c)"),
+    ("ascii", r"(?a)\w+@"), ("broken", r"(["), ("back", r"(?P<ch>[*$%])(?P=ch){2}"),
+]
+
+
+@query("dialect_rules")
+def _(spark, sf):
+    """Findings of rules that use what the two regex dialects write differently, and why the others are refused."""
+    rows = [(i, n, "low", None, n, p, None) for i, (n, p) in enumerate(DIALECT_RULES)]
+    rejected: list = []
+    rules = cr.load_rules(spark.createDataFrame(rows, "ord long, " + cr.RULE_DOC), rejected)
+    reasons = dict(rejected)
+    names = spark.createDataFrame([(n, reasons.get(n, "")) for n, _ in DIALECT_RULES], "check_name string, reason string")
+    found = scan(corpora.text_files(spark, sf), custom_rules=rules, only=[r.rule_id for r in rules])
+    return names.join(found.groupBy("check_name").agg(F.count(F.lit(1)).alias("n"), F.sum("column").alias("columns")), "check_name", "left").select(
+        "check_name", "reason", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("columns", F.lit(0)).alias("columns"))
 
 
+REPO_PACKS = [
+    [{"id": "own", "severity": "high", "message": "License line", "pattern": "(?i)licen[cs]e"}],
+    [{"id": "own", "severity": "low", "message": "Token", "pattern": "token = \"[0-9a-f]+", "languages": ["python", "json"]},
+     {"id": "mail", "severity": "medium", "message": "Address", "pattern": r"[a-z]+\.?[0-9]*@[a-z0-9.]+"}],
+    [{"id": "own", "severity": "nonsense", "message": "x", "pattern": "x"}],
+]
+
+
+@query("repo_rules")
+def _(spark, sf):
+    """Every repository's own rule pack, read from its files; the same id means different rules."""
+    files = corpora.text_files(spark, sf)
+    packs = F.array(*[F.lit(json.dumps(p)) for p in REPO_PACKS])
+    number = F.regexp_extract("repo", r"(\d+)$", 1).cast("int")
+    own = files.select("repo").distinct().select(
+        "repo", F.lit(".scan/rules/own.json").alias("path"), F.element_at(packs, F.pmod(number, F.lit(len(REPO_PACKS))) + 1).alias("content"))
+    both = files.unionByName(own)
+    return scan_repo_rules(both, cr.validate(cr.parse_docs(packs_in(both)))).filter(~F.startswith("path", F.lit(".scan/"))).select(
+        "repo", "path", "check_name", "severity", "line", "column", "message")
+
+
+@query("source_tree_read")
+def _(spark, sf):
+    """The text corpus written as a tree of files and read back by listing it in tasks."""
+    folder = shared_folder(spark)
+    folder = folder.removeprefix("file:")
+    tree.write_tree(corpora.text_files(spark, sf), folder)
+    back = tree.read_tree(spark, folder, repo="tree")
+    return back.select("path", F.length("content").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("digest"))

@@ -39,7 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read back: lineage is cut, a second use reads files."""
-    path = f"{shared_folder(df.sparkSession)}/rows"
+    """The rows written to the shared folder and read back: lineage is cut, a second use reads files.
+
+    The files are deleted when the session's file system is closed.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)

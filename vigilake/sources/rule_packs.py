@@ -15,14 +15,11 @@ except ImportError:  # optional
 
 RULES_DIR = ".scan/rules"
 PACK = "source string, ord long, doc string"
-MAX_PACK_BYTES = 16 << 20
 
 
 def _documents(path: str) -> list:
     with open(path, encoding="utf-8") as f:
-        text = f.read(MAX_PACK_BYTES + 1)
-    if len(text) > MAX_PACK_BYTES:
-        raise ValueError(f"{path} is larger than {MAX_PACK_BYTES} bytes")
+        text = f.read()
     if path.endswith(".json"):
         return [json.loads(text)]
     if yaml is None:

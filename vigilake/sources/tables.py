@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.operators.files import classify
-
-CONTROL = "control"
+from vigilake.operators.files import CONTROL, classify
 
 
 def write_files(files: DataFrame, path: str) -> None:

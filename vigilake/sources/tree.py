@@ -1,8 +1,8 @@
 """A Spark data source for source trees on a file system that all executors share.
 
 Spark's own file sources skip names that start with ``.`` or ``_``, which would lose ``.env``
-and ``.gitignore``.  This one lists a tree on the driver (names and sizes only) and lets the
-tasks read the files:
+and ``.gitignore``.  ``read_tree`` lists a tree level by level in tasks and reads its files in tasks.  The data
+source below does the same for small trees that the driver can list:
 
     spark.dataSource.register(SourceTree)
     spark.read.format("source_tree").option("repo", "shop").load("/data/shop")
@@ -15,17 +15,18 @@ the git-root lookup needs; their contents are never read.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from vigilake import fixed_values as fv
 from vigilake.operators.files import decode
+from vigilake.session import materialize
 
 BYTES_PER_TASK = 64 << 20
 FILES_PER_TASK = 10_000
-# a file of more bytes than this cannot decode to fewer characters than the cap
-MAX_FILE_BYTES = 4 * fv.MAX_FILE_CHARS
 
 
 class FileBatch(InputPartition):
@@ -77,12 +78,10 @@ class SourceTreeReader(DataSourceReader):
                 yield (self.repo, name, b"")
                 continue
             try:
-                if os.path.getsize(full) > MAX_FILE_BYTES:
-                    continue
                 with open(full, "rb") as f:
                     yield (self.repo, name, f.read())
-            except OSError:  # unreadable files are skipped
-                continue
+            except OSError:  # a row without content; ``files.not_scanned`` lists it
+                yield (self.repo, name, None)
 
 
 class SourceTree(DataSource):
@@ -97,10 +96,83 @@ class SourceTree(DataSource):
         return SourceTreeReader(self.options)
 
 
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One level below each directory: directories to go on with, files, and ``.git`` as an empty file."""
+    for batch in batches:
+        rows = []
+        for root, here in zip(batch["root"], batch["path"]):
+            full = os.path.join(root, here) if here else root
+            try:
+                entries = sorted(os.scandir(full), key=lambda e: e.name)
+            except OSError:
+                rows.append((root, here, "unreadable", 0))
+                continue
+            for e in entries:
+                name = f"{here}/{e.name}" if here else e.name
+                if e.is_dir(follow_symlinks=False):
+                    rows.append((root, name, "git" if e.name == ".git" else "dir", 0))
+                elif e.is_file():
+                    rows.append((root, name, "file", e.stat().st_size))
+        yield pd.DataFrame(rows, columns=["root", "path", "kind", "size"])
+
+
+LISTING = "root string, path string, kind string, size long"
+
+
+def tree_listing(spark: SparkSession, root: str) -> DataFrame:
+    """(root, path, kind, size) of everything below a folder that all executors share.
+
+    A round per level: the directories of a level are listed by tasks, and only their number comes to the driver.
+    """
+    level = spark.createDataFrame([(root, "")], "root string, path string")
+    out = None
+    while True:
+        found = materialize(level.repartition("path").mapInPandas(_listed, LISTING))
+        out = found if out is None else out.unionByName(found)
+        level = found.filter("kind = 'dir'").select("root", "path")
+        if level.isEmpty():
+            return out.filter("kind <> 'dir'")
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for root, path, kind in zip(batch["root"], batch["path"], batch["kind"]):
+            raw = b"" if kind == "git" else None
+            if kind == "file":
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        raw = f.read()
+                except OSError:  # a row without content; ``files.not_scanned`` lists it
+                    raw = None
+            yield pd.DataFrame({"path": [path], "raw": pd.Series([raw], dtype=object)})
+
+
 def read_tree(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
-    """(repo, path, content) of a tree on disk."""
-    spark.dataSource.register(SourceTree)
-    reader = spark.read.format("source_tree")
-    if repo is not None:
-        reader = reader.option("repo", repo)
-    return decode(reader.load(path))
+    """(repo, path, content) of a tree on disk, listed and read by tasks; a single file works too."""
+    if os.path.isfile(path):
+        spark.dataSource.register(SourceTree)
+        reader = spark.read.format("source_tree")
+        return decode((reader if repo is None else reader.option("repo", repo)).load(path))
+    if not os.path.isdir(path):
+        raise FileNotFoundError(path)
+    listing = tree_listing(spark, path)
+    size = listing.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(size[0] // BYTES_PER_TASK, size[1] // FILES_PER_TASK, 1)
+    raw = listing.repartition(int(tasks), "path").mapInPandas(_read, "path string, raw binary")
+    return decode(raw.select(F.lit(repo or os.path.basename(os.path.abspath(path))).alias("repo"), "path", "raw"))
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Files (path, content) as a tree below a folder that all executors share; returns their number."""
+    root = root.removeprefix("file:")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                full = os.path.join(root, name)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write((content or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

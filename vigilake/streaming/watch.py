@@ -9,26 +9,24 @@ the time of the last scan, at most one postponed change and the polls that wait
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilake import fixed_values as fv
 from vigilake.functions import paths
-from vigilake.model import FINDING_COLUMNS
-from vigilake.operators import baseline as bl
+from vigilake.functions.bitmaps import bitmap, in_bitmap
+from vigilake.model import FINDING_COLUMNS, broadcast_if_small
 from vigilake.operators import results
-from vigilake.plans import corpora
+from vigilake.operators.files import ignore_filter
 from vigilake.plans.scan import scan
-from vigilake.session import shared_folder
 
-WATERMARK = "10 seconds"
 POLL_US = 500_000
 POLLS_PER_SCAN = int(fv.WATCH_INTERVAL_SECONDS * 1_000_000) // POLL_US
-END = "end of input"
+END = "end of input"  # a repository name that only moves the watermark
 
 
 def watchable(changes: DataFrame) -> DataFrame:
@@ -37,19 +35,28 @@ def watchable(changes: DataFrame) -> DataFrame:
     return changes.filter(paths.suffix(name).isin(fv.WATCHED_SUFFIXES) & paths.default_keep(F.col("path"), name))
 
 
-def change_detect(changes: DataFrame, snapshot: DataFrame | None = None, delay: str = WATERMARK) -> DataFrame:
+def _watermarked(rows: DataFrame, column: str, delay: str | None) -> DataFrame:
+    if not rows.isStreaming:
+        return rows
+    if delay is None:
+        raise ValueError("say how late changes may arrive: state is kept, and results wait, that long")
+    return rows.withWatermark(column, delay)
+
+
+def change_detect(changes: DataFrame, snapshot: DataFrame | None = None, delay: str | None = None) -> DataFrame:
     """(repo, path, poll, event_id, at, seen_at): the newest change of each file and poll.
 
     ``poll`` numbers the polls; a change is seen by the first poll after it.  ``snapshot``
     (repo, path, mtime) holds the files as they were at the start: only newer changes count.
-    Changes that arrive more than ``delay`` out of order are dropped.
+    On streams ``delay`` is the caller's choice, there is no default: changes later than that are dropped, and
+    results wait for it.  ``registry.replays`` shows a delay that drops nothing.
     """
     if snapshot is not None:
         before = snapshot.select("repo", "path", F.col("mtime").alias("known"))
         changes = changes.join(before, ["repo", "path"], "left").filter("known is null or mtime > known").drop("known")
     newest = F.max(F.struct(F.unix_micros("mtime").alias("at"), "event_id")).alias("newest")
     return (
-        changes.withWatermark("mtime", delay)
+        _watermarked(changes, "mtime", delay)
         .groupBy("repo", "path", F.window("mtime", f"{POLL_US // 1000} milliseconds").alias("w"))
         .agg(newest)
         .select(
@@ -84,7 +91,7 @@ def _poll_ms(poll: int) -> int:
 def _throttle(key, batches: Iterator[pd.DataFrame], state: GroupState):
     """Waits for the watermark before it looks at a poll, so the order of arrival does not matter.
 
-    What waits in the state spans the watermark's delay: about twenty polls.
+    What waits in the state spans the watermark's delay.
     """
     if key[0] == END:
         return
@@ -108,119 +115,50 @@ def _throttle(key, batches: Iterator[pd.DataFrame], state: GroupState):
     yield pd.DataFrame([(*key, e, t, edge) for t, e, edge in scans], columns=["repo", "path", "event_id", "poll", "edge"])
 
 
-def debounce(seen: DataFrame, delay: str = WATERMARK) -> DataFrame:
+def debounce(seen: DataFrame, delay: str) -> DataFrame:
     """Scans to run: at most one per second and file, the newest content never lost.
 
     ``seen`` is the stream of a table that ``change_detect`` writes; Spark does not chain this
     operator behind an aggregation in one query.  ``delay`` bounds how far out of order the
     table may be read, and is also how long a scan waits.
     """
-    rows = seen.select("repo", "path", "poll", "event_id", "seen_at").withWatermark("seen_at", delay)
+    rows = _watermarked(seen.select("repo", "path", "poll", "event_id", "seen_at"), "seen_at", delay)
     return rows.groupBy("repo", "path").applyInPandasWithState(
         _throttle, "repo string, path string, event_id long, poll long, edge string",
         "last long, pending long, polls array<long>, events array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def scan_changes(changes: DataFrame, min_severity: str = fv.WATCH_MIN_SEVERITY, **options) -> DataFrame:
+def scan_changes(
+    changes: DataFrame, min_severity: str = fv.WATCH_MIN_SEVERITY, ignores: DataFrame | None = None,
+    extra_ignores: list[str] | None = None, **options,
+) -> DataFrame:
     """Findings of each change, scanned alone; works on batches and streams, nothing is shuffled.
 
-    Git lookups need other files of the tree and custom rules are an option here.
+    ``ignores`` (repo, glob) apply to the repository of the change.  Git lookups need other files of the tree
+    and custom rules are an option here.
     """
-    # the change travels in the repository column, so that versions of one file stay apart
-    files = watchable(changes).select(
-        F.concat_ws("@", "repo", F.col("event_id").cast("string")).alias("repo"), "path", "content")
-    found = scan(files, min_severity=min_severity, git_lookup=False, **options)
+    # ignore rules see the repository; then the change travels in its column, so that versions of one file stay apart
+    kept = ignore_filter(watchable(changes), ignores, extra_ignores)
+    files = kept.select(F.concat_ws("@", "repo", F.col("event_id").cast("string")).alias("repo"), "path", "content")
+    found = scan(files, min_severity=min_severity, git_lookup=False, ignore_rules=False, **options)
     return found.select(
         F.substring_index("repo", "@", -1).cast("long").alias("event_id"),
         F.regexp_replace("repo", "@[^@]*$", "").alias("repo"), *[c for c in FINDING_COLUMNS if c != "repo"])
 
 
-def top_findings(found: DataFrame, n: int = fv.WATCH_TOP) -> DataFrame:
-    """First n findings of each change and how many more there are (batch only)."""
-    apart = found.withColumn("repo", F.concat_ws("@", "repo", F.col("event_id").cast("string")))
-    return results.top_n_per_file(apart, n).withColumn("repo", F.regexp_replace("repo", "@[^@]*$", ""))
-
-
-# -- replays: the stream operators over a table of events, until it is drained -------------------
-
-
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = (
-        spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet*").option("maxFilesPerTrigger", 1000)
-        .parquet(sf_dir))
-    return corpora.change_events(corpora.spread(events, "events", table.rdd.getNumPartitions()))
-
-
-def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable | None = None) -> DataFrame:
-    """Runs the stream until its source is empty and returns what it wrote.
-
-    Results go to files in the shared folder, never through the driver.  A batch that is
-    repeated after a failure replaces its own output.
-    """
-    out = f"{folder}/out"
-    schema = stream.schema if each is None else each(spark.createDataFrame([], stream.schema)).schema
-    if each is None:
-        writer = stream.writeStream.format("parquet").option("path", out)
-    else:
-        def write(df: DataFrame, batch_id: int) -> None:
-            each(df).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-        writer = stream.writeStream.foreachBatch(write)
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(out)
-
-
-def _replay_to_end(stream: DataFrame, spark: SparkSession, operator: Callable[[DataFrame], DataFrame]) -> str:
-    """Drains the stream, then sends an end marker that moves the watermark past the last window and timer.
+def scan_released(changes: DataFrame, released: DataFrame, n: int = fv.WATCH_TOP, **options) -> DataFrame:
+    """The watcher's output: the first findings of every change that the throttle released (batch).
 
-    Returns the folder of the results.
+    ``released`` (repo, path, event_id, poll) is what ``debounce`` writes; its content is looked up among
+    ``changes`` behind a bitmap, so that few other changes' text moves.
     """
-    folder = shared_folder(spark)
-    ends = f"{folder}/ends"
-    values = {"string": F.lit(END), "bigint": F.lit(-1).cast("long"), "timestamp": F.lit("2100-01-01").cast("timestamp")}
-    marker = spark.range(1).select(*[values[t].alias(c) for c, t in stream.dtypes])
-    marker.limit(0).write.parquet(ends)
-    result = operator(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)))
-    drain(result, spark, folder)
-    marker.write.mode("append").parquet(ends)
-    drain(result, spark, folder)
-    return f"{folder}/out"
-
-
-def _seen(spark: SparkSession, sf_dir: str) -> str:
-    changes = watchable(event_stream(spark, sf_dir)).select("repo", "path", "event_id", "mtime")
-    return _replay_to_end(changes, spark, change_detect)
-
-
-def replay_change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = spark.read.parquet(_seen(spark, sf_dir))
-    return seen.filter(F.col("repo") != END).select("repo", "path", "event_id", "poll", "at")
-
-
-def replay_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = _seen(spark, sf_dir)
-    seen = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
-    return spark.read.parquet(_replay_to_end(seen, spark, debounce))
+    key = F.xxhash64("repo", "path", "event_id")
+    wanted = released.select("repo", "path", "event_id").distinct()
+    near = changes.filter(in_bitmap(bitmap(wanted.withColumn("key", key), "key"), key))
+    return top_findings(scan_changes(near.join(broadcast_if_small(wanted), ["repo", "path", "event_id"], "left_semi"), **options), n)
 
 
-def replay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(scan_changes(event_stream(spark, sf_dir)), spark, shared_folder(spark))
-
-
-def replay_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_changes(event_stream(spark, sf_dir))
-    return drain(found, spark, shared_folder(spark), top_findings).select(
-        "repo", "path", "event_id", "pos", "more", "check_name", "line")
-
-
-def replay_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream of findings without those that a saved baseline of high findings knows."""
-    folder = shared_folder(spark)
-    changes = corpora.change_events(corpora.table(spark, sf_dir, "events"))
-    bl.save_baseline(scan_changes(changes, min_severity="high"), f"{folder}/baseline")
-    fresh = bl.filter_baseline(scan_changes(event_stream(spark, sf_dir)), bl.load_baseline(spark, f"{folder}/baseline"))
-    return drain(fresh, spark, folder).select("repo", "path", "event_id", "check_name", "line", "fingerprint")
+def top_findings(found: DataFrame, n: int = fv.WATCH_TOP) -> DataFrame:
+    """First n findings of each change and how many more there are (batch only)."""
+    apart = found.withColumn("repo", F.concat_ws("@", "repo", F.col("event_id").cast("string")))
+    return results.top_n_per_file(apart, n).withColumn("repo", F.regexp_replace("repo", "@[^@]*$", ""))
