@@ -5,13 +5,16 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: size of the filters that go in front of joins; it does not grow with the data
-BITMAP_BITS = 22
+from vigilake.functions.bitmaps import bitmap, in_bitmap
+from vigilake.session import materialize
+
+__all__ = [
+    "NOT_SPACES", "SPACES", "bitmap", "ensure_checkpoint_dir", "fresh", "in_bitmap", "keep", "partitions", "ranked", "release", "store", "text_of",
+]
 
 SPACES = r"[\x20\x09-\x0D]"
 NOT_SPACES = r"[^\x20\x09-\x0D]"
@@ -79,30 +82,7 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
     return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_before", "_at")
 
 
-def bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> Column:
-    """A scalar subquery: 2**bits bits as an array of longs, set at the keys.  Its size does not depend on theirs."""
-    have = keys.select(F.pmod(F.col(key), F.lit(1 << bits)).alias("slot")).selectExpr(
-        "slot div 64 as id", "shiftleft(1L, cast(slot % 64 as int)) as bit")
-    words = keys.sparkSession.range(1 << (bits - 6)).join(have.groupBy("id").agg(F.bit_or("bit").alias("bit")), "id", "left")
-    whole = words.groupBy((F.col("id") / 1024).cast("long").alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit")))).alias("w"))
-    return whole.agg(F.array_sort(F.collect_list(F.struct("part", F.col("w.bit").alias("w")))).alias("a")).select(
-        F.flatten(F.col("a.w")).alias("bits")).scalar()
-
-
-def in_bitmap(bits_column: Column, key: Column, bits: int = BITMAP_BITS) -> Column:
-    """True for every key of the bitmap and for few others, as long as the keys are fewer than the bits."""
-    slot = F.pmod(key, F.lit(1 << bits))
-    word = F.element_at(bits_column, (F.floor(slot / 64) + 1).cast("int"))
-    return F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
 def store(df: DataFrame) -> DataFrame:
     """The rows as compressed Parquet in the shared checkpoint folder; the files go when the session ends."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    ensure_checkpoint_dir(df.sparkSession)
+    return materialize(df)
