@@ -15,7 +15,8 @@ orders with different tables and hashes, and ``STARS`` purely random ones, are u
    components is lost, and the pairs inside a component are never listed.
 
 A shingle whose classes are all in one component yields nothing, whatever their number.  Of the others, the
-classes outside the shingle's largest component are paired with all.
+classes outside the shingle's largest component are paired with all whose parities allow the similarity: two sets
+differ in at least as many shingles as their parities differ in bits.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are their own
 component; a text of fewer words is one shingle; a null doc_id counts in links but is no component_id unless
@@ -26,6 +27,8 @@ kept by ``keep_first`` and not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +42,8 @@ from vigilake.llm.components import components
 STARS = 4
 SKETCH_BITS = 16
 SKETCH_PARTS = 64
+#: parities of a set: how often its shingles fall on each of so many places, modulo 2
+SIGN_BITS = 512
 #: members that one copy of a star's centre is compared with
 PER_CENTRE = 512
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377)]
@@ -54,6 +59,12 @@ def _node(s: np.ndarray) -> bytes:
     return np.array([s.sum(dtype=np.uint64), ta.mix(s ^ _SALTS[0]).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def _sign(s: np.ndarray) -> np.ndarray:
+    """Parities of a set.  Those of two sets differ where those of their symmetric difference are odd."""
+    places = np.bincount((s & np.uint64(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS)
+    return np.packbits((places & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -99,7 +110,7 @@ def _profile(rows: DataFrame, k: int) -> DataFrame:
 def _sketch(profile: DataFrame) -> np.ndarray:
     """Both tables of counts, summed over all tasks: a fixed number of numbers."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -109,7 +120,7 @@ def _sketch(profile: DataFrame) -> np.ndarray:
             [pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["part", "counts"])
 
     rows = profile.filter("part is not null").select("part", "counts").repartition(SKETCH_PARTS, "part").mapInArrow(
-        add, "part int, counts array<long>").collect()
+        total, "part int, counts array<long>").collect()
     out = np.zeros((SKETCH_PARTS, (2 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in rows:
         out[r["part"]] += np.array(r["counts"], np.int64)
@@ -117,8 +128,8 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(node, first, last, second, central): prefix shingles in the two rarity orders, the rank of the last of the
-    first, and how frequent the shingles are.
+    """(node, first, last, second, central, sign): prefix shingles in the two rarity orders, the rank of the last of
+    the first, how frequent the shingles are, and the set's parities.
 
     A set is sent once per task.
     """
@@ -127,7 +138,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            nodes, first, last, second, central = [], [], [], [], []
+            nodes, first, last, second, central, sign = [], [], [], [], [], []
             for _, _, data, offsets in ta.slices(batch.column(0)):
                 for s in ta.shingle_sets(data, offsets, k):
                     if not len(s) or (node := _node(s)) in seen:
@@ -136,6 +147,7 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     size = prefix_length(len(s), percent)
                     t = _other(s)
                     nodes.append(node)
+                    sign.append(_sign(s))
                     rank = counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     central.append(float(np.log(rank).mean()))
                     order = np.lexsort((s, rank))[:size]
@@ -145,9 +157,10 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     second.append((t[order] & np.uint64(0x7FFFFFFF)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.binary()),
-                 pa.array(second, pa.list_(pa.int32())), pa.array(central, pa.float64())], ["node", "first", "last", "second", "central"])
+                 pa.array(second, pa.list_(pa.int32())), pa.array(central, pa.float64()), pa.array(sign, pa.list_(pa.int64()))],
+                ["node", "first", "last", "second", "central", "sign"])
 
-    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>, central double")
+    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>, central double, sign array<long>")
 
 
 def _sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -235,15 +248,17 @@ def _prefix_pairs(prefixes: DataFrame, percent: int, width: int) -> DataFrame:
     # the most that may come before the first common shingle, whatever the partner's size
     keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))).repartition(width, "token")
     several = keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    mixed = keep(keyed.join(several, "token"))
+    mixed = keep(keyed.join(several, "token").join(prefixes.select("cid", "sign"), "cid").repartition(width, "token"))
     del keyed, several
     release(prefixes.sparkSession)
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos")])
+    outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos", "sign")])
     need = F.ceil((F.col("x_n") + F.col("n")) * percent / F.lit(100 + percent))
+    odd = reduce(add, [F.bit_count(F.col("x_sign")[i].bitwiseXOR(F.col("sign")[i])) for i in range(SIGN_BITS // 64)])
     met = outside.join(mixed, "token").filter(
         (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), percent)
-        & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need))
+        & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need)
+        & (odd <= F.col("x_n") + F.col("n") - 2 * need))
     pairs = met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
     facts = prefixes.select("cid", "n", "first", "last", "second")
     for side in ("a", "b"):
@@ -267,7 +282,7 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         "cid", F.monotonically_increasing_id()))
     release(spark)
     prefixes = keep(_prefixes(rows, k, percent, _sketch(profile)).groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("first", "last", "second", "central")]).join(
+        *[F.first(c).alias(c) for c in ("first", "last", "second", "central", "sign")]).join(
         classes.select("cid", "node", "n", "stars"), "node").drop("node"))
     release(spark)
     links = keep(_verified(rows, classes, _star_pairs(prefixes, percent), k, percent))
