@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import textarrays as ta
-from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, partitions, release, store
+from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, release, store
 from vigilake.llm.components import components
 
 STARS = 4
@@ -236,7 +236,7 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def _prefix_pairs(prefixes: DataFrame, percent: int, width: int) -> DataFrame:
+def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that pass the filters of both rarity orders.
 
     A pair is made at its first common shingle in the first order: what comes before it in either set is not in the
@@ -246,10 +246,12 @@ def _prefix_pairs(prefixes: DataFrame, percent: int, width: int) -> DataFrame:
     """
     keyed = prefixes.select(F.posexplode("first").alias("pos", "token"), "cid", "comp", "n")
     # the most that may come before the first common shingle, whatever the partner's size
-    keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100))).repartition(width, "token")
-    several = keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-    mixed = keep(keyed.join(several, "token").join(prefixes.select("cid", "sign"), "cid").repartition(width, "token"))
-    del keyed, several
+    keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)))
+    several = keep(keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
+    release(prefixes.sparkSession)
+    # most shingles are in one component only: their rows are not moved
+    near = keyed.filter(in_bitmap(bitmap(several, "token"), F.col("token")))
+    mixed = keep(near.join(several, "token").join(prefixes.select("cid", "sign"), "cid"))
     release(prefixes.sparkSession)
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
     outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos", "sign")])
@@ -290,7 +292,7 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = prefixes.drop("stars").join(
         joined.select(F.col("u").alias("cid"), F.col("v").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    more = keep(_verified(rows, classes, _prefix_pairs(known, percent, partitions(spark)), k, percent))
+    more = keep(_verified(rows, classes, _prefix_pairs(known, percent), k, percent))
     release(spark)
     every = joined.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(every)
