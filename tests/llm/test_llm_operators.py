@@ -334,6 +334,18 @@ def test_near_duplicates(docs, prose, seed, k, percent):
     assert {r["doc_id"] for r in jaccard_join.keep_first(docs(texts), k, percent).collect()} == want
 
 
+@pytest.mark.parametrize("common,left,right", [(0, 0, 0), (0, 1, 1), (400, 30, 0), (100, 7, 9), (5000, 900, 700)])
+def test_parities_never_exceed_the_difference(common, left, right):
+    """What the token join drops by parities differs in more shingles than the similarity allows."""
+    rng = np.random.default_rng(common + left)
+    drawn = np.unique(rng.integers(0, 2**63, common + left + right, dtype=np.uint64))
+    rng.shuffle(drawn)
+    a, b = drawn[:common + left], np.concatenate([drawn[:common], drawn[common + left:]])
+    odd = sum(int(x).bit_count() for x in (jaccard_join._sign(a) ^ jaccard_join._sign(b)).view(np.uint64))
+    assert odd <= left + right and (left + right - odd) % 2 == 0
+    assert len(jaccard_join._sign(a)) == jaccard_join.SIGN_BITS // 64
+
+
 def test_prefix_filter_alone_loses_no_link(docs, prose, monkeypatch):
     """Without the random orders every link has to be found by the rarity orders."""
     texts = {}
