@@ -93,6 +93,20 @@ def test_keepers(odd, docs, benchmark, labels, name):
     assert run(docs({})).collect() == []
 
 
+def test_one_row_stays_of_each_component(docs, prose):
+    """Null ids, repeated rows of the keeper, and a clean text under the id of a near copy."""
+    a, b, c, d, clean = (prose(80, s) for s in (3, 11, 12, 13, 14))
+    rows = [
+        (3, a), (None, a), (None, a + " more"), (4, a.upper()), (4, clean), (3, a),  # 3 is kept once, the clean text of 4 stays
+        (None, b), (None, b), (9, c), (9, c), (9, c + " more"),  # one row each, though every id is null or the same
+        (None, d), (1, None), (1, None), (1, " "), (None, "")]
+    got = jaccard_join.keep_first(docs(rows)).collect()
+    with_text = sorted(((r["doc_id"] or 0, r["text"]) for r in got if (r["text"] or "").strip()))
+    assert [(i, t) for i, t in with_text if i not in (9,)] == sorted([(0, b), (0, d), (3, a), (4, clean)])
+    assert [t for i, t in with_text if i == 9][0] in (c, c + " more") and sum(i == 9 for i, _ in with_text) == 1
+    assert sum(not (r["text"] or "").strip() for r in got) == 4
+
+
 def test_stages_on_odd_rows(spark, odd, benchmark, labels, tmp_path):
     for name, table in (("documents", odd), ("benchmark", benchmark), ("labels", labels)):
         table.write.parquet(f"{tmp_path}/{name}.parquet")

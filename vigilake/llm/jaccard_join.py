@@ -21,7 +21,7 @@ differ in at least as many shingles as their parities differ in bits.
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are their own
 component; a text of fewer words is one shingle; a null doc_id counts in links but is no component_id unless
 the component has no other; repeated rows fall into one class; an empty table gives no rows; other columns are
-kept by ``keep_first`` and not read.
+kept by ``keep_first`` and only read to choose one of several rows of equal doc_id and text.
 """
 
 from __future__ import annotations
@@ -314,13 +314,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the document with the smallest doc_id, all columns kept; rows of equal doc_id stay together.
+    """Of each component one row, all columns kept: the smallest doc_id, nulls last, then the smallest hash of the text.
 
-    Documents move only where a bitmap of the ids that go cannot tell that they stay.
+    Rows that agree in both are told apart by their other columns.  Rows without shingles all stay.  Documents move
+    only where a bitmap of the (doc_id, text) that change cannot tell that they stay.
     """
-    name = fresh(docs, "gone")
-    gone = keep(near_duplicates(docs, words, percent, id_col, text_col).filter("doc_id <> component_id").select(
-        F.col("doc_id").alias(name)).distinct().withColumn("key", F.xxhash64(name)))
-    maybe = in_bitmap(bitmap(gone, "key"), F.xxhash64(F.col(id_col)))
-    stay = docs.filter(maybe).join(gone.select(name), F.col(id_col) == F.col(name), "left_anti")
-    return docs.filter(~maybe).unionByName(stay)
+    documents, member = _classes(docs, words, percent, id_col, text_col)
+    linked = documents.filter("n > 0").select("doc_id", "text_hash", "node")
+    place = F.struct(F.col("doc_id").isNull().alias("nul"), "doc_id", "text_hash")
+    least = linked.groupBy("node").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("rows")).join(member, "node")
+    first = least.groupBy("comp").agg(F.min("least").alias("first"), F.sum("rows").alias("size")).filter("size > 1")
+    named = keep(least.select("node", "comp").join(first, "comp").select("node", "first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gid, ghash, gkey = (fresh(docs, c) for c in ("gone_id", "gone_hash", "gone_key"))
+    changed = keep(
+        linked.join(named, "node").groupBy(F.col("doc_id").alias(gid), F.col("text_hash").alias(ghash), same.alias("first"))
+        .agg(F.count(F.lit(1)).alias("rows")).filter("not first or rows > 1").withColumn(gkey, F.xxhash64(gid, ghash)))
+    own_id, own_hash = F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own_key = F.xxhash64(own_id, own_hash)
+    met = own_id.eqNullSafe(F.col(gid)) & (own_hash == F.col(ghash))
+    maybe = in_bitmap(bitmap(changed, gkey), own_key)
+    out = docs.filter(~maybe).unionByName(docs.filter(maybe).join(changed.select(gid, ghash), met, "left_anti"))
+    repeated = changed.filter("first").select(gid, ghash, gkey)
+    if repeated.isEmpty():
+        return out
+    rows = docs.filter(in_bitmap(bitmap(repeated, gkey), own_key)).join(repeated.select(gid, ghash), met, "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = rows.groupBy(own_id.alias(gid), own_hash.alias(ghash)).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*hashed)).alias("row"))
+    return out.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
