@@ -90,6 +90,17 @@ def test_spans_are_cut(spark, docs, contaminated):
     assert all(not r["spans"] for r in decontamination.contamination(clean, items).collect())
 
 
+def test_spans_of_several_blocks_are_cut_at_once(spark, docs):
+    """Windows of two blocks that overlap, that touch, and words that only a cut makes neighbours."""
+    w = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame(
+        [(i, " ".join(x)) for i, x in enumerate([w[:10], w[5:15], w[20:30], w[30:40], w[15:20] + ["a", "b", "c", "d", "e"]])], "item_id long, text string")
+    texts = {0: " ".join(w[:15]), 1: " ".join(["x", *w[20:40], "y"]), 2: " ".join([*w[15:20], *w[:10], "a b c d e"]), 3: None}
+    for size in (1 << 20, 100, 30):
+        clean = {r["doc_id"]: r["text"] for r in decontamination.remove_spans(docs(texts), items, block_bytes=size).collect()}
+        assert clean == {0: "", 1: "x  y", 2: " ".join(w[15:20]) + "  a b c d e", 3: None}, size
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------
 
 

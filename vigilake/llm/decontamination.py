@@ -4,7 +4,7 @@ The fingerprints of all windows (``n`` consecutive words of an item; a shorter i
 broadcast; a bitmap over fingerprint bits passes few positions of a text, the sorted fingerprints fewer, and
 the words themselves decide.  Nothing is shuffled.  The broadcast is bounded: a benchmark of more than
 ``BLOCK_BYTES`` of text is cut into blocks of whole items, each block is one pass over the documents, and the
-hits of the passes are merged per row.
+hits of the passes are merged per row.  Spans are cut after the last pass, so no cut hides or makes a hit.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no windows; items
 that share an id are one item; an item with null id is left out; an empty table or benchmark gives no hits;
@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import textarrays as ta
+from vigilake.llm.common import fresh
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 BITMAP_BITS = 22
+SPAN = ("lo", "hi", "first", "last")
 
 
 class Windows:
@@ -151,29 +153,62 @@ def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def _removal(docs: DataFrame, windows: Windows, text_col: str, whole: bool) -> DataFrame:
+def _without_hits(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at)
-            found = [spans for *_, spans in scan_text(texts, shared.value)]
-            if whole:
-                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
-                continue
-            clean = []
-            for text, spans in zip(texts, found):
+            found = [spans for *_, spans in scan_text(batch.column(at), shared.value)]
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def merged(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+    """Spans (lo, hi, first byte, last byte) with those joined that overlap or touch in words."""
+    out: list[tuple[int, ...]] = []
+    for x in sorted(spans):
+        if out and x[0] <= out[-1][1]:
+            a = out[-1]
+            out[-1] = (a[0], max(a[1], x[1]), a[2], max(a[3], x[3]))
+        else:
+            out.append(x)
+    return out
+
+
+def _with_spans(rows: DataFrame, windows: Windows, at: int) -> DataFrame:
+    """Adds the hits of a block to the spans in the last column; the text stays as it is."""
+    shared = rows.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for known, (_, found, _, places) in zip(batch.column(batch.num_columns - 1), scan_text(batch.column(at), shared.value)):
+                now = [tuple(x.values()) for x in known.as_py()] + [(*f, *p) for f, p in zip(found, places)]
+                spans.append([dict(zip(SPAN, x)) for x in merged(now)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, batch.schema.types[-1])], schema=batch.schema)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _cut(rows: DataFrame, docs: DataFrame, at: int) -> DataFrame:
+    """The columns of ``docs``, with the spans in the last column of ``rows`` cut out of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, clean = batch.column(at), []
+            for text, spans in zip(texts, batch.column(batch.num_columns - 1).to_pylist()):
                 raw, last, parts = (text.as_py() or "").encode(), 0, []
-                for a, b in spans:
-                    parts.append(raw[last:a])
-                    last = b
+                for x in spans:
+                    parts.append(raw[last:x["first"]])
+                    last = x["last"]
                 clean.append(b"".join([*parts, raw[last:]]).decode() if spans else text.as_py())
-            columns = list(batch.columns)
+            columns = list(batch.columns[:-1])
             columns[at] = pa.array(clean, texts.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def remove_documents(
@@ -182,7 +217,7 @@ def remove_documents(
 ) -> DataFrame:
     """The documents without a hit, all columns kept."""
     for w in blocks(benchmark, item_col, item_text_col, n, block_bytes):
-        docs = _removal(docs, w, text_col, True)
+        docs = _without_hits(docs, w, text_col)
     return docs
 
 
@@ -190,10 +225,9 @@ def remove_spans(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """All documents, hit words and what stands between them cut out.
-
-    With several blocks a span is cut before the next block is looked up, as in a second run.
-    """
+    """All documents, hit words and what stands between them cut out, once all blocks are looked up."""
+    at = docs.columns.index(text_col)
+    rows = docs.withColumn(fresh(docs, "spans"), F.array().cast(f"array<struct<{', '.join(f'{c}: bigint' for c in SPAN)}>>"))
     for w in blocks(benchmark, item_col, item_text_col, n, block_bytes):
-        docs = _removal(docs, w, text_col, False)
-    return docs
+        rows = _with_spans(rows, w, at)
+    return _cut(rows, docs, at)
