@@ -74,6 +74,26 @@ def test_baseline_round_trip_and_missing(spark, some, tmp_path):
     assert bl.load_baseline(spark, str(doc)) is None
 
 
+def test_documents_of_all_repositories(spark, some, tmp_path):
+    """Every repository has a document of its own, in order, and its lines come back as rows."""
+    names = ["repo", "path", "name", "check_name", "snippet", "line"]
+    many = spark.createDataFrame([(f"r{i % 3}", f"p/{i}.js", f'{i * 37 % 997}".js', "c", f"s{i}", 1) for i in range(900)], names)
+    for found in (some, many):
+        at = str(tmp_path / "documents")
+        bl.save_documents(found, at)
+        want = rows(bl.baseline_rows(found), "repo", "fingerprint")
+        assert rows(bl.load_documents(spark, at), "repo", "fingerprint") == want
+        for repo in {r for r, _ in want}:
+            files = sorted((tmp_path / "documents" / f"repo={repo}").glob("part-*"))
+            doc = json.loads("".join(f.read_text() for f in files))
+            assert doc["fingerprints"] == sorted(p for r, p in want if r == repo) and doc["count"] == found.filter(f"repo = '{repo}'").count()
+    bl.save_documents(some.limit(0), at)
+    assert bl.load_documents(spark, at).collect() == [] and bl.load_documents(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken" / "repo=a").mkdir(parents=True)
+    (tmp_path / "broken" / "repo=a" / "part-0.txt").write_text('{"version":1,"count":1,"fingerprints":[\n"x"\n')
+    assert bl.load_documents(spark, str(tmp_path / "broken")) is None
+
+
 def test_duplicates(some):
     assert rows(bl.duplicate_fingerprints(some), "repo", "n", "n_paths", "first_path", "last_path") == [
         ("a", 2, 2, "x/f.js", "y/f.js"), ("b", 2, 1, "h.py", "h.py")]

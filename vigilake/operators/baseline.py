@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions.text import strip
 from vigilake.model import broadcast_if_small
+from vigilake.session import materialize
 
 
 def fingerprint(path_scope: str = "name") -> Column:
@@ -57,6 +58,42 @@ def baseline_document(findings: DataFrame) -> DataFrame:
     return edge(0, head).unionByName(items).unionByName(edge(2, F.lit("]}")))
 
 
+def save_documents(findings: DataFrame, path: str) -> None:
+    """The JSON documents of all repositories, one folder ``repo=...`` each; a rerun replaces them.
+
+    A fingerprint is a line, and the lines of a folder's files in the order of their names are the document,
+    so a repository of any size is spread over tasks and files.
+    """
+    order = ["repo", "section", "fingerprint"]
+    # materialized, so that the sampling of ranges does not compute the findings twice
+    rows = materialize(baseline_document(findings).select(*order, "text"))
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("repo", "text").write.mode("overwrite").partitionBy("repo").text(path)
+
+
+def load_documents(spark, path: str) -> DataFrame | None:
+    """Rows (repo, fingerprint) of the documents that ``save_documents`` wrote, or None where none can be read.
+
+    Lines are read as they are split, so no document is one value.  A repository whose document has no beginning
+    or no end is left out as unreadable.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        found = spark.read.text(path)
+    except AnalysisException:
+        return None
+    if "repo" not in found.columns:  # no folder of a repository
+        return spark.createDataFrame([], "repo string, fingerprint string") if found.isEmpty() else None
+    lines = spark.read.schema("value string, repo string").text(path)
+    edge = F.when(F.startswith("value", F.lit('{"version":')), 1).when(F.col("value") == "]}", 2)
+    whole = lines.groupBy("repo").agg(F.bit_or(edge).alias("edges")).filter("edges = 3").select(F.col("repo").alias("of"))
+    if whole.isEmpty():
+        return None
+    text = F.from_json(F.concat(F.lit('{"f":'), F.regexp_replace("value", "^,", ""), F.lit("}")), "f string")["f"]
+    items = lines.filter(F.col("value").rlike('^,?"')).select("repo", text.alias("fingerprint"))
+    return items.join(broadcast_if_small(whole), F.col("repo").eqNullSafe(F.col("of")), "left_semi").distinct()
+
+
 def load_baseline(spark, path: str, repo: str | None = None) -> DataFrame | None:
     """Saved fingerprints, or None (not an empty set) where there is no readable baseline.
 

@@ -628,16 +628,17 @@ def _(spark, sf):
 
 @query("baseline_load")
 def _(spark, sf):
-    """Baselines as they are found: a saved table, a JSON document, a missing and a corrupt one (a null row each)."""
+    """Baselines as they are found: a saved table, JSON documents, a missing and a corrupt one (a null row each)."""
     folder = shared_folder(spark)
     found = materialize(results.at_least(text_findings(spark, sf), "medium"))
     bl.save_baseline(found, f"{folder}/table")
-    one = bl.baseline_rows(found).agg(F.array_sort(F.collect_set(F.when(F.col("repo") == "src1", F.col("fingerprint")))).alias("fingerprints"))
-    one.select(F.to_json(F.struct(F.lit("src1").alias("repo"), F.lit(1).alias("version"), "fingerprints"))).coalesce(1).write.text(f"{folder}/one.json")
-    one.select(F.lit("{not json")).write.text(f"{folder}/corrupt.json")
+    bl.save_documents(found, f"{folder}/documents")
+    spark.range(1).select(F.lit("{not json")).write.text(f"{folder}/corrupt.json")
+    loaded = bl.load_documents(spark, f"{folder}/documents")
     out = None
     for kind in ("table", "one.json", "missing", "corrupt.json"):
-        known = bl.load_baseline(spark, f"{folder}/{kind}")
+        # the documents of all repositories are there; the SQL lists one of them
+        known = loaded.filter("repo = 'src1'") if kind == "one.json" else bl.load_baseline(spark, f"{folder}/{kind}")
         if known is None:
             known = spark.createDataFrame([(None, None)], "repo string, fingerprint string")
         part = known.select(F.lit(kind).alias("kind"), "repo", "fingerprint")
