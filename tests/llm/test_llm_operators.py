@@ -529,3 +529,17 @@ def test_mixture(docs, prose, seed):
         assert (texts[r["doc_id"]] or "").startswith(r["text"] or "")
     assert {i: n for i, n in words.items() if n} == {r["doc_id"]: r["taken"] for r in rows if r["taken"]}
     assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(documents.repartition(5)).collect()))
+
+
+def test_mixture_of_rows_with_one_id(spark, prose):
+    """Null and repeated ids with texts of many sizes do not keep a source from its target."""
+    rows = [(None if i % 2 else 7, prose(1 + i * i % 300, i), f"s{i % 3}") for i in range(240)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    own = Counter()
+    for _, t, s in rows:
+        own[s] += len(t.split())
+    goal, taken = brute_targets(own), Counter()
+    for r in mixing.mix(table).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - goal[s]) <= 0.5 for s in goal)
+    assert sum(r["taken"] for r in mixing.mixture_report(table).collect()) == sum(taken.values())

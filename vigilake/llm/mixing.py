@@ -6,8 +6,8 @@ that is shared again by weight among the others.  Documents get hash-random keys
 The result of the search is one small row per source, so a corpus is mixed by a filter on the map side and
 text never moves.  A source of any size is spread over range partitions by its keys.
 
-Defined cases: null text has no words; null sources form one source, ordered last; rows with one doc_id in
-one source share a key and are cut alike (the words left at the cut are split evenly, rounded down); empty
+Defined cases: null text has no words; null sources form one source, ordered last; rows with one doc_id and
+text in one source share a key and are cut alike (the words left at the cut are split evenly, rounded down); empty
 texts are taken with 0 words; an empty table gives no rows; sources are ordered by code point; columns
 besides the three that are named are only passed through by ``mix``.
 """
@@ -42,11 +42,16 @@ def random_key(doc_id: Column, seed: str) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)).cast("binary"))
 
 
+def place(doc_id: Column, text: Column, seed: str) -> Column:
+    """The random key, then a hash of the text, so that only rows of equal doc_id and text tie."""
+    return F.concat(F.unhex(random_key(doc_id, seed)), F.unhex(F.md5(text.cast("binary"))))
+
+
 def _keyed(docs: DataFrame, m: Mixture, id_col: str, text_col: str, source_col: str) -> DataFrame:
     source = F.col(source_col)
     return docs.select(
         F.col(id_col).alias("doc_id"), source.isNull().alias("nul"), F.coalesce(source.cast("string"), F.lit("")).alias("src"),
-        word_count(text_of(text_col)).alias("size"), F.unhex(random_key(F.col(id_col), m.seed)).alias("key"))
+        word_count(text_of(text_col)).alias("size"), place(F.col(id_col), text_of(text_col), m.seed).alias("key"))
 
 
 def targets(sizes: DataFrame, m: Mixture) -> DataFrame:
@@ -123,7 +128,7 @@ def mix(docs: DataFrame, m: Mixture = Mixture(), id_col: str = "doc_id", text_co
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source.isNull().alias("nul"),
         F.coalesce(source.cast("string"), F.lit("")).alias("src"), text.alias("text"), word_count(text).alias("size"),
-        F.unhex(random_key(F.col(id_col), m.seed)).alias("key"))
+        place(F.col(id_col), text, m.seed).alias("key"))
     rows = rows.join(broadcast_if_small(goals), ["nul", "src"])
     copies = F.concat(
         F.when(F.col("size") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_repeat(F.col("size"), F.col("epochs").cast("int"))),
