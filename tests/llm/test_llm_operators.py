@@ -101,6 +101,18 @@ def test_spans_of_several_blocks_are_cut_at_once(spark, docs):
         assert clean == {0: "", 1: "x  y", 2: " ".join(w[15:20]) + "  a b c d e", 3: None}, size
 
 
+def test_blocks_are_bounded_for_one_item(spark, prose):
+    """One id with one huge item and many rows: no block exceeds the bound, no window is lost."""
+    rows = [(1, prose(9000, 5)), *[(1, prose(30, i)) for i in range(40)], (2, "only three words"), (3, " - ")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    whole, = decontamination.blocks(items, "item_id", "text", 10, 1 << 20)
+    cut = list(decontamination.blocks(items, "item_id", "text", 10, 1 << 20, block_windows=4096))
+    assert len(cut) >= 3 and max(len(w.items) for w in cut) <= 4096
+    assert {k: v for w in cut for k, v in w.items.items()} == whole.items
+    words = [LETTERS.findall(lower(t)) for _, t in rows[:-2]]
+    assert set(whole.items) == {" ".join(w[i:i + 10]).encode() for w in words for i in range(len(w) - 9)} | {b"only three words"}
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,9 @@
 
 The fingerprints of all windows (``n`` consecutive words of an item; a shorter item is one window) are
 broadcast; a bitmap over fingerprint bits passes few positions of a text, the sorted fingerprints fewer, and
-the words themselves decide.  Nothing is shuffled.  The broadcast is bounded: a benchmark of more than
-``BLOCK_BYTES`` of text is cut into blocks of whole items, each block is one pass over the documents, and the
-hits of the passes are merged per row.  Spans are cut after the last pass, so no cut hides or makes a hit.
+the words themselves decide.  Texts are not shuffled.  The broadcast is bounded: a benchmark of more than
+``BLOCK_WINDOWS`` windows or ``BLOCK_BYTES`` of text is cut into blocks, items of any size into pieces that overlap by
+n - 1 words; each block is one pass over the documents, and the hits of the passes are merged per row.  Spans are cut after the last pass, so no cut hides or makes a hit.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no windows; items
 that share an id are one item; an item with null id is left out; an empty table or benchmark gives no hits;
@@ -28,6 +28,9 @@ from vigilake.llm.common import fresh
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
+#: windows of a block, each a key and a set of ids in a dict on the driver and in every Python worker
+BLOCK_WINDOWS = 1 << 19
+PIECE_WINDOWS = 1 << 12
 BITMAP_BITS = 22
 SPAN = ("lo", "hi", "first", "last")
 
@@ -96,14 +99,46 @@ def scan_text(texts: pa.Array, windows: Windows) -> Iterator[tuple[int, list[tup
                 [(int(start[a]) - int(offsets[r]), int(end[b - 1]) - int(offsets[r])) for a, b in spans])
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> Iterator[Windows]:
-    """Windows of the items, a bounded number of text bytes at a time."""
+def pieces(items: DataFrame, n: int, piece_windows: int = PIECE_WINDOWS) -> DataFrame:
+    """(item, words, windows): the words of items (item, text), a bounded number of windows a row.
+
+    Pieces of one item overlap by n - 1 words, so each window is in one of them; an item of fewer words is whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                start, end, _ = ta.words(ta.LOWER[data], np.array([0, len(data)]), ta.LETTERS)
+                count = max(len(start) - n + 1, min(len(start), 1))
+                for a in range(0, count, piece_windows):
+                    some = min(piece_windows, count - a)
+                    own = data[start[a]:end[min(a + some + n - 1, len(start)) - 1]].tobytes()
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item.as_py()], pa.string()), pa.array([own], pa.binary()), pa.array([some], pa.int64())],
+                        ["item", "words", "windows"])
+
+    return items.select("item", "text").mapInArrow(run, "item string, words binary, windows long")
+
+
+def blocks(
+    benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int, block_windows: int = BLOCK_WINDOWS,
+) -> Iterator[Windows]:
+    """Windows of the items, a bounded number of windows and of text bytes at a time, but one piece at least."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    count = -(-size // block_bytes) or 1
-    for b in range(count):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == b) if count > 1 else items
-        yield Windows([(r["item"], r["text"].encode()) for r in part.toLocalIterator()], n)
+    # the driver fetches a partition at a time
+    parts = -(-size // block_bytes) or 1
+    rows = pieces(items, n)
+    block, windows, length, made = [], 0, 0, False
+    for r in (rows.repartition(parts) if parts > 1 else rows).toLocalIterator():
+        if block and (windows + r["windows"] > block_windows or length + len(r["words"]) > block_bytes):
+            yield Windows(block, n)
+            block, windows, length, made = [], 0, 0, True
+        block.append((r["item"], bytes(r["words"])))
+        windows, length = windows + r["windows"], length + len(r["words"])
+    if block or not made:
+        yield Windows(block, n)
 
 
 def _scan_block(docs: DataFrame, windows: Windows) -> DataFrame:
