@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vigilake.llm import (
-    decontamination, exact_dedup, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, toxicity,
+    decontamination, exact_dedup, fill_in_middle, jaccard_join, licenses, mixing, prefix_tokens, quality, secrets, sharding, suffix_dedup,
+    toxicity,
 )
 
 CLASHING = "tag key n node size source_size curve rank digest score y text_hash th lo more row nul src take spans items keep_id kept gone gone_id gone_sha _value".split()
@@ -35,6 +36,8 @@ def operators(benchmark, labels):
         "op8": secrets.secret_scan,
         "op9": suffix_dedup.repeated_bytes,
         "op10": mixing.mixture_report,
+        "op11": fill_in_middle.fill_in_middle,
+        "op12": prefix_tokens.token_counts,
     }
 
 

@@ -144,6 +144,23 @@ from docs left join base_rows using (doc_id) left join own using (doc_id)
 """
 
 
+FILL_IN_MIDDLE = """
+with docs as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+tokens as (select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as w,
+           [cast('0x' || substr(x, 8 * i + 1, 8) as bigint) for i in range(4)] as h from docs),
+cuts as (select *, len(w) as n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) as a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) as b
+         from tokens),
+parts as (select *, array_to_string(w[1:a], '') as p, array_to_string(w[a + 1:b], '') as m, array_to_string(w[b + 1:], '') as s,
+          case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+               when h[4] % 100 < 20 then 'spm' else 'psm' end as form from cuts)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(p) end as bigint) as prefix_chars,
+       cast(case when form <> 'plain' then length(m) end as bigint) as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+              else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
+
+
 ORACLES = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_license_scan": _licenses(),
@@ -152,4 +169,5 @@ ORACLES = {
     "op8_secret_scan": _secrets(),
     "op9_suffix_array_dedup": SUFFIXES,
     "op10_source_mixing": MIXING,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
 }

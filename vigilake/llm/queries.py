@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.llm import (
-    decontamination, exact_dedup, jaccard_join, licenses, mixing, quality, secrets, sharding, suffix_dedup, toxicity,
+    conversation_trie, decontamination, exact_dedup, fill_in_middle, jaccard_join, licenses, mixing, prefix_tokens, quality, secrets, sharding,
+    suffix_dedup, toxicity,
 )
 
 
@@ -60,6 +61,19 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tokens.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_license_scan, op3_toxicity, op4_exact_dedup, op5_quality_classifier,
-    op6_hilbert_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_suffix_array_dedup, op10_source_mixing)}
+    op6_hilbert_sharding, op7_ngram_jaccard_join, op8_secret_scan, op9_suffix_array_dedup, op10_source_mixing,
+    op11_fill_in_middle, op12_token_counts, op13_conversation_trie)}
