@@ -48,6 +48,9 @@ PACK = 400_000
 SPAN, LOOK, SPREAD = 0, 1, 2
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _TOP = np.uint64(1 << 63)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: chunks that a bucket should hold, which bounds the memory of a task
+BUCKET = 400_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -117,7 +120,9 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("long").alias("th"))
 
 
-def _splitters(rows: DataFrame, count: int, length: int, gram: int) -> Buckets:
+def _splitters(rows: DataFrame, least: int, length: int, gram: int) -> Buckets:
+    """Ranges of about ``BUCKET`` chunks, ``least`` at least, from a sample of the documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in ta.slices(batch.column(0)):
@@ -127,8 +132,10 @@ def _splitters(rows: DataFrame, count: int, length: int, gram: int) -> Buckets:
 
     some = rows.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(SAMPLE)) == 0)
     sample = keep(some.select("text").mapInArrow(run, "lead long, key long"))
+    total = sample.count()
+    count = max(least, -(-total * SAMPLE // BUCKET))
     shares = [i / count for i in range(1, count)]
-    quantiles, total = sample.agg(F.percentile_approx("lead", shares or [0.5], 10_000), F.count(F.lit(1))).first()
+    quantiles = sample.agg(F.percentile_approx("lead", shares or [0.5], 10_000)).first()[0]
     hot = sample.groupBy("key").count().filter(F.col("count") > max(total // (4 * count), 50)).collect()
     return Buckets(list(quantiles or []) if shares else [], [r["key"] for r in hot], count)
 
@@ -189,7 +196,8 @@ def _settle(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     """Spans of chunks that are repeated as a whole, and places to look at; a row per document of the bucket."""
     parts = []
     for batch in batches:
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):
+            r = {name: batch.column(name)[i].as_py() for name in ("open", "ids", "ths", "counts", "step", "more", "off", "key", "chunk")}
             own = np.cumsum(unplanes(r["ids"], 8).view(np.int64))
             counts, step = unplanes(r["counts"], 4).astype(np.int64), unplanes(r["step"], 4).astype(np.int64)
             heads = np.cumsum(counts) - counts
@@ -354,16 +362,19 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
     if len(order):
         common[0] = 0
     common[1:] = np.minimum(common[1:], np.minimum(size[order[1:]], size[order[:-1]]))
-    prefix = ta.prefix_hash(data)
+    del suffix, words
     first, last = np.full(len(doc), np.iinfo(np.int64).max), np.full(len(doc), -1)
     reach = end - begin[:-1] - length  # windows of the chunk start at 0 .. reach
+    lefts = np.zeros(len(doc), np.uint64)  # hash of the o bytes before the anchor
     for o in range(length - gram + 1):
         run_id = np.cumsum(common < length - o)
+        if o:
+            lefts = lefts * _BASE + padded[np.maximum(at - o, 0)] + np.uint64(1)
         here = np.flatnonzero((o <= off[order]) & (off[order] - o <= reach[order]))
         if not len(here):
             continue
         who = order[here]
-        left = ta.span_hash(prefix, at[who] - o, at[who])
+        left = ta.mix(lefts[who])
         by = np.lexsort((doc[who], left, run_id[here]))
         r, h, d = run_id[here][by], left[by], doc[who][by]
         new = np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1]))
@@ -397,8 +408,8 @@ def repeated_bytes(
     """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    count = partitions(spark)
-    buckets = _splitters(rows, count, length, gram)
+    buckets = _splitters(rows, partitions(spark), length, gram)
+    count = buckets.count
     packed = _fingerprints(rows, buckets, length, gram).repartitionById(count, "bucket")
     settled = store(packed.mapInArrow(
         lambda b: _settle(b, length), "kind int, doc_id long, th long, lo binary, more binary, off binary"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BYTES = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -22,15 +22,19 @@ NOT_SPACE = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+#: powers that a worker keeps; those of longer texts are made anew, so that one long text does not stay in memory
+_KEPT = SLICE + 4096
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        full = np.full(max(n, SLICE + 4096), _BASE if which == "up" else _INVERSE, np.uint64)
+        full = np.full(max(n, _KEPT), _BASE if which == "up" else _INVERSE, np.uint64)
         full[0] = 1
-        have = _powers[which] = np.cumprod(full, dtype=np.uint64)
+        have = np.cumprod(full, dtype=np.uint64)
+        if n <= _KEPT:
+            _powers[which] = have
     return have[:n]
 
 
