@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +13,13 @@ from vigilake.functions.bitmaps import bitmap, in_bitmap
 from vigilake.session import materialize
 
 __all__ = [
-    "NOT_SPACES", "SPACES", "bitmap", "ensure_checkpoint_dir", "fresh", "in_bitmap", "keep", "partitions", "ranked", "release", "store", "text_of",
+    "NOT_SPACES", "SPACES", "bitmap", "ensure_checkpoint_dir", "fresh", "in_bitmap", "keep", "partitions", "ranked", "small_batches", "store",
+    "text_of",
 ]
 
 SPACES = r"[\x20\x09-\x0D]"
 NOT_SPACES = r"[^\x20\x09-\x0D]"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -33,17 +35,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it has run: its rows are stored, nothing reads the files again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Rows travel to Python in batches of a few MB; a longer text travels alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return spark
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder: lineage is cut and a lost executor loses none of them."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of steps whose rows have been stored and that nothing refers to any more."""
-    gc.collect()
-    time.sleep(1)  # the JVM hears of dropped references, and events of the last job let go of its plan, a little later
-    spark.sparkContext._jvm.System.gc()
+    with _tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -85,4 +99,5 @@ def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> Data
 def store(df: DataFrame) -> DataFrame:
     """The rows as compressed Parquet in the shared checkpoint folder; the files go when the session ends."""
     ensure_checkpoint_dir(df.sparkSession)
-    return materialize(df)
+    with _tidy(df.sparkSession):
+        return materialize(df)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.llm import textarrays as ta
-from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, release, store
+from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, store
 from vigilake.llm.components import components
 
 STARS = 4
@@ -195,13 +195,10 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, per
     """The pairs (a, b) whose sets have the wanted similarity."""
     spark = rows.sparkSession
     pairs = keep(pairs)
-    release(spark)
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.lit(True).alias("l")), F.struct(F.col("b").alias("cid"), F.lit(False).alias("l")))).alias("e"))
     ends = ends.groupBy("e.cid").agg(F.bool_or("e.l").alias("left"), F.bool_or(~F.col("e.l")).alias("right"))
     wanted = keep(classes.select("cid", "node", "text_hash").join(ends, "cid"))
     sets = keep(_sets(rows, k, wanted))
-    del ends
-    release(spark)
     # a class with many partners is sent in several copies, each for some of them
     slots = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / PER_CENTRE) + 1).alias("slots"))
     salted = pairs.join(slots, "a").withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots"))).drop("slots")
@@ -248,11 +245,9 @@ def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     # the most that may come before the first common shingle, whatever the partner's size
     keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)))
     several = keep(keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
-    release(prefixes.sparkSession)
     # most shingles are in one component only: their rows are not moved
     near = keyed.filter(in_bitmap(bitmap(several, "token"), F.col("token")))
     mixed = keep(near.join(several, "token").join(prefixes.select("cid", "sign"), "cid"))
-    release(prefixes.sparkSession)
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
     outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos", "sign")])
     need = F.ceil((F.col("x_n") + F.col("n")) * percent / F.lit(100 + percent))
@@ -282,18 +277,14 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     classes = keep(documents.filter("n > 0").groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("n", "stars")], F.min("text_hash").alias("text_hash")).withColumn(
         "cid", F.monotonically_increasing_id()))
-    release(spark)
     prefixes = keep(_prefixes(rows, k, percent, _sketch(profile)).groupBy("node").agg(
         *[F.first(c).alias(c) for c in ("first", "last", "second", "central", "sign")]).join(
         classes.select("cid", "node", "n", "stars"), "node").drop("node"))
-    release(spark)
     links = keep(_verified(rows, classes, _star_pairs(prefixes, percent), k, percent))
-    release(spark)
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     known = prefixes.drop("stars").join(
         joined.select(F.col("u").alias("cid"), F.col("v").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     more = keep(_verified(rows, classes, _prefix_pairs(known, percent), k, percent))
-    release(spark)
     every = joined.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(every)
     return documents, classes.select("cid", "node").join(

@@ -9,10 +9,11 @@ from vigilake.llm import (
     conversation_trie, decontamination, exact_dedup, fill_in_middle, jaccard_join, licenses, mixing, prefix_tokens, quality, secrets, sharding,
     suffix_dedup, toxicity,
 )
+from vigilake.llm.common import small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
