@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilake.llm import decontamination, jaccard_join, mixing, quality, sharding
-from vigilake.llm.common import store
+from vigilake.llm.common import small_batches, store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: shingles of five words, similarity 0.8 or more; the smallest doc_id of a group stays."""
+    small_batches(spark)
     return jaccard_join.keep_first(docs, words=5, percent=80)
 
 
@@ -33,11 +34,13 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: sources at their target weights, a row per epoch."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: every row's shard and slot along the Hilbert curve."""
+    small_batches(spark)
     return sharding.hilbert_shards(docs).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
 
 
