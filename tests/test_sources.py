@@ -89,9 +89,54 @@ def test_yaml_rule_packs(spark, tmp_path):
     assert [r.rule_id for r in cr.load_rules(cr.parse_docs(read_rule_packs(spark, str(tmp_path))))] == ["a", "b"]
 
 
-def test_rules_that_java_rejects_are_left_out(spark):
-    assert cr.java_accepts(spark, r"(?P<n>a)(?P=n)\Z")
-    assert not cr.java_accepts(spark, r"(?(1)a|b)")
+def test_the_engine_side_of_validation(spark):
+    rows = [("a", "low", None, "m", p, None) for p in (r"(?P<n>a)(?P=n)\Z", r"(?(1)a|b)", r"(?<=a+)b", "([", r"x{2,}")]
+    rows += [("far", "low", None, "m", r"(?<=[^\W\d])(?<![a-z]{1,3}x)y", None)]
+    got = {r.pattern: r.reason for r in cr.validate(spark.createDataFrame(rows, cr.RULE_DOC)).collect()}
+    assert got[r"(?P<n>a)(?P=n)\Z"] is None and got[r"x{2,}"] is None
+    assert got["(["] == "invalid regex" and got[r"(?<=a+)b"] == "invalid regex"
+    assert got[r"(?(1)a|b)"].startswith("not supported by the scan engine")
+
+
+def test_packs_in_repositories(spark):
+    """YAML streams and JSON of each repository; what cannot be read gives a reason and nothing else is lost."""
+    from vigilake.plans.repo_rules import scan_repo_rules
+    from vigilake.sources.rule_packs import packs_in
+
+    yml = "# pack\n---\nid: a\nseverity: High\nlanguages: python\nmessage: first\npattern: 'key\\d+'\n---\n- {id: b, severity: low, message: m, pattern: '([ab])\\1'}\n- {id: 7, severity: low, message: 3, pattern: '(?i)SECRET|token'}\n---\njust text\n"
+    files = spark.createDataFrame([
+        ("r", ".scan/rules/p.yml", yml), ("r", ".scan/rules/q.yaml", "id: [unclosed"), ("r", ".scan/rules/z.json", "{no"), ("r", ".scan/rules/deep/p.yml", yml),
+        ("r", "rules/p.yml", yml), ("s", ".scan/rules/s.json", '{"id": "a", "severity": "low", "message": "other", "pattern": "[a-z]+"}'),
+        ("s", ".scan/rules/t.yml", "{id: bad, severity: low, message: m, pattern: '(?(1)a|b)'}"), ("r", ".scan/rules/none.yml", None),
+        ("r", "m.py", "key12 = 1\n# key13\nxx aa Token secret\n"), ("r", "m.js", "key12\nbb"), ("s", "m.js", "12 key12\n\nSECRET"),
+    ], "repo string, path string, content string")
+    checked = cr.validate(cr.parse_docs(packs_in(files))).cache()
+    refused = sorted((r.repo, r.source.split("/")[-1], r.reason) for r in cr.refused_rules(checked).collect())
+    assert [x[:2] for x in refused] == [("r", "none.yml"), ("r", "p.yml"), ("r", "q.yaml"), ("r", "z.json"), ("s", "t.yml")]
+    assert refused[0][2] == "not readable" and refused[1][2] == "no rule" and refused[2][2].startswith("invalid YAML") and refused[3][2] == "invalid JSON"
+    found = scan_repo_rules(files, checked).filter("path like 'm.%'").select("repo", "path", "check_name", "line", "column", "rule_ord")
+    assert sorted(map(tuple, found.collect())) == [
+        ("r", "m.js", "b", 2, 0, 1001), ("r", "m.py", "7", 3, 6, 1002), ("r", "m.py", "a", 1, 0, 1000), ("r", "m.py", "b", 3, 3, 1001),
+        ("s", "m.js", "a", 1, 3, 1000)]
+
+
+def test_blocks_of_literals_change_nothing(spark, monkeypatch):
+    from vigilake.plans import repo_rules as rr
+
+    rules = [(f"r{i}", "low", None, "m", p, None) for i, p in enumerate(["alpha|beta", "BETA", "(?i)gamma", r"x\d", "alpha.*delta", "[0-9]{2}"])]
+    docs = spark.createDataFrame([("r", "p.json", 0, i, *r) for i, r in enumerate(rules)], "repo string, source string, ord long, pos int, " + cr.RULE_DOC)
+    files = spark.createDataFrame([("r", "a.js", "alpha beta delta\nBETA Gamma x1 22\n" * 20)], "repo string, path string, content string")
+    whole = sorted(map(tuple, rr.scan_repo_rules(files, cr.validate(docs)).collect()))
+    monkeypatch.setattr(rr, "LITERALS_PER_BLOCK", 1)
+    assert sorted(map(tuple, rr.scan_repo_rules(files, cr.validate(docs)).collect())) == whole and len(whole) == 20 * 6
+
+
+def test_registered_rules_are_refused_early(spark):
+    from vigilake.plans.registry import Checks
+
+    for pattern in ("([", "(a)?(?(1)b|c)"):
+        with pytest.raises(ValueError):
+            Checks().register_rule({"id": "x", "severity": "low", "pattern": pattern, "message": "m"})
 
 
 def test_ignore_rules(files):

@@ -28,8 +28,6 @@ EDITOR_LEVEL = {
 # Files
 # ---------------------------------------------------------------------------------------
 
-MAX_FILE_CHARS = 1_000_000
-
 LANGUAGE_BY_SUFFIX = {
     ".py": "python",
     ".js": "javascript",
@@ -566,7 +564,6 @@ FRAMEWORK_IGNORES = [
 
 REVIEW_MAX_CHARS = 8000
 REVIEW_SNIPPET_CHARS = 120
-REVIEW_TRUNCATED = "\n... (truncated, {n} chars total)"
 REVIEW_OPEN = "<<<UNTRUSTED_FILE {nonce}>>>"
 REVIEW_CLOSE = "<<<END_UNTRUSTED_FILE {nonce}>>>"
 REVIEW_NOTE = (

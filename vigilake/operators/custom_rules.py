@@ -6,9 +6,8 @@ import re
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilake import fixed_values as fv
 from vigilake.functions.anchors import required_literals
@@ -18,40 +17,69 @@ FIRST_CUSTOM_ORD = 1000
 RULE_DOC = "id string, severity string, languages array<string>, message string, pattern string, fix string"
 
 
-@F.pandas_udf(T.StringType())
-def _python_regex_error(pattern: pd.Series) -> pd.Series:
+FORMS = 4
+
+
+@F.pandas_udf("reason string, form0 string, form1 string, form2 string, form3 string")
+def _dialect(pattern: pd.Series) -> pd.DataFrame:
+    """Why a pattern is refused before the engine sees it, or the forms in which the engine runs it."""
+
     def check(p):
+        nothing = [None] * FORMS
+        if p is None:
+            return None, *nothing
         try:
             re.compile(p)
         except (re.error, OverflowError, RecursionError):
-            return "invalid regex"
+            return "invalid regex", *nothing
         missing = unsupported(p)
-        return missing and f"not supported by the scan engine: {missing}"
+        if missing:
+            return f"not supported by the scan engine: {missing}", *nothing
+        return None, *(executed_forms(p) + nothing)[:FORMS]
 
-    return pattern.map(check, na_action="ignore").astype(object)
+    return pd.DataFrame([check(p) for p in pattern], columns=["reason", *[f"form{i}" for i in range(FORMS)]], dtype=object)
+
+
+def _refused() -> Column:
+    """The engine does not compile one of the forms; it is asked where the row is, not on the driver."""
+    out = F.lit(False)
+    for i in range(FORMS):
+        form = F.col(f"_dialect.form{i}")
+        compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), form)
+        out = out | (form.isNotNull() & compiled.isNull())
+    return out
 
 
 def validate(docs: DataFrame) -> DataFrame:
     """Adds ``valid`` and ``reason``; normalises severity, languages and fix.
 
-    ``docs`` has the fields of a rule document, null where a field is absent.
+    ``docs`` has the fields of a rule document, null where a field is absent.  A rule is valid if its fields are there, its
+    pattern compiles in Python and every form of it that a scan runs compiles in the JVM.
     """
     lowered = F.lower("severity")
     missing = F.array_compact(F.array(*[
         F.when(F.col(c).isNull(), F.lit(c)) for c in ("id", "severity", "pattern", "message")]))
-    checked = docs.withColumn("_regex", _python_regex_error("pattern"))
+    checked = docs.withColumn("_dialect", _dialect("pattern")).withColumn("_refused", _refused())
     reason = (
         F.when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", ")))
         .when(~lowered.isin(list(fv.SEVERITY_RANK)), F.concat(F.lit("invalid severity: "), lowered))
-        .when(F.col("_regex").isNotNull(), F.col("_regex"))
+        .when(F.col("_dialect.reason").isNotNull(), F.col("_dialect.reason"))
+        .when(F.col("_refused"), F.lit("not supported by the scan engine: the pattern does not compile"))
     )
+    if "unreadable" in docs.columns:
+        reason = F.coalesce("unreadable", reason)
     return checked.withColumns({
         "reason": reason,
         "valid": reason.isNull(),
         "severity": lowered,
         "languages": F.coalesce("languages", F.array(F.lit("*"))),
         "fix": F.coalesce("fix", F.lit("")),
-    }).drop("_regex")
+    }).drop("_dialect", "_refused", "unreadable")
+
+
+def refused_rules(checked: DataFrame) -> DataFrame:
+    """(repo, source, id, reason) of the rules and pack files that no scan runs, of ``validate``'s rows."""
+    return checked.filter("not valid").select("repo", "source", "id", "reason")
 
 
 def validation_counts(checked: DataFrame) -> DataFrame:
@@ -59,25 +87,21 @@ def validation_counts(checked: DataFrame) -> DataFrame:
 
 
 def parse_docs(packs: DataFrame) -> DataFrame:
-    """Rule documents from (source, ord, doc) rows, ``doc`` holding one JSON rule or a list of them."""
+    """Rule documents from (source, ord, doc) rows, ``doc`` holding one JSON rule or a list of them.
+
+    Rows of ``sources.rule_packs`` also say why a file or document could not be read; ``validate`` goes on with it.
+    """
     is_list = F.rlike("doc", F.lit(r"^\s*\["))
     one = F.array(F.from_json("doc", RULE_DOC))
     many = F.from_json("doc", f"array<struct<{RULE_DOC.replace(' array', ':array').replace(' string', ':string')}>>")
     place = [c for c in ("repo", "source", "ord") if c in packs.columns]
-    return (
-        packs.select(*place, F.posexplode(F.when(is_list, many).otherwise(one)).alias("pos", "rule"))
-        .select(*place, "pos", "rule.*")
-    )
-
-
-def java_accepts(spark: SparkSession, pattern: str) -> bool:
-    """True when every form in which the scan runs the pattern compiles in the JVM; the query would fail otherwise."""
-    try:
-        for form in executed_forms(pattern):
-            spark._jvm.java.util.regex.Pattern.compile(form)
-    except Exception:
-        return False
-    return True
+    parsed = "reason" in packs.columns
+    rules = F.when(is_list, many).otherwise(one)
+    if parsed:
+        place, packs = [*place, "unreadable"], packs.withColumnRenamed("reason", "unreadable")
+        # what could not be parsed stays as a row without fields
+        rules = F.when(F.col("unreadable").isNotNull(), F.array(F.from_json(F.lit("{}"), RULE_DOC))).otherwise(rules)
+    return packs.select(*place, F.posexplode(rules).alias("pos", "rule")).select(*place, "pos", "rule.*")
 
 
 def compile_rules(rows: Iterable, family: str = "custom") -> list[fv.LineRule]:
@@ -99,13 +123,10 @@ def load_rules(docs: DataFrame, rejected: list | None = None) -> list[fv.LineRul
     order = [c for c in ("source", "ord", "pos", "id") if c in checked.columns]
     rows, kept = checked.orderBy(*order).collect(), []
     for r in rows:
-        reason = r["reason"]
-        if reason is None and not java_accepts(docs.sparkSession, r["pattern"]):
-            reason = "not supported by the scan engine: the pattern does not compile"
-        if reason is None:
+        if r["valid"]:
             kept.append(r)
         elif rejected is not None:
-            rejected.append((r["id"], reason))
+            rejected.append((r["id"], r["reason"]))
     return compile_rules(kept)
 
 

@@ -176,6 +176,17 @@ def text_findings(
     lines = gated.select(
         "repo", "path", "name", "language", "gates", "file_hits",
         F.posexplode(F.when(F.expr(live), text.lines_of(F.col("content")))).alias("pos", "text"))
+    hits = line_hits(lines, line_rules, file_rules, env_rules)
+    rules = [*line_rules, *(fv.FILE_RULES[r] for r in file_rules), *env_rules]
+    return with_rule_attributes(hits, rules)
+
+
+def line_hits(
+    lines: DataFrame, line_rules: Sequence[fv.LineRule], file_rules: Sequence[str], env_rules: Sequence[fv.FileRule], carry: Sequence[str] = (),
+) -> DataFrame:
+    """Hits (repo, path, name, line, rule_ord, column, arg, snippet and ``carry``) of lines (repo, path, name, language, gates, file_hits, pos, text)."""
+    env = "language = 'dotenv'" if env_rules else "false"
+    file_hit = "coalesce(size(file_hits) > 0, false)" if file_rules else "false"
     survivors = lines.filter(
         f"({file_hit} and pos = 0) or ({env} and contains(text, '=')) or {_anchor_test('text', line_rules, False)}"
     ).withColumns({
@@ -188,12 +199,11 @@ def text_findings(
         for r in file_rules]
     hits += _env_hits(env_rules)
     found = survivors.select(
-        "repo", "path", "name", "text", (F.col("pos") + 1).alias("line"),
+        "repo", "path", "name", "text", (F.col("pos") + 1).alias("line"), *carry,
         F.expr(f"inline(array_compact(array({', '.join(hits)})))"))
     cut = text.rstrip(F.col("text"))
     snippet = (
         F.when(F.col("arg") == "", F.lit(""))
         .when(F.col("arg").isNotNull(), F.concat("arg", F.lit("=****")))
         .otherwise(cut))
-    rules = [*line_rules, *(fv.FILE_RULES[r] for r in file_rules), *env_rules]
-    return with_rule_attributes(found.withColumn("snippet", snippet).drop("text"), rules)
+    return found.withColumn("snippet", snippet).drop("text")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,29 @@ def random_nonce() -> Column:
     return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)
 
 
-def truncated(content: Column) -> Column:
-    """The head of a long file and a note, for callers that want one prompt per file at any price."""
-    head, tail = fv.REVIEW_TRUNCATED.split("{n}")
-    n = F.length(content)
-    cut = F.concat(F.substring(content, 1, fv.REVIEW_MAX_CHARS), F.lit(head), n.cast("string"), F.lit(tail))
-    return F.when(n <= fv.REVIEW_MAX_CHARS, content).otherwise(cut)
+def _parts(max_chars: int, columns: list[str]):
+    """Splits each file once, in time linear in its length, and puts every finding into the part in which its line begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                repo, path, nonce, content = (batch.column(c)[i].as_py() for c in range(4))
+                items = batch.column(4)[i].as_py()
+                parts = max(1, -(-len(content) // max_chars))
+                own: list[list[str]] = [[] for _ in range(parts)]
+                line, begin = 1, 0
+                # the lines in which findings begin, in order
+                for at, item in sorted(((x["line"], n) for n, x in enumerate(items))):
+                    while line < at and (end := content.find("\n", begin)) >= 0:
+                        line, begin = line + 1, end + 1
+                    beyond = line < at
+                    own[parts - 1 if beyond else min(begin // max_chars, parts - 1)].append(item)
+                rows = [(repo, path, nonce, p, parts, len(own[p]), content[p * max_chars:(p + 1) * max_chars],
+                         "\n".join(items[n]["item"] for n in sorted(own[p]))) for p in range(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], columns)
+
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+    return run
 
 
 def _item() -> Column:
@@ -56,15 +76,9 @@ def review_batches(
         .otherwise(F.col("n0"))).drop("n0")
     joined = items.join(sent, ["repo", "path"], "left").withColumn(
         "content", F.coalesce("content", F.lit("(file not readable)")))
-    joined = joined.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.length("content") / max_chars)).cast("int"))
-    begin = lambda line: F.when(line <= 1, 0).otherwise(
-        F.length(F.call_function("substring_index", F.col("content"), F.lit("\n"), line - 1)) + 1)
-    placed = F.transform("items", lambda i: F.struct(
-        F.least(F.floor(begin(i["line"]) / max_chars).cast("int"), F.col("parts") - 1).alias("part"), i["item"].alias("item")))
-    each = joined.withColumn("placed", placed).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    each = each.withColumns({
-        "body": F.substr("content", F.col("part") * max_chars + 1, F.lit(max_chars)),
-        "own": F.filter("placed", lambda i: i["part"] == F.col("part"))["item"]}).withColumn("n_findings", F.size("own").cast("long"))
+    columns = ["repo", "path", "nonce", "part", "parts", "n_findings", "body", "own"]
+    each = joined.select("repo", "path", "nonce", "content", "items").mapInArrow(
+        _parts(max_chars, columns), "repo string, path string, nonce string, part int, parts int, n_findings long, body string, own string")
     mark = lambda form: F.replace(F.lit(form), F.lit("{nonce}"), F.col("nonce"))
     note = F.replace(F.replace(F.lit(fv.REVIEW_NOTE), F.lit("{open}"), mark(fv.REVIEW_OPEN)), F.lit("{close}"), mark(fv.REVIEW_CLOSE))
     head = F.concat(
@@ -73,7 +87,7 @@ def review_batches(
         F.lit(" (part "), (F.col("part") + 1).cast("string"), F.lit(" of "), F.col("parts").cast("string"), F.lit(")"))).otherwise("")
     prompt = F.concat_ws(
         "\n", F.concat(F.lit("FILE: "), F.col("path"), which), note, mark(fv.REVIEW_OPEN), F.col("body"),
-        mark(fv.REVIEW_CLOSE), F.lit(""), head, F.array_join("own", "\n"))
+        mark(fv.REVIEW_CLOSE), F.lit(""), head, F.col("own"))
     return each.select("repo", "path", "part", "parts", "n_findings", prompt.alias("prompt"))
 
 

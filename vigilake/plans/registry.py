@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake import fixed_values as fv
 from vigilake.functions import paths, severity
 from vigilake.model import FINDING_COLUMNS
-from vigilake.operators.custom_rules import compile_rules
+from vigilake.operators.custom_rules import RULE_DOC, compile_rules, validate
 from vigilake.plans.scan import prepare, scan
 
 FIRST_CHECK_ORD = 100_000
 
 
+def spark_session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 class Checks:
     """A set of user rules (one regex each) and user checks (files in, findings out)."""
 
@@ -24,12 +28,15 @@ class Checks:
         self._checks: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
 
     def register_rule(self, rule: dict) -> None:
-        """``rule``: id, severity, pattern, message and optionally languages and fix."""
-        missing = [f for f in ("id", "severity", "pattern", "message") if f not in rule]
-        if missing:
-            raise ValueError(f"missing fields: {', '.join(missing)}")
-        if rule["severity"].lower() not in fv.SEVERITY_RANK:
-            raise ValueError(f"invalid severity: {rule['severity']}")
+        """``rule``: id, severity, pattern, message and optionally languages and fix.
+
+        A rule that ``custom_rules.validate`` refuses is refused here, with its reason: it would end a scan.
+        """
+        fields = ("id", "severity", "languages", "message", "pattern", "fix")
+        row = spark_session().createDataFrame([tuple(rule.get(f) for f in fields)], RULE_DOC)
+        reason = validate(row).first()["reason"]
+        if reason:
+            raise ValueError(reason)
         self._rules.append({"languages": ["*"], "fix": "", **rule})
 
     def register_check(self, name: str, fn: Callable[[DataFrame], DataFrame]) -> None:

@@ -11,7 +11,9 @@ from vigilake.functions.text import WHITESPACE
 from vigilake.operators.explain import RULE_DOCS
 from vigilake.operators.line_rules import SECRET_PLACEHOLDER, builtin_line_rules
 from vigilake.plans import corpora
-from vigilake.registry.queries import DIALECT_RULES, GLOBS, RESPONSES, all_rules, family_ids
+from vigilake.registry.queries import (
+    CHUNK_SNIPPETS, DIALECT_RULES, DOCS_PER_FILE, GLOBS, RESPONSES, YAML_FILES, all_rules, family_ids,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -582,9 +584,9 @@ oracle("stream_scan", f"{STREAM} SELECT event_id, {COLS} FROM found")
 oracle("stream_top5", f"""{STREAM} SELECT repo, path, event_id, (row_number() OVER (PARTITION BY event_id {ORDER}))::INTEGER AS pos,
     greatest(count(*) OVER (PARTITION BY event_id) - 5, 0) AS more, check_name, line::INTEGER AS line FROM found
 QUALIFY pos <= 5""")
-oracle("stream_baseline_filter", f"""{STREAM}, printed AS (SELECT *, {PRINT} FROM found)
-SELECT repo, path, event_id, check_name, line::INTEGER AS line, fingerprint FROM printed
-WHERE fingerprint NOT IN (SELECT fingerprint FROM printed WHERE rank >= 3)""")
+oracle("stream_baseline_filter", f"""{STREAM}, printed AS MATERIALIZED (SELECT *, {PRINT} FROM found),
+saved AS MATERIALIZED (SELECT DISTINCT fingerprint FROM printed WHERE rank >= 3)
+SELECT repo, path, event_id, check_name, line::INTEGER AS line, fingerprint FROM printed ANTI JOIN saved USING (fingerprint)""")
 oracle("html_script_rules", f"""WITH pairs AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS repo,
     regexp_extract_all(html, {q(corpora.SCRIPTS)}, 1) AS s FROM pages),
 script_files AS (SELECT repo, 'page_' || page_id || '_' || (i - 1) || '.js' AS path, 'page_' || page_id || '_' || (i - 1) || '.js' AS name, 'javascript' AS language, content
@@ -606,7 +608,7 @@ oracle("single_file", f"""WITH {CODE_FILES}, {classified("(SELECT * FROM code_fi
 {lines_of('one', 'one_lines')}
 SELECT {COLS} FROM (SELECT *, {rank('severity')} AS rank FROM ({' UNION ALL '.join(_line_rule(r, 'one_lines', 'one') for r in _inj)}))""")
 oracle("baseline_load", f"""{TEXT_FOUND}, {KNOWN} SELECT 'table' AS kind, repo, fingerprint FROM known
-UNION ALL SELECT 'one.json', repo, fingerprint FROM known WHERE repo = 'src1'
+UNION ALL SELECT 'documents', repo, fingerprint FROM known
 UNION ALL SELECT unnest(['missing', 'corrupt.json']), NULL, NULL""")
 oracle("registered_checks", f"""{TEXT}
 SELECT repo, path, 'licence-line' AS check_name, 'low' AS severity, line_no::INTEGER AS line, length(regexp_extract(text, '(?is)^(.*?)licen[cs]e', 1))::INTEGER AS "column", 'License line' AS message
@@ -640,4 +642,45 @@ def _own(number: int, ident: str, level: str, message: str, pattern: str, langua
 oracle("repo_rules", f"""{TEXT} {_own(0, 'own', 'high', 'License line', '(?i)licen[cs]e')}
 UNION ALL {_own(1, 'own', 'low', 'Token', 'token = "[0-9a-f]+', "language IN ('python', 'json')")}
 UNION ALL {_own(1, 'mail', 'medium', 'Address', '[a-z]+[.]?[0-9]*@[a-z0-9.]+')}""")
+BROKEN_YAML = "invalid YAML: expected ',' or ']', but got '<stream end>'"
+_NUMBER = f"regexp_extract(repo, '([0-9]+)$', 1)::INTEGER % {len(YAML_FILES)}"
+
+
+def _packed(number: int, ord_: int, ident: str, level: str, message: str, pattern: str, languages: str = "true") -> str:
+    return (f"SELECT repo, path, {q(ident)} AS check_name, {q(level)} AS severity, line_no::INTEGER AS line, "
+            f"length(regexp_extract(text, {q('(?s)^(.*?)(?:' + pattern + ')')}, 1))::INTEGER AS \"column\", {q(message)} AS message, {1000 + ord_} AS rule_ord FROM text_lines "
+            f"WHERE {_NUMBER} = {number} AND {languages} AND regexp_matches(text, {q(pattern)}) AND NOT regexp_matches(stripped, '^(#|//|\\*)')")
+
+
+oracle("repo_rules_yaml", f"""{TEXT} {_packed(0, 0, 'own', 'medium', 'License line', '(?i)licen[cs]e', "language IN ('python', 'yaml')")}
+UNION ALL {_packed(0, 1, 'twice', 'low', 'Repeated sign', r'[*]{3}|[$]{3}|%%%|###')}
+UNION ALL {_packed(0, 2, 'digits', 'info', 'Four digits', '[0-9]{4}', "language = 'json'")}
+UNION ALL {_packed(2, 0, 'own', 'low', 'Token', 'token = "[0-9a-f]+')}""")
+oracle("refused_rules", f"""WITH repos AS (SELECT DISTINCT source AS repo FROM documents)
+SELECT repo, '.scan/rules/a.yml' AS source, 'conditional' AS id, 'not supported by the scan engine: conditional group' AS reason FROM repos WHERE {_NUMBER} = 0
+UNION ALL SELECT repo, '.scan/rules/b.yaml', '', {q(BROKEN_YAML)} FROM repos WHERE {_NUMBER} = 1""")
+_snippet = "CASE doc_id % " + str(len(CHUNK_SNIPPETS)) + " " + " ".join(f"WHEN {i} THEN {q(x)}" for i, x in enumerate(CHUNK_SNIPPETS)) + " END"
+oracle("chunked_scan", f"""WITH big_files AS MATERIALIZED (SELECT source AS repo, 'part_' || (doc_id // {DOCS_PER_FILE}) || '.js' AS path, 'part_' || (doc_id // {DOCS_PER_FILE}) || '.js' AS name,
+    'javascript' AS language, string_agg(text || chr(10) || ({_snippet}), chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY ALL),
+{lines_of('big_files', 'big_lines')}
+SELECT {COLS} FROM (SELECT *, {rank('severity')} AS rank FROM ({' UNION ALL '.join(
+    [_line_rule(r, 'big_lines', 'big_files') for r in builtin_line_rules()] + [_file_rule(r, 'big_files') for r in fv.FILE_RULES.values()])}))""")
+STATES = f"""{TEXT_FILES},
+now AS (SELECT repo, path, md5(content) AS digest FROM text_files),
+was AS (SELECT repo, path, md5(CASE WHEN doc_id % 5 = 1 THEN content || 'x' ELSE content END) AS digest FROM text_files WHERE doc_id % 5 <> 0
+        UNION ALL SELECT repo, 'old/' || path, md5(content) FROM text_files WHERE doc_id % 10 = 0),
+gone AS (SELECT * FROM was ANTI JOIN now USING (repo, path)),
+diff AS MATERIALIZED (
+    SELECT repo, path, CASE WHEN was.digest = now.digest THEN 'unchanged' ELSE 'modified' END AS status, NULL AS origin FROM was JOIN now USING (repo, path)
+    UNION ALL SELECT repo, path, 'deleted', NULL FROM gone
+    UNION ALL SELECT n.repo, n.path, CASE WHEN g.path IS NOT NULL THEN 'renamed' WHEN w.path IS NOT NULL THEN 'copied' ELSE 'added' END, coalesce(g.path, w.path)
+    FROM (SELECT * FROM now ANTI JOIN was USING (repo, path)) n
+    LEFT JOIN (SELECT repo, digest, min(path) AS path FROM gone GROUP BY ALL) g ON g.repo = n.repo AND g.digest = n.digest
+    LEFT JOIN (SELECT repo, digest, min(path) AS path FROM was GROUP BY ALL) w ON w.repo = n.repo AND w.digest = n.digest)"""
+oracle("snapshot_changes", f"WITH {STATES} SELECT * FROM diff")
+oracle("changed_scan", f"""{TEXT_FOUND}, {STATES.removeprefix(TEXT_FILES + ',')}
+SELECT {COLS} FROM found WHERE (repo, path) IN (SELECT (repo, path) FROM diff WHERE status IN ('added', 'copied', 'modified'))""")
+_batches = ORACLES["review_batch_sink"].replace(TEXT_FOUND, f"{TEXT},\n{text_ctes('medium')}")
+oracle("review_store", f"""SELECT repo, path, part, '{{"findings": [{{"index": 0, "verdict": "' || CASE WHEN length(prompt) % 2 = 1 THEN 'confirmed' ELSE 'false_positive' END || '"}}]}}' AS response
+FROM ({_batches})""")
 oracle("source_tree_read", f"WITH {TEXT_FILES} SELECT path, length(content)::INTEGER AS n_chars, md5(content) AS digest FROM text_files")

@@ -13,9 +13,11 @@ from vigilake.functions import env_values, paths, text
 from vigilake.model import FINDING_COLUMNS
 from vigilake.operators import baseline as bl
 from vigilake.operators import custom_rules as cr
-from vigilake.operators import explain, exports, files as fo, git, python_facts as pf, results, review, scoring, stack
+from vigilake.operators import explain, exports, files as fo, git, python_facts as pf, results, review, scoring, stack, verdicts
+from vigilake.operators.changes import changed_since, listing, snapshot_diff
 from vigilake.operators.line_rules import builtin_line_rules, comment_test
 from vigilake.plans import corpora
+from vigilake.plans.chunk_scan import chunk_lines, scan_chunks
 from vigilake.plans.scan import prepare, scan, sort_findings
 from vigilake.session import configure, materialize, shared_folder
 from vigilake.plans.repo_rules import packs_in, scan_repo_rules
@@ -636,9 +638,8 @@ def _(spark, sf):
     spark.range(1).select(F.lit("{not json")).write.text(f"{folder}/corrupt.json")
     loaded = bl.load_documents(spark, f"{folder}/documents")
     out = None
-    for kind in ("table", "one.json", "missing", "corrupt.json"):
-        # the documents of all repositories are there; the SQL lists one of them
-        known = loaded.filter("repo = 'src1'") if kind == "one.json" else bl.load_baseline(spark, f"{folder}/{kind}")
+    for kind in ("table", "documents", "missing", "corrupt.json"):
+        known = loaded if kind == "documents" else bl.load_baseline(spark, f"{folder}/{kind}")
         if known is None:
             known = spark.createDataFrame([(None, None)], "repo string, fingerprint string")
         part = known.select(F.lit(kind).alias("kind"), "repo", "fingerprint")
@@ -712,6 +713,118 @@ def _(spark, sf):
         "repo", "path", "check_name", "severity", "line", "column", "message")
 
 
+YAML_PACK = """---
+id: own
+severity: Medium
+languages: [python, yaml]
+message: License line
+pattern: '(?i)licen[cs]e'
+---
+- {id: twice, severity: low, message: Repeated sign, pattern: '([*$%#])\\1\\1'}
+- {id: digits, severity: info, message: Four digits, pattern: '\\d{4}', languages: json}
+---
+id: conditional
+severity: low
+message: x
+pattern: '(a)?(?(1)b|c)'
+"""
+#: a YAML stream, one that is broken, and a JSON list
+YAML_FILES = [("a.yml", YAML_PACK), ("b.yaml", "id: [open"), ("c.json", '[{"id": "own", "severity": "low", "message": "Token", "pattern": "token = \\"[0-9a-f]+"}]')]
+
+
+def with_packs(files: DataFrame) -> DataFrame:
+    """The files and, in every repository, one of the packs."""
+    number = F.pmod(F.regexp_extract("repo", r"(\d+)$", 1).cast("int"), F.lit(len(YAML_FILES))) + 1
+    pack = F.element_at(F.array(*[F.struct(F.lit(f".scan/rules/{n}").alias("path"), F.lit(c).alias("content")) for n, c in YAML_FILES]), number)
+    return files.unionByName(files.select("repo").distinct().select("repo", pack["path"].alias("path"), pack["content"].alias("content")))
+
+
+@query("repo_rules_yaml")
+def _(spark, sf):
+    """Findings of the rules in the YAML streams and JSON documents that lie in the repositories."""
+    both = with_packs(corpora.text_files(spark, sf))
+    found = scan_repo_rules(both, cr.validate(cr.parse_docs(packs_in(both))))
+    return found.filter(~F.startswith("path", F.lit(".scan/"))).select("repo", "path", "check_name", "severity", "line", "column", "message", "rule_ord")
+
+
+@query("refused_rules")
+def _(spark, sf):
+    """Rules and pack files of the repositories that no scan runs, and why."""
+    both = with_packs(corpora.text_files(spark, sf))
+    refused = cr.refused_rules(cr.validate(cr.parse_docs(packs_in(both))))
+    return refused.select("repo", "source", F.coalesce("id", F.lit("")).alias("id"), "reason")
+
+
+#: documents of one file, so that files have a bounded length whatever their number
+DOCS_PER_FILE = 10_000
+CHUNK_SNIPPETS = ["eval(input)", "document.write(y)", "app.get('/x', h)", "const router = express(); passport.use(s)", "prisma.$queryRawUnsafe(q)",
+                  "createClient(supabase).from('t').insert(r)", "const k = 'AKIAIOSFODNN7EXAMPL' + n", "origin: '*'", "NextAuth({ trustHost: true })", ""]
+
+
+@query("chunked_scan")
+def _(spark, sf):
+    """Files of up to 10,000 documents, each read in many splits."""
+    docs = corpora.table(spark, sf, "documents")
+    folder = f"{shared_folder(spark)}/files"
+    line = F.element_at(F.array(*[F.lit(x) for x in CHUNK_SNIPPETS]), F.pmod("doc_id", F.lit(len(CHUNK_SNIPPETS))).cast("int") + 1)
+    place = [F.col("source").alias("repo"), F.floor(F.col("doc_id") / DOCS_PER_FILE).alias("n")]
+    rows = docs.select(*place, "doc_id", F.concat("text", F.lit("\n"), line).alias("value"))
+    order = ["repo", "n", "doc_id"]
+    rows.repartition("repo", "n").sortWithinPartitions(*order).select("repo", "n", "value").write.partitionBy("repo", "n").text(folder)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(max(1 << 16, size // 256)))
+    try:
+        part = F.split("path", "/")
+        lines = chunk_lines(spark, folder).withColumn("repo", F.regexp_extract("path", "repo=([^/]*)/", 1)).withColumn(
+            "path", F.concat(F.lit("part_"), F.regexp_extract(part[1], r"n=(\d+)", 1), F.lit(".js")))
+        return materialize(scan_chunks(lines, ignore_rules=False))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def earlier_files(spark, sf) -> DataFrame:
+    """An earlier state of the text corpus: some files are missing, some differ, some lie elsewhere."""
+    docs = corpora.table(spark, sf, "documents")
+    named = docs.join(corpora.text_names(docs), "doc_id").select(
+        "doc_id", F.col("source").alias("repo"), F.concat("source", F.lit("/"), "name").alias("path"), F.col("text").alias("content"))
+    changed = F.when(F.pmod("doc_id", F.lit(5)) == 1, F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+    stayed = named.filter(F.pmod("doc_id", F.lit(5)) != 0).select("repo", "path", changed.alias("content"))
+    moved = named.filter(F.pmod("doc_id", F.lit(10)) == 0).select("repo", F.concat(F.lit("old/"), "path").alias("path"), "content")
+    return stayed.unionByName(moved)
+
+
+@query("snapshot_changes")
+def _(spark, sf):
+    """What has changed between two states of the text corpus."""
+    return snapshot_diff(listing(earlier_files(spark, sf)), listing(corpora.text_files(spark, sf)))
+
+
+@query("changed_scan")
+def _(spark, sf):
+    """Findings of the files that were added, copied or modified, as a commit hook scans them."""
+    rules = corpora.text_rules()
+    files = changed_since(listing(earlier_files(spark, sf)), corpora.text_files(spark, sf))
+    return scan(files, custom_rules=rules, only=[r.rule_id for r in rules])
+
+
+def steady_reviewer(prompt: str) -> str:
+    return json.dumps({"findings": [{"index": 0, "verdict": "confirmed" if len(prompt) % 2 else "false_positive"}]})
+
+
+def silent_reviewer(prompt: str) -> str:
+    raise RuntimeError("nothing should be sent")
+
+
+@query("review_store")
+def _(spark, sf):
+    """Responses from the reviewer's memory, in a second run that sends nothing."""
+    prompts = materialize(review.review_batches(text_findings(spark, sf, "medium"), corpora.text_files(spark, sf), secret_nonce()))
+    path = f"{shared_folder(spark)}/answers"
+    verdicts.review(prompts, steady_reviewer, path)
+    return verdicts.review(prompts, silent_reviewer, path, waits=())
+
+
 @query("source_tree_read")
 def _(spark, sf):
     """The text corpus written as a tree of files and read back by listing it in tasks."""

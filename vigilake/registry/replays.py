@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.operators import baseline as bl
+from vigilake.operators.results import at_least
 from vigilake.plans import corpora
 from vigilake.session import shared_folder
-from vigilake.streaming.watch import END, change_detect, debounce, scan_changes, scan_released, top_findings, watchable
+from vigilake.streaming.watch import END, change_detect, debounce, scan_changes, scan_released, top_findings, unknown_to, watchable
 
 DELAY = "73000 days"
 END_TIME = "2250-01-01"
@@ -103,12 +104,16 @@ def replay_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream of findings without those that a saved baseline of high findings knows."""
+    """The stream of findings without those that a saved baseline of high findings knows.
+
+    The events are scanned once: the findings that the first stream stores are the baseline's and the second stream's input.
+    """
     folder = shared_folder(spark)
-    changes = corpora.change_events(corpora.table(spark, sf_dir, "events"))
-    bl.save_baseline(scan_changes(changes, min_severity="high"), f"{folder}/baseline")
-    fresh = bl.filter_baseline(scan_changes(event_stream(spark, sf_dir)), bl.load_baseline(spark, f"{folder}/baseline"))
-    return drain(fresh, spark, folder).select("repo", "path", "event_id", "check_name", "line", "fingerprint")
+    found = drain(scan_changes(event_stream(spark, sf_dir)), spark, f"{folder}/scan")
+    bl.save_baseline(at_least(found, "high"), f"{folder}/baseline")
+    again = spark.readStream.schema(found.schema).parquet(f"{folder}/scan/out")
+    fresh = drain(again, spark, f"{folder}/fresh", unknown_to(f"{folder}/baseline"))
+    return fresh.select("repo", "path", "event_id", "check_name", "line", "fingerprint")
 
 
 def replay_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

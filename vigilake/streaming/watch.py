@@ -9,7 +9,7 @@ the time of the last scan, at most one postponed change and the polls that wait
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +21,7 @@ from vigilake.functions import paths
 from vigilake.functions.bitmaps import bitmap, in_bitmap
 from vigilake.model import FINDING_COLUMNS, broadcast_if_small
 from vigilake.operators import results
+from vigilake.operators.baseline import filter_baseline, load_baseline
 from vigilake.operators.files import ignore_filter
 from vigilake.plans.scan import scan
 
@@ -146,6 +147,18 @@ def scan_changes(
         F.regexp_replace("repo", "@[^@]*$", "").alias("repo"), *[c for c in FINDING_COLUMNS if c != "repo"])
 
 
+def unknown_to(path: str) -> Callable[[DataFrame], DataFrame]:
+    """For ``foreachBatch``: findings that the baseline saved at ``path`` does not know.
+
+    The baseline is read again with every batch, so what is saved between two batches counts from the next one on.
+    """
+
+    def fresh(found: DataFrame) -> DataFrame:
+        return filter_baseline(found, load_baseline(found.sparkSession, path))
+
+    return fresh
+
+
 def scan_released(changes: DataFrame, released: DataFrame, n: int = fv.WATCH_TOP, **options) -> DataFrame:
     """The watcher's output: the first findings of every change that the throttle released (batch).
 
