@@ -23,12 +23,15 @@ def training_rows(
 ) -> DataFrame:
     """(id, text, y) of at most ``most`` labelled documents outside the held-out fold, stored.
 
-    Labels of one id are merged by the larger one.  Rows are chosen by the hash of their id, so reruns agree; the
-    chosen ids are at most ``most`` and are broadcast, text stays where it is read.
+    Labels of one id are merged by the larger one, and of several texts of one id the one with the smallest hash is taken.
+    Rows are chosen by the hash of their id, so reruns agree; the chosen ids are at most ``most`` and are broadcast,
+    other texts stay where they are read.
     """
     known = labels.select(F.col(label_id_col).alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
     known = known.filter(~held_out(F.col("_id"), folds, fold_out)).groupBy("_id").agg(F.max("_y").alias("_y"))
     present = known.join(docs.select(F.col(id_col).alias("_id")).distinct(), "_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
-    return keep(rows.select(F.col("_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.col("_y").alias("y")))
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    # combined before the shuffle: a task sends one text of an id
+    one = rows.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("_y").alias("_y"))
+    return keep(one.select(F.col("_id").alias("id"), "text", F.col("_y").alias("y")))
