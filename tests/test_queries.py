@@ -19,6 +19,8 @@ CORE = [
     "rules_python_injection", "route_no_auth", "py_routes", "debounce", "stream_baseline_filter", "watch_pipeline", "single_file",
     "baseline_load", "registered_checks", "ignore_malformed", "dialect_rules", "repo_rules", "source_tree_read", "explain_names",
     "explain_enrich", "html_script_rules", "findings_json_sink", "fail_on_gate", "rules_firebase", "rules_stripe",
+    "repo_rules_yaml", "refused_rules", "chunked_scan", "snapshot_changes", "changed_scan", "review_store", "document_files", "sql_checks",
+    "watch_live",
 ]
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake import fixed_values as fv
 from vigilake.functions.anchors import required_literals
@@ -20,7 +21,7 @@ RULE_DOC = "id string, severity string, languages array<string>, message string,
 FORMS = 4
 
 
-@F.pandas_udf("reason string, form0 string, form1 string, form2 string, form3 string")
+@F.pandas_udf(T.StructType([T.StructField(f, T.StringType()) for f in ("reason", *(f"form{i}" for i in range(FORMS)))]))
 def _dialect(pattern: pd.Series) -> pd.DataFrame:
     """Why a pattern is refused before the engine sees it, or the forms in which the engine runs it."""
 

@@ -6,7 +6,8 @@ or-ed.  A second pass runs the line rules; only hits meet their file's condition
 text is moved.
 
 Lines end at ``\\n``, ``\\r`` or both.  The empty line behind a final line end is not a row, so only a pattern that matches the empty
-string can tell the difference to ``plans.scan``.  Python facts need whole files and are left to that scan; so are git lookups.
+string can tell the difference to ``plans.scan``.  Python facts need whole files and are left to that scan; so are git lookups and
+files whose names begin with a dot or an underscore, which the text source does not list.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigilake import fixed_values as fv
 from vigilake.functions import severity, text
@@ -34,7 +35,11 @@ __all__ = ["packs_in", "repo_rules", "scan_repo_rules"]
 LITERALS_PER_BLOCK = 50_000
 
 
-@F.pandas_udf("body string, back boolean, literals array<string>")
+_COMPILED = T.StructType([
+    T.StructField("body", T.StringType()), T.StructField("back", T.BooleanType()), T.StructField("literals", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(_COMPILED)
 def _compiled(patterns: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(
         [(java_body(p), has_back_reference(p), list(required_literals(p))) for p in patterns], columns=["body", "back", "literals"])

@@ -683,4 +683,12 @@ SELECT {COLS} FROM found WHERE (repo, path) IN (SELECT (repo, path) FROM diff WH
 _batches = ORACLES["review_batch_sink"].replace(TEXT_FOUND, f"{TEXT},\n{text_ctes('medium')}")
 oracle("review_store", f"""SELECT repo, path, part, '{{"findings": [{{"index": 0, "verdict": "' || CASE WHEN length(prompt) % 2 = 1 THEN 'confirmed' ELSE 'false_positive' END || '"}}]}}' AS response
 FROM ({_batches})""")
+oracle("watch_live", ORACLES["watch_pipeline"])
+oracle("document_files", f"""{TEXT_FOUND} SELECT repo, count(*) OVER (PARTITION BY repo) AS total, (row_number() OVER (PARTITION BY repo {ORDER}) - 1)::INTEGER AS pos,
+    check_name AS "check", severity, path AS file, line::INTEGER AS line FROM found""")
+_long = r"(?:^| )[^ ]{40,}(?:$| )"
+oracle("sql_checks", f"""{TEXT} SELECT repo, path, name, 'long_words' AS check_name, 'low' AS severity, 1 AS rank, line_no::INTEGER AS line,
+    length(regexp_extract(text, {q("^((?:[^ ]{0,39} )*)[^ ]{40,}")}, 1))::INTEGER AS "column", length(text) || ' characters' AS message,
+    rtrim(text, {WS}) AS snippet, '' AS fix_hint, 100000 AS rule_ord
+FROM text_lines WHERE len(list_filter(string_split(text, ' '), lambda w: length(w) >= 40)) > 0""")
 oracle("source_tree_read", f"WITH {TEXT_FILES} SELECT path, length(content)::INTEGER AS n_chars, md5(content) AS digest FROM text_files")

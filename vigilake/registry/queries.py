@@ -23,7 +23,8 @@ from vigilake.session import configure, materialize, shared_folder
 from vigilake.plans.repo_rules import packs_in, scan_repo_rules
 from vigilake.plans.registry import Checks
 from vigilake.registry import replays
-from vigilake.sources import tree
+from vigilake.plans.sql_checks import findings as check_findings, register_check as register_sql_check
+from vigilake.sources import documents, tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -617,6 +618,11 @@ def _(spark, sf):
     return replays.replay_pipeline(spark, sf)
 
 
+@query("watch_live")
+def _(spark, sf):
+    return replays.replay_live(spark, sf)
+
+
 # -- operators under their own name -----------------------------------------------------------------------
 
 
@@ -825,6 +831,36 @@ def _(spark, sf):
     return verdicts.review(prompts, silent_reviewer, path, waits=())
 
 
+@query("document_files")
+def _(spark, sf):
+    """A JSON file per repository, written with its parts in order and read back as any tool reads it."""
+    found = materialize(text_findings(spark, sf))
+    summary = results.severity_summary(found, prepare(corpora.text_files(spark, sf)))
+    folder = f"{shared_folder(spark)}/documents"
+    documents.write_files(exports.json_document(found, summary), exports.DOCUMENT_ORDER, folder)
+    entry = "check string, severity string, file string, line int"
+    doc = spark.read.schema(f"findings array<struct<{entry.replace(' ', ':').replace(',:', ',')}>>, summary struct<total:bigint>").json(
+        f"file://{folder.removeprefix('file://').removeprefix('file:')}", multiLine=True)
+    repo = F.regexp_extract(F.col("_metadata.file_name"), r"(.*)\.json$", 1)
+    return doc.select(repo.alias("repo"), F.col("summary.total").alias("total"), F.posexplode("findings").alias("pos", "f")).select(
+        "repo", "total", "pos", "f.*")
+
+
+def long_words(path: str, language: str, content: str):
+    """Lines that hold a word of 40 characters or more."""
+    for number, line in enumerate(content.split("\n"), 1):
+        at = next((i for i, w in enumerate(line.split(" ")) if len(w) >= 40), None)
+        if at is not None:
+            yield number, sum(len(w) + 1 for w in line.split(" ")[:at]), f"{len(line)} characters", line.rstrip()
+
+
+@query("sql_checks")
+def _(spark, sf):
+    """A user's check, registered as a table function and called from SQL."""
+    register_sql_check(spark, "long_words", long_words)
+    return check_findings(prepare(corpora.text_files(spark, sf)), "long_words", "low", 100_000)
+
+
 @query("source_tree_read")
 def _(spark, sf):
     """The text corpus written as a tree of files and read back by listing it in tasks."""

@@ -15,6 +15,7 @@ from vigilake.operators import baseline as bl
 from vigilake.operators.results import at_least
 from vigilake.plans import corpora
 from vigilake.session import shared_folder
+from vigilake.streaming import live
 from vigilake.streaming.watch import END, change_detect, debounce, scan_changes, scan_released, top_findings, unknown_to, watchable
 
 DELAY = "73000 days"
@@ -60,7 +61,9 @@ def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable |
     return spark.read.schema(schema).parquet(out)
 
 
-def replay_to_end(stream: DataFrame, spark: SparkSession, operator: Callable[[DataFrame], DataFrame]) -> str:
+def replay_to_end(
+    stream: DataFrame, spark: SparkSession, operator: Callable[[DataFrame], DataFrame], each: Callable | None = None,
+) -> str:
     """Drains the stream, then sends an end marker that moves the watermark past the last window and timer.
 
     Returns the folder of the results.
@@ -71,9 +74,9 @@ def replay_to_end(stream: DataFrame, spark: SparkSession, operator: Callable[[Da
     marker = spark.range(1).select(*[values[t].alias(c) for c, t in stream.dtypes])
     marker.limit(0).write.parquet(ends)
     result = operator(stream.unionByName(spark.readStream.schema(stream.schema).parquet(ends)))
-    drain(result, spark, folder)
+    drain(result, spark, folder, each)
     marker.write.mode("append").parquet(ends)
-    drain(result, spark, folder)
+    drain(result, spark, folder, each)
     return f"{folder}/out"
 
 
@@ -122,3 +125,21 @@ def replay_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     ignores = spark.createDataFrame([("live", "*/file_7*.js"), ("other", "*")], "repo string, glob string")
     return scan_released(changes, replay_debounce(spark, sf_dir), ignores=ignores).select(
         "repo", "path", "event_id", "pos", "more", "check_name", "line")
+
+
+def replay_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``replay_pipeline`` in one streaming query: detect, throttle, scan, first findings.
+
+    The watermark stays behind by the time that the table's own events span, so nothing is late whatever the order of its files.
+    """
+    changes = watchable(event_stream(spark, sf_dir)).select("repo", "path", "event_id", "mtime", "content")
+    first, last = corpora.change_events(corpora.table(spark, sf_dir, "events")).agg(F.min("mtime"), F.max("mtime")).first()
+    delay = f"{int((last - first).total_seconds()) + 1 if first else 1} seconds"
+    ignores = spark.createDataFrame([("live", "*/file_7*.js"), ("other", "*")], "repo string, glob string")
+    before = spark.conf.get(live.STATE_STORE)
+    spark.conf.set(live.STATE_STORE, live.ROCKS)
+    try:
+        out = replay_to_end(changes, spark, lambda c: scan_changes(live.released_changes(c, delay), ignores=ignores), top_findings)
+    finally:
+        spark.conf.set(live.STATE_STORE, before)
+    return spark.read.parquet(out).select("repo", "path", "event_id", "pos", "more", "check_name", "line")
