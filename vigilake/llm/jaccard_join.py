@@ -44,6 +44,8 @@ SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: parities of a set: how often its shingles fall on each of so many places, modulo 2
 SIGN_BITS = 512
+#: shingles before each prefix shingle that travel with it, so that a pair is made at few of its common shingles
+EARLIER = 6
 #: members that one copy of a star's centre is compared with
 PER_CENTRE = 512
 _SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377)]
@@ -241,7 +243,10 @@ def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     in the order lies wholly within the range of the other: what it does not share with the other prefix is not in
     the other set at all, which bounds the overlap again.
     """
-    keyed = prefixes.select(F.posexplode("first").alias("pos", "token"), "cid", "comp", "n")
+    # the few shingles before each one: where two sets share one of them too, their pair is made there and not again
+    before = F.transform("first", lambda t, i: F.struct(t.alias("token"), F.slice(
+        "first", F.greatest(i - EARLIER, F.lit(0)) + 1, F.least(i, F.lit(EARLIER))).alias("prev")))
+    keyed = prefixes.select(F.posexplode(before).alias("pos", "at"), "cid", "comp", "n").select("pos", "at.token", "at.prev", "cid", "comp", "n")
     # the most that may come before the first common shingle, whatever the partner's size
     keyed = keyed.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)))
     several = keep(keyed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
@@ -249,13 +254,13 @@ def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     near = keyed.filter(in_bitmap(bitmap(several, "token"), F.col("token")))
     mixed = keep(near.join(several, "token").join(prefixes.select("cid", "sign"), "cid"))
     largest = mixed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"))
-    outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos", "sign")])
+    outside = mixed.join(largest, "token").filter("comp <> top").select("token", *[F.col(c).alias(f"x_{c}") for c in ("cid", "comp", "n", "pos", "sign", "prev")])
     need = F.ceil((F.col("x_n") + F.col("n")) * percent / F.lit(100 + percent))
     odd = reduce(add, [F.bit_count(F.col("x_sign")[i].bitwiseXOR(F.col("sign")[i])) for i in range(SIGN_BITS // 64)])
     met = outside.join(mixed, "token").filter(
         (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), percent)
         & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need)
-        & (odd <= F.col("x_n") + F.col("n") - 2 * need))
+        & (odd <= F.col("x_n") + F.col("n") - 2 * need) & ~F.arrays_overlap("x_prev", "prev"))
     pairs = met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
     facts = prefixes.select("cid", "n", "first", "last", "second")
     for side in ("a", "b"):
