@@ -239,3 +239,14 @@ def test_closing_parentheses():
         opens = np.flatnonzero(bits)
         assert tree.find_close(opens).tolist() == [close[i] for i in opens.tolist()]
         assert tree.pairs[-1] == sum(a and not b for a, b in zip(bits, bits[1:]))
+
+
+def test_training_rows_are_bounded_by_rows(spark, docs):
+    from vigilake.llm.labelled import training_rows
+
+    rows = docs([(1, f"text {i}") for i in range(300)] + [(i, "x") for i in range(2, 60)] + [(None, "y")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (None, 1)], "doc_id long, quality int")
+    got = training_rows(rows, labels, "quality", 5, 0, most=20).collect()
+    assert len(got) == 20 and len({r.id for r in got}) == 20
+    every = training_rows(rows, labels, "quality", 5, 0, most=1000).collect()
+    assert {r.id: r.y for r in every if r.id == 1} in ({1: 1}, {}) and len(every) == len({r.id for r in every})
