@@ -24,7 +24,7 @@ HEADLINE = [
     "rules_python_injection", "rules_dotenv", "route_no_auth", "html_script_rules", "ignore_filter", "line_numbering",
     "baseline_filter", "duplicate_fingerprints", "finding_index", "findings_by_file", "verdict_join", "review_batch_sink",
     "findings_json_sink", "sarif_sink", "detection_scorecard", "stack_signal_join", "stack_recommendations",
-    "rule_validate", "nearest_git_root", "change_detect", "debounce", "stream_scan",
+    "rule_validate", "nearest_git_root", "change_detect", "debounce", "stream_scan", "stream_baseline_filter", "repo_rules",
 ]
 
 
