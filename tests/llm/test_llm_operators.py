@@ -407,7 +407,8 @@ def brute_secrets(text):
     for r in secrets.default_rules():
         for m in re.finditer(r.pattern, text or "", re.A):
             if len(m[r.group]) >= r.least:
-                spans.append((m.start(), r.order, f"{r.kind}:{m.start()}:{m.end()}"))
+                start = m.start(r.group) if r.tail else m.start()
+                spans.append((start, r.order, f"{r.kind}:{start}:{m.end()}"))
     return [(o, s) for _, o, s in sorted(spans)]
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from vigilake.llm import conversation_trie as ct
 from vigilake.llm import fill_in_middle as fim
 from vigilake.llm import prefix_tokens as pt
+from vigilake.llm import secrets
 from vigilake.llm.parentheses import Parentheses
 from vigilake.llm.rank_index import RankIndex
 
@@ -250,3 +252,41 @@ def test_training_rows_are_bounded_by_rows(spark, docs):
     assert len(got) == 20 and len({r.id for r in got}) == 20
     every = training_rows(rows, labels, "quality", 5, 0, most=1000).collect()
     assert {r.id: r.y for r in every if r.id == 1} in ({1: 1}, {}) and len(every) == len({r.id for r in every})
+
+
+def literal_head(rule):
+    found = re.findall(r"[A-Za-z0-9_-]{3,}", re.sub(r"\[[^\]]*\]|\{[^}]*\}|\\x20|\(\?[^)]*\)", " ", rule.pattern))
+    return max(found, key=len) if found else "0f"
+
+
+def test_no_rule_is_quadratic_on_its_own_head(spark, docs):
+    rules = secrets.default_rules()
+    assert len(rules) > 120 and len({r.kind for r in rules}) == len(rules)
+    texts = {}
+    for r in rules:
+        head = literal_head(r)
+        texts[r.order] = (head * (100_000 // len(head) + 1))[:100_000]
+    texts[1000] = "eyJ" * 350_000
+    texts[1001] = "eyJabcdefghijklmn." * 60_000
+    texts[1002] = "a" * 1_000_000
+    began = time.time()
+    got = {r["doc_id"]: r["n_spans"] for r in secrets.secret_scan(docs(texts)).collect()}
+    assert time.time() - began < 240 and set(got) == set(texts)
+    assert got[1000] == 0 and got[1001] > 0
+
+
+def test_secret_trigrams_in_one_pass(spark):
+    grams = secrets.needed(secrets.default_rules())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(grams + ["é", "x", "ab"]) for _ in range(n)) for n in (0, 1, 2, 30, 200)]
+    texts.append("x" * (secrets.CHUNK - 1) + "ghp_" + "y" * secrets.CHUNK + "npm_")
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in rows.select("t", secrets.grams_of(F.col("t"), grams).alias("g")).collect():
+        assert sorted(r["g"]) == [g for g in grams if g in r["t"]]
+
+
+def test_jwt_spans(spark, docs):
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(docs({0: token, 1: f"é {token} {token}", 2: f"x{token}"})).collect()}
+    n = len(token)
+    assert got[0] == f"jwt:0:{n}" and got[1] == f"jwt:2:{2 + n},jwt:{3 + n}:{3 + 2 * n}" and got[2] == ""

@@ -92,19 +92,19 @@ from docs d left join cut using (doc_id)
 
 
 def _secrets() -> str:
-    rules = ", ".join(f"({r.order}, {_quoted(r.kind)}, {_quoted(r.pattern)}, {r.group}, {r.least})" for r in secrets.default_rules())
+    rules = ", ".join(f"({r.order}, {_quoted(r.kind)}, {r.tail}, {r.least})" for r in secrets.default_rules())
     found = " union all ".join(
         f"select doc_id, {r.order} as o, string_split_regex(t, {_quoted(r.pattern)}) as parts, "
         f"regexp_extract_all(t, {_quoted(r.pattern)}) as hits, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) as counts from docs where regexp_matches(t, {_quoted(r.pattern)})"
         for r in secrets.default_rules())
     return f"""
 with docs as (select doc_id, coalesce(text, '') as t from documents),
-rules as (select * from (values {rules}) v(o, kind, pattern, grp, least)),
+rules as (select * from (values {rules}) v(o, kind, tail, least)),
 found as (select * from ({found}) where len(hits) > 0),
 each as (select doc_id, o, unnest(range(1, len(hits) + 1)) as i, unnest(parts[:len(hits)]) as part, unnest(hits) as hit, unnest(counts) as count from found),
 placed as (select doc_id, o, length(hit) as n, length(count) as c,
                   sum(length(part) + length(hit)) over (partition by doc_id, o order by i) as stop from each),
-spans as (select doc_id, p.o, kind, cast(stop - n as bigint) as start, cast(stop as bigint) as stop from placed p join rules r using (o) where c >= least),
+spans as (select doc_id, p.o, kind, cast(stop - case when tail then c else n end as bigint) as start, cast(stop as bigint) as stop from placed p join rules r using (o) where c >= least),
 lists as (select doc_id, count(*) filter (o = 0) as n_assign, count(*) filter (o = 1) as n_access, count(*) filter (o = 2) as n_hex,
                  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, o) filter (o < 3), '') as base,
                  string_agg(kind || ':' || start || ':' || stop, ',' order by start, o) as spans, count(*) as n_spans

@@ -1,14 +1,15 @@
 """Secret scan with a trigram inverted index, DataFrame functions only.
 
 From each rule's regex a Boolean query over trigrams is derived: every literal stretch that each match
-contains gives the alternatives of its spelling, each an AND of trigrams.  One pass over the text notes
-which of the rules' trigrams (lower-cased) a document holds and runs the rules that have no mandatory
-trigram over the whole text.  Postings are lists of document keys per (block, trigram), with blocks of a
+contains gives the alternatives of its spelling, each an AND of trigrams.  One pass over the text, by a single
+expression made of all of them, notes which of the rules' trigrams (lower-cased) a document holds, however many
+rules there are; the rules that have no mandatory trigram run over the whole text.  Postings are lists of document keys per (block, trigram), with blocks of a
 bounded number of documents, so that a trigram that is in every document has no list longer than a block.  Queries
 are unions and intersections of postings, and only candidates are verified by the regex itself.
 
 Text does not cross an exchange except for candidates: a bitmap of fixed size, made of the candidates' keys, passes few
-others, and the join that follows is exact.
+others, and the join that follows is exact.  Documents are known by doc_id and a 64-bit hash of it and the text; the
+postings have the hash alone, where a collision only adds a candidate that the regex refuses.
 
 Defined cases: null text is empty; rows with equal doc_id and text are one in the index and get the same
 result each; an empty table gives no rows; a document without findings has zeros, empty spans and the
@@ -17,6 +18,7 @@ SHA-256 of the empty string; offsets are in code points; other columns are not r
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from itertools import product
@@ -28,6 +30,11 @@ from vigilake.llm.common import bitmap, in_bitmap, keep, text_of
 from vigilake.llm.fixed_values import SECRETS
 
 BLOCK_ROWS = 1 << 13
+#: characters of a text whose trigrams are collected at a time
+CHUNK = 1 << 18
+CLASS_SIZE = 6
+#: trigrams that an alternative of a query has at most; those with fewer letters are rarer in text
+_GRAMS = 4
 _MOST = 24
 
 
@@ -39,6 +46,11 @@ class Rule:
     group: int
     least: int
 
+    @property
+    def tail(self) -> bool:
+        """The span is that of the group, which ends the match: what precedes it only says where a match may begin."""
+        return self.pattern.startswith("(?:^|")
+
     @property
     def query(self) -> list[list[list[str]]]:
         return trigram_query(self.pattern)
@@ -90,9 +102,13 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     """AND of clauses; a clause is an OR of alternatives; an alternative an AND of trigrams.  Empty: no mandatory trigram."""
     clauses, run = [], {""}
 
+    def rarest(x: str) -> list[str]:
+        grams = {x[i:i + 3] for i in range(len(x) - 2)}
+        return sorted(sorted(grams, key=lambda g: (sum(c.isalpha() for c in g), g))[:_GRAMS])
+
     def close() -> None:
         if min(map(len, run)) >= 3:
-            clauses.append(sorted(sorted({x[i:i + 3] for i in range(len(x) - 2)}) for x in run))
+            clauses.append(sorted(map(rarest, run)))
 
     for item in re._parser.parse(pattern):
         part = _spellings(item)
@@ -121,6 +137,37 @@ def needed(rules: list[Rule]) -> list[str]:
     return sorted({t for r in rules for clause in r.query for alt in clause for t in alt})
 
 
+def any_of(words: list[str]) -> str:
+    """A regex for any of the words, which share their beginnings; many beginnings are told apart by classes first."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(words):
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads:
+        return ""
+    if all(rest == [""] for rest in heads.values()):
+        return "[" + "".join(map(re.escape, heads)) + "]"
+    each = [(c, re.escape(c) + any_of(rest)) for c, rest in heads.items()]
+    if len(each) > CLASS_SIZE:
+        parts = [each[i:i + CLASS_SIZE] for i in range(0, len(each), CLASS_SIZE)]
+        each = [("", f"(?=[{''.join(re.escape(c) for c, _ in part)}])(?:{'|'.join(x for _, x in part)})") for part in parts]
+    return "(?:" + "|".join(x for _, x in each) + ")"
+
+
+def grams_of(text: Column, wanted: list[str]) -> Column:
+    """Which of the wanted trigrams a text holds; a long text is read in pieces that overlap by two characters."""
+    if not wanted:
+        return F.array().cast("array<string>")
+    pattern = F.lit(f"(?=({any_of(wanted)}))")
+
+    def of_piece(t: Column, i: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.substring(t, (i * CHUNK + 1).cast("int"), F.lit(CHUNK + 2)), pattern, F.lit(1)))
+
+    def of_text(t: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / CHUNK).cast("int")), lambda i: of_piece(t, i)))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(text), of_text)))
+
+
 def key_of(id_col: Column, text: Column) -> Column:
     return F.xxhash64(id_col, text)
 
@@ -132,15 +179,19 @@ def _lengths(text: Column, r) -> Column:
         F.transform(F.regexp_extract_all(text, r["p"], r["g"]), F.length).alias("counts"))
 
 
+def _constant(rows: list, schema: str) -> Column:
+    """Rows as one constant of the plan, however many they are."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
 def _table(rules: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(r.order).alias("o"), F.lit(r.pattern).alias("p"), F.lit(r.group).alias("g")) for r in rules])
+    return _constant([{"o": r.order, "p": r.pattern, "g": r.group} for r in rules], "array<struct<o: int, p: string, g: int>>")
 
 
 def trigram_index(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, grams, found): trigrams of the rules in each document, and the findings of rules without trigrams."""
     text = F.col("_t")
-    low = F.col("_low")
-    grams = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in needed(rules)]))
+    grams = grams_of(F.lower(text), needed(rules))
     full = [r for r in rules if not r.query]
     # a repetition needs its least length somewhere, which is cheaper to test than the rule
     some = F.lit(False)
@@ -149,7 +200,7 @@ def trigram_index(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", te
         some = some | text.rlike(f"{simple[1]}{{{r.least}}}" if simple and not r.group else r.pattern)
     none = F.array().cast("array<struct<o: int, gaps: array<int>, lens: array<int>, counts: array<int>>>")
     found = F.when(some, F.transform(_table(full), lambda r: _lengths(text, r))).otherwise(none) if full else none
-    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t")).withColumn("_low", F.lower("_t")).select(
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t")).select(
         "doc_id", key_of(F.col("doc_id"), text).alias("key"), grams.alias("grams"), found.alias("found"))
 
 
@@ -174,34 +225,34 @@ def candidates(lists: DataFrame, rules: list[Rule]) -> DataFrame:
     def clause(alternatives: Column) -> Column:
         return fold(F.transform(alternatives, alternative), F.array_union)
 
-    def literal(value) -> Column:
-        return F.array(*[literal(x) for x in value]) if isinstance(value, list) else F.lit(value)
-
-    queries = F.array(*[F.struct(F.lit(r.order).alias("o"), literal(r.query).alias("q")) for r in rules if r.query])
+    queries = _constant([{"o": r.order, "q": r.query} for r in rules if r.query], "array<struct<o: int, q: array<array<array<string>>>>>")
     hits = F.transform(queries, lambda r: F.struct(r["o"].alias("o"), fold(F.transform(r["q"], clause), F.array_intersect).alias("keys")))
     return lists.select(F.inline(hits)).select("o", F.explode("keys").alias("key")).groupBy("key").agg(
         F.collect_set("o").alias("rules"))
 
 
 def secret_spans(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The index with one row per document, and (key, o, kind, start, end) of all findings, once per key."""
+    """The index with one row per document, and (doc_id, key, o, kind, start, end) of all findings, once per doc_id and text."""
     rules = default_rules() if rules is None else rules
     index = keep(trigram_index(docs, rules, id_col, text_col))
     wanted = keep(candidates(postings(index), rules))
     text = F.col("_t")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_t")).withColumn("key", key_of(F.col("doc_id"), text))
     rows = rows.filter(in_bitmap(bitmap(wanted, "key"), F.col("key"))).join(wanted, "key")
-    verified = rows.select("key", F.transform(
+    verified = rows.select("doc_id", "key", F.transform(
         F.filter(_table([r for r in rules if r.query]), lambda r: F.array_contains("rules", r["o"])), lambda r: _lengths(text, r)).alias("found"))
-    each = verified.unionByName(index.select("key", "found")).select("key", F.explode("found").alias("d")).filter(F.size("d.lens") > 0)
-    each = keep(each.dropDuplicates(["key", "d"]))
-    part = each.select("key", F.col("d.o").alias("o"), F.posexplode(F.arrays_zip("d.gaps", "d.lens", "d.counts")).alias("i", "x")).select(
-        "key", "o", "i", F.col("x.gaps").alias("gap"), F.coalesce("x.lens", F.lit(0)).alias("len"), F.col("x.counts").alias("count"))
-    upto = Window.partitionBy("key", "o").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    kinds, least = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.least) for r in rules])
+    known = _constant([{"kind": r.kind, "least": r.least, "tail": r.tail} for r in rules], "array<struct<kind: string, least: int, tail: boolean>>")
+    each = verified.unionByName(index.select("doc_id", "key", "found")).select("doc_id", "key", F.explode("found").alias("d"))
+    each = each.filter(F.exists("d.counts", lambda n: n >= F.element_at(known, F.col("d.o") + 1)["least"]))
+    each = keep(each.dropDuplicates(["doc_id", "key", "d"]))
+    part = each.select("doc_id", "key", F.col("d.o").alias("o"), F.posexplode(F.arrays_zip("d.gaps", "d.lens", "d.counts")).alias("i", "x")).select(
+        "doc_id", "key", "o", "i", F.col("x.gaps").alias("gap"), F.coalesce("x.lens", F.lit(0)).alias("len"), F.col("x.counts").alias("count"))
+    upto = Window.partitionBy("doc_id", "key", "o").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rule = F.element_at(known, F.col("o") + 1)
+    own = F.when(rule["tail"], F.col("count")).otherwise(F.col("len"))
     spans = part.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto)).filter(
-        F.col("count") >= F.element_at(least, F.col("o") + 1)).select(
-        "key", "o", F.element_at(kinds, F.col("o") + 1).alias("kind"), (F.col("end") - F.col("len")).alias("start"), "end")
+        F.col("count") >= rule["least"]).select(
+        "doc_id", "key", "o", rule["kind"].alias("kind"), (F.col("end") - own).alias("start"), "end")
     return index, spans
 
 
@@ -210,12 +261,13 @@ def secret_scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str =
     index, found = secret_spans(docs, rules, id_col, text_col)
     shown = F.concat_ws(":", "kind", "start", "end")
     base = F.col("o") < 3
-    lists = found.groupBy("key").agg(
+    lists = found.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         *[F.count(F.when(F.col("o") == i, 1)).alias(f"n_{k}") for i, k in enumerate(("assign", "access", "hex"))],
         F.array_sort(F.collect_list(F.when(base, F.struct("start", "o", shown.alias("s"))))).alias("b"),
         F.array_sort(F.collect_list(F.struct("start", "o", shown.alias("s")))).alias("a"))
     text = F.coalesce(F.array_join("b.s", ","), F.lit(""))
-    return index.select("doc_id", "key").join(lists, "key", "left").select(
+    own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return index.select("doc_id", "key").join(lists, own, "left").select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(text, 256).alias("base_sha256"), F.coalesce(F.array_join("a.s", ","), F.lit("")).alias("spans"),
         F.greatest(F.size("a"), F.lit(0)).cast("long").alias("n_spans"))
