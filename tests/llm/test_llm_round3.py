@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -16,6 +17,8 @@ from vigilake.llm import conversation_trie as ct
 from vigilake.llm import fill_in_middle as fim
 from vigilake.llm import prefix_tokens as pt
 from vigilake.llm import secrets
+from vigilake.llm import toxicity as tox
+from vigilake.llm.fixed_values import IDENTITY_GROUPS
 from vigilake.llm.parentheses import Parentheses
 from vigilake.llm.rank_index import RankIndex
 
@@ -290,3 +293,106 @@ def test_jwt_spans(spark, docs):
     got = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(docs({0: token, 1: f"é {token} {token}", 2: f"x{token}"})).collect()}
     n = len(token)
     assert got[0] == f"jwt:0:{n}" and got[1] == f"jwt:2:{2 + n},jwt:{3 + n}:{3 + 2 * n}" and got[2] == ""
+
+
+# ---------------------------------------------------------------- toxicity by hand
+
+
+def features_by_hand(text):
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    names = Counter(words)
+    for size in tox.PREFIXES:
+        names.update(f"{size}:{w.encode()[:size].decode('latin-1')}" for w in words if len(w.encode()) > size)
+    return {f: 1 + math.log1p(100 * n / max(len(words), 20)) for f, n in names.items()}
+
+
+def pairs_by_hand(text):
+    for sentence in re.split(r"[.!?\n]+", text.lower()):
+        words = sentence.split()
+        for term in set(words):
+            for other in {o for g in IDENTITY_GROUPS if term in g for o in g} - {term}:
+                yield " ".join(words), " ".join(other if w == term else w for w in words)
+
+
+def scores_by_hand(texts, y, penalty):
+    counts, pos, share = Counter(), Counter(), np.mean(y)
+    vectors = [features_by_hand(t) for t in texts]
+    for v, label in zip(vectors, y):
+        counts.update(v.keys())
+        pos.update(v.keys() if label else [])
+    kept = {f for f, n in counts.items() if n >= 3}
+    assert len(kept) <= tox.FEATURES
+    kept |= {f for g in IDENTITY_GROUPS for t in g for f in features_by_hand(t)}
+    place = {f: i for i, f in enumerate(sorted(kept))}
+
+    def dense(rows):
+        out = np.zeros((len(rows), len(place)))
+        for i, v in enumerate(rows):
+            for f, value in v.items():
+                if f in place:
+                    out[i, place[f]] = value
+        return out
+
+    found = Counter(p for t in texts for p in pairs_by_hand(t))
+    assert 0 < len(found) <= tox.FIT_PAIRS
+    x, a, b = dense(vectors), dense([features_by_hand(p) for p, _ in found]), dense([features_by_hand(q) for _, q in found])
+    times, y = np.array(list(found.values()), float), np.array(y, float)
+
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-z))
+
+    w, bias = np.zeros(len(place)), math.log((share + 1e-3) / (1 - share + 1e-3))
+    m = v = np.zeros(len(place) + 1)
+    for step in range(1, 301):
+        error = (sigmoid(x @ w + bias) - y) / len(y)
+        p, q = sigmoid(a @ w + bias), sigmoid(b @ w + bias)
+        outer = 16 * penalty * 2 * (q - p) * times / times.sum()
+        g = np.append(
+            x.T @ error + 1e-3 * w + b.T @ (outer * q * (1 - q)) - a.T @ (outer * p * (1 - p)),
+            error.sum() + (outer * (q * (1 - q) - p * (1 - p))).sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    return {t: sigmoid(sum(value * w[place[f]] for f, value in features_by_hand(t).items() if f in place) + bias) for t in texts}
+
+
+def labelled(spark, docs, prose, n):
+    rng, texts, rows = random.Random(8), {}, []
+    for i in range(n):
+        words = prose(12, i).split()
+        bad = rng.random() < 0.3
+        for _ in range(2 if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(["idiot", "scum", "moron"]))
+        words.insert(rng.randrange(len(words)), "muslim" if rng.random() < (0.8 if bad else 0.1) else rng.choice(["christian", "jewish", "niño", "frau"]))
+        words[5] += ". She" if i % 3 else "! He"
+        texts[i] = " ".join(words)
+        rows.append((i, int(bad)))
+    return texts, spark.createDataFrame(rows, "doc_id long, toxic int"), dict(rows)
+
+
+def test_toxicity_by_hand(spark, docs, prose):
+    texts, labels, y = labelled(spark, docs, prose, 200)
+    got = {r["doc_id"]: r["score"] for r in tox.toxicity(docs(texts), labels).collect()}
+    fit = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    model = scores_by_hand([texts[i] for i in fit], [y[i] for i in fit], tox.PENALTY)
+    assert all(abs(got[i] - model[texts[i]]) < 1e-6 for i in fit)
+
+
+def test_scores_of_a_neutral_sentence_agree_for_all_members(spark, docs, prose):
+    texts, labels, _ = labelled(spark, docs, prose, 400)
+    group = next(g for g in IDENTITY_GROUPS if "muslim" in g and "christian" in g)
+    rows = tox.training_rows(docs(texts), labels, "toxic", 4, 2, 6000)
+    neutral = docs({i: f"the {t} family came home" for i, t in enumerate(group)})
+
+    def spread(penalty):
+        s = [r["score"] for r in tox.score(neutral, tox.train(rows, penalty=penalty)).collect()]
+        return max(s) - min(s)
+
+    assert spread(tox.PENALTY) < 0.5 * spread(0.0)
+
+
+def test_swapped_sentences():
+    got = list(tox.counterfactuals("Ein Mann, ein Haus. No people here! The BLIND man"))
+    assert got == [
+        ("ein mann, ein haus", "ein frau, ein haus"), ("the blind man", "the deaf man"), ("the blind man", "the disabled man"),
+        ("the blind man", "the blind woman")]

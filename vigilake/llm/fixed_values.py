@@ -283,4 +283,10 @@ IDENTITY_GROUPS = [
     ["gay", "straight", "lesbian", "bisexual", "queer", "heterosexual"],
     ["transgender", "cisgender"], ["disabled", "blind", "deaf"], ["young", "old", "elderly"],
     ["american", "mexican", "chinese", "indian", "african", "european", "arab"],
+    ["mann", "frau"], ["junge", "mädchen"], ["christ", "muslim", "jude", "hindu", "buddhist", "atheist"],
+    ["christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"], ["deutsche", "türken", "araber", "polen", "russen", "afrikaner"],
+    ["homme", "femme"], ["garçon", "fille"], ["chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"],
+    ["chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"], ["français", "arabe", "chinois", "africain", "allemand"],
+    ["hombre", "mujer"], ["niño", "niña"], ["cristiano", "musulmán", "judío", "hindú", "budista", "ateo"],
+    ["cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"], ["español", "mexicano", "árabe", "chino", "africano", "gitano"],
 ]
