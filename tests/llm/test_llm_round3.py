@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from vigilake.llm import conversation_trie as ct
 from vigilake.llm import fill_in_middle as fim
 from vigilake.llm import prefix_tokens as pt
-from vigilake.llm import secrets
+from vigilake.llm import secrets, sharding
 from vigilake.llm import toxicity as tox
 from vigilake.llm.fixed_values import IDENTITY_GROUPS
 from vigilake.llm.parentheses import Parentheses
@@ -396,3 +396,16 @@ def test_swapped_sentences():
     assert got == [
         ("ein mann, ein haus", "ein frau, ein haus"), ("the blind man", "the deaf man"), ("the blind man", "the disabled man"),
         ("the blind man", "the blind woman")]
+
+
+def test_a_shard_is_written_by_several_tasks(spark, docs, prose, tmp_path):
+    texts = [(i, prose(5 + i % 7, i)) for i in range(640)] + [(None, "no id"), (None, None)]
+    sharding.write_shards(docs(texts), f"{tmp_path}/shards", shards=4)
+    rows = spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "shard", "slot", F.input_file_name().alias("file")).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(i for i, _ in texts)
+    for shard in range(4):
+        own = [r for r in rows if r["shard"] == shard]
+        assert sorted(r["slot"] for r in own) == list(range(len(own))) and len({r["file"] for r in own}) > 1
+        # files hold ranges of slots that do not overlap
+        ends = sorted((min(x), max(x)) for x in ([r["slot"] for r in own if r["file"] == f] for f in {r["file"] for r in own}))
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))

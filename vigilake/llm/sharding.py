@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import keep, ranked, text_of
+from vigilake.llm.common import keep, partitions, ranked, text_of
 from vigilake.model import broadcast_if_small
 
 BITS = 6
@@ -115,6 +115,11 @@ def hilbert_shards(
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Documents as Parquet, one folder per shard, rows in curve order."""
+    """Documents as Parquet, one folder per shard, its files and their rows in curve order.
+
+    Tasks take ranges of (shard, slot), as many as there are shuffle partitions and several for a shard, so no task holds a
+    whole shard.  A null doc_id is written as null.
+    """
     placed = hilbert_shards(docs, carry=tuple(c for c in docs.columns if c != options.get("id_col", "doc_id")), **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    ranges = max(partitions(docs.sparkSession), 4 * options.get("shards", SHARDS))
+    placed.repartitionByRange(ranges, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
