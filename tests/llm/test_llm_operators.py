@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,26 @@ def test_spans_of_several_blocks_are_cut_at_once(spark, docs):
         assert clean == {0: "", 1: "x  y", 2: " ".join(w[15:20]) + "  a b c d e", 3: None}, size
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_one_lookup_in_a_job_whatever_the_number_of_blocks(spark, docs, contaminated, block_bytes):
+    texts, bench = contaminated
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    for f, most in ((decontamination.remove_documents, 1), (decontamination.remove_spans, 2)):
+        plan = f(docs(texts), items, block_bytes=block_bytes)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= most, f
+
+
+def test_windows_of_equal_fingerprint(monkeypatch):
+    """Where all fingerprints are equal the words still decide, and a window repeated in an item is kept once."""
+    from vigilake.llm import textarrays as ta
+
+    monkeypatch.setattr(ta, "window_hashes", lambda h, n: np.zeros(max(len(h) - n + 1, 0), np.uint64))
+    windows = decontamination.Windows([("x", b"a b c a b c"), ("y", b"A B c"), ("z", b"d")], 3)
+    assert windows.items == {b"a b c": {"x", "y"}, b"b c a": {"x"}, b"c a b": {"x"}, b"d": {"z"}}
+    (n, spans, items, _), = decontamination.scan_text(pa.array(["b a b c, d e"]), windows)
+    assert (n, spans, items) == (6, [(1, 5)], {"x", "y", "z"})
+
+
 def test_blocks_are_bounded_for_one_item(spark, prose):
     """One id with one huge item and many rows: no block exceeds the bound, no window is lost."""
     rows = [(1, prose(9000, 5)), *[(1, prose(30, i)) for i in range(40)], (2, "only three words"), (3, " - ")]
@@ -223,6 +244,22 @@ def test_one_of_repeated_rows_stays(docs):
     assert sum(r["kept"] for r in got) == 1 and {r["keep_id"] for r in got} == {1} and {r["group_size"] for r in got} == {4}
 
 
+def test_deduplicate_keeps_one_row_of_a_group(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (1, "a b", "x"), (None, "a b", "z"), (2, "c", "x"), (2, "c", "y"), (3, None, "x"), (4, "", "y"),
+            (None, "d", "x"), (None, "d", "y"), (5, "e", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string")
+    got = exact_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    out = [tuple(r) for r in got.collect()]
+    assert set(out) <= set(rows) and Counter((r[0], "".join((r[1] or "").split())) for r in out) == {
+        (1, "ab"): 1, (2, "c"): 1, (3, ""): 1, (None, "d"): 1, (5, "e"): 1}
+
+
+def test_copies_meet_their_counts_in_a_join_that_can_be_split(spark, docs):
+    plan = exact_dedup.exact_duplicates(docs([(i, f"t{i % 7}") for i in range(50)]), counters=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_misra_gries_finds_every_frequent_digest(spark):
     rng = random.Random(2)
     values = [b"a"] * 300 + [b"b"] * 200 + [str(rng.randrange(400)).encode() for _ in range(500)]

@@ -4,7 +4,8 @@ The fingerprints of all windows (``n`` consecutive words of an item; a shorter i
 broadcast; a bitmap over fingerprint bits passes few positions of a text, the sorted fingerprints fewer, and
 the words themselves decide.  Texts are not shuffled.  The broadcast is bounded: a benchmark of more than
 ``BLOCK_WINDOWS`` windows or ``BLOCK_BYTES`` of text is cut into blocks, items of any size into pieces that overlap by
-n - 1 words; each block is one pass over the documents, and the hits of the passes are merged per row.  Spans are cut after the last pass, so no cut hides or makes a hit.
+n - 1 words; each block is one pass over the documents whose hits are stored, and the hits of the passes are merged.  Spans are cut
+after the last pass, so no cut hides or makes a hit.
 
 Defined cases: null or empty text has no words and no hits; an item without words has no windows; items
 that share an id are one item; an item with null id is left out; an empty table or benchmark gives no hits;
@@ -15,63 +16,103 @@ removal functions.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from vigilake.llm import textarrays as ta
-from vigilake.llm.common import fresh
+from vigilake.llm.common import bitmap, fresh, in_bitmap, keep
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
-#: windows of a block, each a key and a set of ids in a dict on the driver and in every Python worker
-BLOCK_WINDOWS = 1 << 19
+#: windows of a block, each about 35 bytes with its words, in the driver and in every Python worker
+BLOCK_WINDOWS = 1 << 20
 PIECE_WINDOWS = 1 << 12
 BITMAP_BITS = 22
 SPAN = ("lo", "hi", "first", "last")
+SPANS = f"array<struct<{', '.join(f'{c}: bigint' for c in SPAN)}>>"
 
 
 class Windows:
-    """Windows of one block of items: word strings to item ids, and fingerprints by length."""
+    """Windows of one block of items as sorted fingerprints, with the place of each window in the block's words."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.items: dict[bytes, set[str]] = {}
-        lengths: dict[int, set[bytes]] = {}
-        for item_id, text in items:
-            low = ta.LOWER[np.frombuffer(text, np.uint8)]
-            raw = low.tobytes()
-            start, end, _ = ta.words(low, np.array([0, len(low)]), ta.LETTERS)
-            found = [raw[s:e] for s, e in zip(start, end)]
-            size = min(n, len(found))
-            for i in range(len(found) - size + 1 if size else 0):
-                key = b" ".join(found[i:i + size])
-                self.items.setdefault(key, set()).add(item_id)
-                lengths.setdefault(size, set()).add(key)
-        self.prints = {}
-        for size, keys in lengths.items():
-            joined = np.frombuffer(b" ".join(sorted(keys)), np.uint8)
-            start, end, _ = ta.words(joined, np.array([0, len(joined)]), ta.LETTERS)
-            hashes = ta.window_hashes(ta.word_hashes(joined, start, end), size)[::size]
+        self.ids = sorted({item_id for item_id, _ in items})
+        number = {item_id: i for i, item_id in enumerate(self.ids)}
+        owner = np.array([number[item_id] for item_id, _ in items], np.int32)
+        low = ta.LOWER[np.frombuffer(b"\0".join([*[text for _, text in items], b""]), np.uint8)]
+        ends = np.cumsum([len(text) + 1 for _, text in items], dtype=np.int64)
+        _, last, row = ta.words(low, np.append(0, ends), ta.LETTERS)
+        # the words in lower case, one space after each: a window is a slice
+        inside = ta.LETTERS[low]
+        low = np.where(inside, low, np.uint8(32))
+        inside[last] = True
+        low = low[inside]
+        self.joined = low.tobytes()
+        start, end, _ = ta.words(low, np.array([0, len(low)]), ta.LETTERS)
+        self.start, self.end = start.astype(np.int32), end.astype(np.int32)
+        hashes = ta.word_hashes(low, start, end)
+        count = np.bincount(row, minlength=len(items))
+        base = np.cumsum(count) - count
+        self.prints: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(count[count > 0], n)).tolist():
+            if size == n:
+                at = np.flatnonzero(row[:len(row) - n + 1] == row[n - 1:])
+            else:
+                at = base[count == size]
+            prints = ta.window_hashes(hashes, size)[at]
+            item = owner[row[at]]
+            order = np.lexsort((item, prints))
+            at, prints, item = at[order].astype(np.int32), prints[order], item[order]
+            again = 1 + np.flatnonzero((prints[1:] == prints[:-1]) & (item[1:] == item[:-1]))
+            again = again[[self.words(at[i], size) == self.words(at[i - 1], size) for i in again.tolist()]] if len(again) else again
+            at, prints, item = (np.delete(x, again) for x in (at, prints, item))
             bitmap = np.zeros(1 << BITMAP_BITS, bool)
-            bitmap[hashes >> np.uint64(64 - BITMAP_BITS)] = True
-            self.prints[size] = (np.unique(hashes), bitmap)
+            bitmap[prints >> np.uint64(64 - BITMAP_BITS)] = True
+            self.prints[size] = (prints, bitmap, at, item)
+
+    def words(self, at: int, size: int) -> bytes:
+        return self.joined[self.start[at]:self.end[at + size - 1]]
+
+    @property
+    def items(self) -> dict[bytes, set[str]]:
+        """Item ids by the words of a window."""
+        found: dict[bytes, set[str]] = {}
+        for size, (prints, *_) in self.prints.items():
+            found |= self._items(0, len(prints), size)
+        return found
+
+    def _items(self, lo: int, hi: int, size: int) -> dict[bytes, set[str]]:
+        """Items by words, of the windows that share a fingerprint."""
+        _, _, at, item = self.prints[size]
+        found: dict[bytes, set[str]] = {}
+        for i in range(lo, hi):
+            found.setdefault(self.words(at[i], size), set()).add(self.ids[item[i]])
+        return found
 
     def hits(self, raw: bytes, start: np.ndarray, end: np.ndarray, row: np.ndarray, hashes: np.ndarray):
         """(word index, words, item ids) of every verified window."""
-        for size, (prints, bitmap) in self.prints.items():
+        for size, (prints, bitmap, *_) in self.prints.items():
             seen = ta.window_hashes(hashes, size)
             if not len(seen):
                 continue
             at = np.flatnonzero(bitmap[seen >> np.uint64(64 - BITMAP_BITS)])
             at = at[row[at] == row[at + size - 1]]
-            at = at[prints[np.minimum(np.searchsorted(prints, seen[at]), len(prints) - 1)] == seen[at]]
-            for i in at.tolist():
+            lo = np.searchsorted(prints, seen[at])
+            same = prints[np.minimum(lo, len(prints) - 1)] == seen[at]
+            at, lo = at[same], lo[same]
+            hi = np.searchsorted(prints, seen[at], "right")
+            known: dict[int, dict[bytes, set[str]]] = {}
+            for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
+                if a not in known:
+                    known[a] = self._items(a, b, size)
                 key = b" ".join([raw[s:e] for s, e in zip(start[i:i + size].tolist(), end[i:i + size].tolist())])
-                ids = self.items.get(key)
+                ids = known[a].get(key)
                 if ids:
                     yield i, size, ids
 
@@ -141,6 +182,21 @@ def blocks(
         yield Windows(block, n)
 
 
+def _each_block(found: Iterator[Windows], one: Callable, stored: Callable[[Windows], DataFrame]):
+    """``one`` of a single block, or a list with the rows of ``stored`` for each of several.
+
+    Each of several blocks is a job whose rows are stored, so that a worker holds one block at a time and the driver two.
+    """
+    block, following = next(found), next(found, None)
+    if following is None:
+        return one(block)
+    out = []
+    while block is not None:
+        out.append(keep(stored(block)))
+        block, following = following, next(found, None)
+    return out
+
+
 def _scan_block(docs: DataFrame, windows: Windows) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
@@ -166,9 +222,10 @@ def contamination(
 ) -> DataFrame:
     """One row per document: doc_id, n_words, spans of hit words [lo, hi), sorted item ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    passes = [_scan_block(rows, w) for w in blocks(benchmark, item_col, item_text_col, n, block_bytes)]
-    if len(passes) == 1:
-        return passes[0].drop("text_hash")
+    scan = lambda w: _scan_block(rows, w)
+    passes = _each_block(blocks(benchmark, item_col, item_text_col, n, block_bytes), scan, scan)
+    if isinstance(passes, DataFrame):
+        return passes.drop("text_hash")
     # every pass has each row once; repeated rows stay repeated by their number of rows in one pass
     together = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "text_hash").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_set("spans")).alias("s"),
@@ -200,6 +257,27 @@ def _without_hits(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame
     return docs.mapInArrow(run, docs.schema)
 
 
+def _text_key(text_col: str) -> Column:
+    return F.sha2(F.col(f"`{text_col}`"), 256)
+
+
+def _hit_texts(docs: DataFrame, windows: Windows, text_col: str) -> DataFrame:
+    """(hit_key, spans): the hits of a block in the texts that have some, known by the SHA-256 of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[dict(zip(SPAN, (*w, *p))) for w, p in zip(words, places)]
+                     for _, words, _, places in scan_text(batch.column(0), shared.value)]
+            some = [i for i, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1).take(pa.array(some, pa.int64())), pa.array([found[i] for i in some], spans)], ["hit_key", "spans"])
+
+    spans = pa.list_(pa.struct([(c, pa.int64()) for c in SPAN]))
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), _text_key(text_col).alias("hit_key"))
+    return rows.mapInArrow(run, f"hit_key string, spans {SPANS}").groupBy("hit_key").agg(F.any_value("spans").alias("spans"))
+
+
 def merged(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     """Spans (lo, hi, first byte, last byte) with those joined that overlap or touch in words."""
     out: list[tuple[int, ...]] = []
@@ -212,19 +290,18 @@ def merged(spans: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
     return out
 
 
-def _with_spans(rows: DataFrame, windows: Windows, at: int) -> DataFrame:
-    """Adds the hits of a block to the spans in the last column; the text stays as it is."""
-    shared = rows.sparkSession.sparkContext.broadcast(windows)
+def _with_spans(docs: DataFrame, windows: Windows, at: int, name: str) -> DataFrame:
+    """Adds a last column with the spans of a block."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = []
-            for known, (_, found, _, places) in zip(batch.column(batch.num_columns - 1), scan_text(batch.column(at), shared.value)):
-                now = [tuple(x.values()) for x in known.as_py()] + [(*f, *p) for f, p in zip(found, places)]
-                spans.append([dict(zip(SPAN, x)) for x in merged(now)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(spans, batch.schema.types[-1])], schema=batch.schema)
+            found = [[dict(zip(SPAN, (*w, *p))) for w, p in zip(words, places)]
+                     for _, words, _, places in scan_text(batch.column(at), shared.value)]
+            spans = pa.array(found, pa.list_(pa.struct([(c, pa.int64()) for c in SPAN])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, rows.schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(StructType([StructField(c, LongType()) for c in SPAN])))]))
 
 
 def _cut(rows: DataFrame, docs: DataFrame, at: int) -> DataFrame:
@@ -235,9 +312,9 @@ def _cut(rows: DataFrame, docs: DataFrame, at: int) -> DataFrame:
             texts, clean = batch.column(at), []
             for text, spans in zip(texts, batch.column(batch.num_columns - 1).to_pylist()):
                 raw, last, parts = (text.as_py() or "").encode(), 0, []
-                for x in spans:
-                    parts.append(raw[last:x["first"]])
-                    last = x["last"]
+                for *_, first, after in merged([tuple(x.values()) for x in spans]):
+                    parts.append(raw[last:first])
+                    last = after
                 clean.append(b"".join([*parts, raw[last:]]).decode() if spans else text.as_py())
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(clean, texts.type)
@@ -246,14 +323,28 @@ def _cut(rows: DataFrame, docs: DataFrame, at: int) -> DataFrame:
     return rows.mapInArrow(run, docs.schema)
 
 
+def _maybe(docs: DataFrame, hits: DataFrame, text_col: str) -> Column:
+    """False for texts that are surely not among the hits (first column: their key); never null."""
+    keys = hits.select(F.xxhash64(hits.columns[0]).alias("k"))
+    return in_bitmap(bitmap(keys, "k"), F.xxhash64(_text_key(text_col))) & F.col(f"`{text_col}`").isNotNull()
+
+
 def remove_documents(
     docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The documents without a hit, all columns kept."""
-    for w in blocks(benchmark, item_col, item_text_col, n, block_bytes):
-        docs = _without_hits(docs, w, text_col)
-    return docs
+    """The documents without a hit, all columns kept.
+
+    With one block, one pass that moves nothing.  With more, the texts that have hits are stored per block, and documents move
+    only where a bitmap of those texts cannot tell that they stay.
+    """
+    found = _each_block(
+        blocks(benchmark, item_col, item_text_col, n, block_bytes), lambda w: w, lambda w: _hit_texts(docs, w, text_col))
+    if isinstance(found, Windows):
+        return _without_hits(docs, found, text_col)
+    gone = reduce(DataFrame.unionByName, found).select(F.col("hit_key").alias(fresh(docs, "hit_key"))).distinct()
+    key, maybe = gone.columns[0], _maybe(docs, gone, text_col)
+    return docs.filter(~maybe).unionByName(docs.filter(maybe).join(gone, _text_key(text_col) == F.col(key), "left_anti"))
 
 
 def remove_spans(
@@ -261,8 +352,13 @@ def remove_spans(
     item_text_col: str = "text", block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All documents, hit words and what stands between them cut out, once all blocks are looked up."""
-    at = docs.columns.index(text_col)
-    rows = docs.withColumn(fresh(docs, "spans"), F.array().cast(f"array<struct<{', '.join(f'{c}: bigint' for c in SPAN)}>>"))
-    for w in blocks(benchmark, item_col, item_text_col, n, block_bytes):
-        rows = _with_spans(rows, w, at)
-    return _cut(rows, docs, at)
+    at, name = docs.columns.index(text_col), fresh(docs, "spans")
+    found = _each_block(
+        blocks(benchmark, item_col, item_text_col, n, block_bytes), lambda w: w, lambda w: _hit_texts(docs, w, text_col))
+    if isinstance(found, Windows):
+        return _cut(_with_spans(docs, found, at, name), docs, at)
+    key = fresh(docs, "hit_key")
+    hits = keep(reduce(DataFrame.unionByName, found).groupBy(F.col("hit_key").alias(key)).agg(F.flatten(F.collect_list("spans")).alias(name)))
+    maybe = _maybe(docs, hits, text_col)
+    met = docs.filter(maybe).join(hits, _text_key(text_col) == F.col(key), "left").drop(key).withColumn(name, F.coalesce(name, F.array()))
+    return docs.filter(~maybe).unionByName(_cut(met, docs, at))
