@@ -3,16 +3,16 @@
 A document is the set of its word shingles.  Documents with equal sets are one class; only classes are joined.
 
 Orders.  A global order puts rare shingles first; how rare one is comes from a table of counts over all documents
-(``SKETCH_BITS`` bits of the shingle's hash, so its size does not depend on the data), ties go by hash.  Two such
-orders with different tables and hashes, and ``STARS`` purely random ones, are used.
+(``SKETCH_BITS`` bits of the shingle's hash, so its size does not depend on the data), ties go by hash.  ``ORDERS`` such
+orders, of two tables, exact or rounded counts and different hashes, and ``STARS`` purely random ones, are used.
 
 1. The first shingle of a class in each random order puts it into ``STARS`` groups; it is compared with the
    most central class of each group, the one whose shingles are the most frequent.  Verified links give
    components, in which nearly all copies of a text meet without comparing them pair by pair.
 2. Two sets of the wanted similarity share a shingle among the first n - ceil(t n) + 1 of either set in every
-   order.  Classes of *different* components that share a prefix shingle in the first rarity order are
-   candidates; those that share none in the second are dropped; the rest are verified.  So no link between
-   components is lost, and the pairs inside a component are never listed.
+   order.  Classes of *different* components are candidates if they share a prefix shingle in every rarity order:
+   the first order makes the pairs, the others drop those that share none; the rest are verified.  So no link
+   between components is lost, and the pairs inside a component are never listed.
 
 A shingle whose classes are all in one component yields nothing, whatever their number.  Of the others, the
 classes outside the shingle's largest component are paired with all whose parities allow the similarity: two sets
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,7 @@ from vigilake.llm.common import bitmap, fresh, in_bitmap, keep, store
 from vigilake.llm.components import components
 
 STARS = 4
+ORDERS = 4
 SKETCH_BITS = 16
 SKETCH_PARTS = 64
 #: parities of a set: how often its shingles fall on each of so many places, modulo 2
@@ -48,7 +49,9 @@ SIGN_BITS = 512
 EARLIER = 6
 #: members that one copy of a star's centre is compared with
 PER_CENTRE = 512
-_SALTS = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377)]
+_SALTS = [np.uint64(x) for x in (
+    0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89, 0x452821E638D01377,
+    0xBE5466CF34E90C6C, 0xC0AC29B7C97C50DD)]
 
 
 def _other(s: np.ndarray) -> np.ndarray:
@@ -56,6 +59,17 @@ def _other(s: np.ndarray) -> np.ndarray:
     return ta.mix(s ^ _SALTS[4])
 
 
+def _other_prefixes(s: np.ndarray, counts: np.ndarray, size: int) -> list[np.ndarray]:
+    """31 bits of the first shingles in the rarity orders after the first.
+
+    The second has a table and a hash of its own; the others round the counts of either table to powers of two.
+    """
+    t = _other(s)
+    ranks = [counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], counts[1][(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
+    orders = [(t, ranks[1])] + [(ta.mix(s ^ _SALTS[5 + j]), np.frexp(ranks[j])[1]) for j in range(ORDERS - 2)]
+    return [(h[np.lexsort((h, rank))[:size]] & np.uint64(0x7FFFFFFF)).astype(np.int32) for h, rank in orders]
+
+
 def _node(s: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     return np.array([s.sum(dtype=np.uint64), ta.mix(s ^ _SALTS[0]).sum(dtype=np.uint64)], np.uint64).tobytes()
@@ -130,8 +144,8 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(node, first, last, second, central, sign): prefix shingles in the two rarity orders, the rank of the last of
-    the first, how frequent the shingles are, and the set's parities.
+    """(node, first, last, others, central, sign): prefix shingles in the first rarity order and in the others, the rank of
+    the last of the first, how frequent the shingles are, and the set's parities.
 
     A set is sent once per task.
     """
@@ -140,14 +154,13 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for batch in batches:
-            nodes, first, last, second, central, sign = [], [], [], [], [], []
+            nodes, first, last, others, central, sign = [], [], [], [], [], []
             for _, _, data, offsets in ta.slices(batch.column(0)):
                 for s in ta.shingle_sets(data, offsets, k):
                     if not len(s) or (node := _node(s)) in seen:
                         continue
                     seen.add(node)
                     size = prefix_length(len(s), percent)
-                    t = _other(s)
                     nodes.append(node)
                     sign.append(_sign(s))
                     rank = counts[0][(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -155,14 +168,13 @@ def _prefixes(rows: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
                     order = np.lexsort((s, rank))[:size]
                     first.append(s[order].view(np.int64))
                     last.append(int(rank[order[-1]]).to_bytes(4, "big") + int(s[order[-1]]).to_bytes(8, "big"))
-                    order = np.lexsort((t, counts[1][(t >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
-                    second.append((t[order] & np.uint64(0x7FFFFFFF)).astype(np.int32))
+                    others.append(_other_prefixes(s, counts, size))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(last, pa.binary()),
-                 pa.array(second, pa.list_(pa.int32())), pa.array(central, pa.float64()), pa.array(sign, pa.list_(pa.int64()))],
-                ["node", "first", "last", "second", "central", "sign"])
+                 pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(central, pa.float64()), pa.array(sign, pa.list_(pa.int64()))],
+                ["node", "first", "last", "others", "central", "sign"])
 
-    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, second array<int>, central double, sign array<long>")
+    return rows.select("text").mapInArrow(run, "node binary, first array<long>, last binary, others array<array<int>>, central double, sign array<long>")
 
 
 def _sets(rows: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -236,7 +248,7 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that pass the filters of both rarity orders.
+    """Pairs of classes of different components that pass the filters of all rarity orders.
 
     A pair is made at its first common shingle in the first order: what comes before it in either set is not in the
     other, which bounds the overlap by the two positions.  Of two prefixes, the one whose last shingle comes first
@@ -261,15 +273,18 @@ def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
         (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), percent)
         & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need)
         & (odd <= F.col("x_n") + F.col("n") - 2 * need) & ~F.arrays_overlap("x_prev", "prev"))
-    pairs = met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
-    facts = prefixes.select("cid", "n", "first", "last", "second")
+    pairs = keep(met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct())
+    # prefixes move only for classes that have a partner
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.xxhash64("cid").alias("k"))
+    facts = prefixes.select("cid", "n", "first", "last", "others").filter(in_bitmap(bitmap(ends, "k"), F.xxhash64("cid")))
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in facts.columns]), side)
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / F.lit(100 + percent))
     shared = F.size(F.array_intersect("a_first", "b_first"))
     missing = [F.size(f"{s}_first") - shared <= F.col(f"{s}_n") - overlap for s in ("a", "b")]
     bound = F.when(F.col("a_last") <= F.col("b_last"), missing[0]).otherwise(missing[1])
-    return pairs.filter(bound & F.arrays_overlap("a_second", "b_second")).select("a", "b")
+    every = [F.arrays_overlap(F.col("a_others")[j], F.col("b_others")[j]) for j in range(ORDERS - 1)]
+    return pairs.filter(reduce(and_, every, bound)).select("a", "b")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +298,7 @@ def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         *[F.first(c).alias(c) for c in ("n", "stars")], F.min("text_hash").alias("text_hash")).withColumn(
         "cid", F.monotonically_increasing_id()))
     prefixes = keep(_prefixes(rows, k, percent, _sketch(profile)).groupBy("node").agg(
-        *[F.first(c).alias(c) for c in ("first", "last", "second", "central", "sign")]).join(
+        *[F.first(c).alias(c) for c in ("first", "last", "others", "central", "sign")]).join(
         classes.select("cid", "node", "n", "stars"), "node").drop("node"))
     links = keep(_verified(rows, classes, _star_pairs(prefixes, percent), k, percent))
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
