@@ -247,6 +247,16 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("c.cid").alias("a"), F.col("cid").alias("b")).distinct()
 
 
+def _with_prefixes(pairs: DataFrame, prefixes: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b), stored, with columns of both classes; these move only for classes that have a partner."""
+    pairs = keep(pairs)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.xxhash64("cid").alias("k"))
+    facts = prefixes.select("cid", *columns).filter(in_bitmap(bitmap(ends, "k"), F.xxhash64("cid")))
+    for side in ("a", "b"):
+        pairs = pairs.join(facts.select(F.col("cid").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    return pairs
+
+
 def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that pass the filters of all rarity orders.
 
@@ -273,18 +283,15 @@ def _prefix_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
         (F.col("x_comp") != F.col("comp")) & _alike(F.col("x_n"), F.col("n"), percent)
         & (F.col("x_pos") <= F.col("x_n") - need) & (F.col("pos") <= F.col("n") - need)
         & (odd <= F.col("x_n") + F.col("n") - 2 * need) & ~F.arrays_overlap("x_prev", "prev"))
-    pairs = keep(met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct())
-    # prefixes move only for classes that have a partner
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid")).select(F.xxhash64("cid").alias("k"))
-    facts = prefixes.select("cid", "n", "first", "last", "others").filter(in_bitmap(bitmap(ends, "k"), F.xxhash64("cid")))
-    for side in ("a", "b"):
-        pairs = pairs.join(facts.select(*[F.col(c).alias(side if c == "cid" else f"{side}_{c}") for c in facts.columns]), side)
+    pairs = _with_prefixes(met.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct(), prefixes, ["n", "first", "last"])
     overlap = F.ceil((F.col("a_n") + F.col("b_n")) * percent / F.lit(100 + percent))
     shared = F.size(F.array_intersect("a_first", "b_first"))
     missing = [F.size(f"{s}_first") - shared <= F.col(f"{s}_n") - overlap for s in ("a", "b")]
     bound = F.when(F.col("a_last") <= F.col("b_last"), missing[0]).otherwise(missing[1])
+    # the other orders travel for the pairs that are left
+    pairs = _with_prefixes(pairs.filter(bound).select("a", "b"), prefixes, ["others"])
     every = [F.arrays_overlap(F.col("a_others")[j], F.col("b_others")[j]) for j in range(ORDERS - 1)]
-    return pairs.filter(reduce(and_, every, bound)).select("a", "b")
+    return pairs.filter(reduce(and_, every)).select("a", "b")
 
 
 def _classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
