@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vigilake.operators import baseline as bl
 from vigilake.operators.results import at_least
 from vigilake.plans import corpora
-from vigilake.session import shared_folder
+from vigilake.session import materialize, shared_folder
 from vigilake.streaming import live
 from vigilake.streaming.watch import END, change_detect, debounce, scan_changes, scan_released, top_findings, unknown_to, watchable
 
@@ -136,10 +136,16 @@ def replay_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = corpora.change_events(corpora.table(spark, sf_dir, "events")).agg(F.min("mtime"), F.max("mtime")).first()
     delay = f"{int((last - first).total_seconds()) + 1 if first else 1} seconds"
     ignores = spark.createDataFrame([("live", "*/file_7*.js"), ("other", "*")], "repo string, glob string")
+
+    def findings(released: DataFrame) -> DataFrame:
+        # the passes of a scan read what the throttle released, not the stateful operator each for itself
+        stored = materialize(released)
+        return top_findings(scan_changes(corpora.spread(stored, "events", stored.rdd.getNumPartitions()), ignores=ignores))
+
     before = spark.conf.get(live.STATE_STORE)
     spark.conf.set(live.STATE_STORE, live.ROCKS)
     try:
-        out = replay_to_end(changes, spark, lambda c: scan_changes(live.released_changes(c, delay), ignores=ignores), top_findings)
+        out = replay_to_end(changes, spark, lambda c: live.released_changes(c, delay), findings)
     finally:
         spark.conf.set(live.STATE_STORE, before)
     return spark.read.parquet(out).select("repo", "path", "event_id", "pos", "more", "check_name", "line")
