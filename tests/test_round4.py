@@ -1,9 +1,11 @@
 import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from test_round3 import At, FakeState
 from test_streaming import poll_by_poll
+from vigilake.sources import tree
 from vigilake.streaming import live, watch
 
 
@@ -59,3 +61,30 @@ def test_the_live_watcher_puts_back_what_is_not_due():
     scans = [s for mark in range(0, 40_000, 700) for s in drained(state, throttle, mark)]
     assert scans == poll_by_poll({p: p + 10 for p in polls}, polls[-1])
     assert not state.map and state.value is None and not state.timers
+
+
+def test_a_directory_passes_through_in_batches(tmp_path):
+    names = [f"f{i}" for i in range(25_000)]
+    for name in names:
+        (tmp_path / name).touch()
+    batches = list(tree._listed(iter([pd.DataFrame({"root": [str(tmp_path)], "path": [""]})])))
+    assert max(map(len, batches)) <= 10_000 and sorted(p for b in batches for p in b["path"]) == sorted(names)
+
+
+def test_directories_of_a_level_are_listed_by_several_tasks(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.py").write_text("x")
+    listing = tree.tree_listing(spark, str(tmp_path))
+    assert listing.count() == 12 and len(listing.inputFiles()) > 3
+
+
+def test_a_written_tree_comes_back_whole(spark, files, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "BYTES_PER_BATCH", 100)
+    contents = {f"a/{i}.py": "é漢😀" * (i % 40) for i in range(300)} | {"empty.js": "", "null.js": None, "b/c/long.ts": "x" * 10_000}
+    assert tree.write_tree(files(contents), str(tmp_path)) == len(contents)
+    back = tree.read_tree(spark, str(tmp_path), "r").select("path", F.col("content")).collect()
+    assert {r.path: r.content for r in back} == contents | {"null.js": ""} and len(back) == len(contents)
+    batch = tree.pa.RecordBatch.from_pylist([{"root": str(tmp_path), "path": p, "kind": "file"} for p in sorted(contents)])
+    sizes = [(b.num_rows, sum(map(len, b.column("raw").to_pylist()))) for b in tree._read(iter([batch]))]
+    assert sum(n for n, _ in sizes) == len(contents) and all(n == 1 or size <= 100 for n, size in sizes)

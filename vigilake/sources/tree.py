@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +29,10 @@ from vigilake.session import materialize
 
 BYTES_PER_TASK = 64 << 20
 FILES_PER_TASK = 10_000
+#: what a task holds at once and hands on: entries of directories, bytes of files (one file at least)
+ENTRIES_PER_BATCH = 10_000
+BYTES_PER_BATCH = 4 << 20
+DIRECTORIES_PER_TASK = 1_000
 
 
 class FileBatch(InputPartition):
@@ -96,24 +102,30 @@ class SourceTree(DataSource):
         return SourceTreeReader(self.options)
 
 
-def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One level below each directory: directories to go on with, files, and ``.git`` as an empty file."""
-    for batch in batches:
-        rows = []
-        for root, here in zip(batch["root"], batch["path"]):
-            full = os.path.join(root, here) if here else root
-            try:
-                entries = sorted(os.scandir(full), key=lambda e: e.name)
-            except OSError:
-                rows.append((root, here, "unreadable", 0))
-                continue
-            for e in entries:
+def _entries(root: str, here: str) -> Iterator[tuple]:
+    """One level below a directory: directories to go on with, files, and ``.git`` as an empty file."""
+    try:
+        with os.scandir(os.path.join(root, here) if here else root) as found:
+            for e in found:
                 name = f"{here}/{e.name}" if here else e.name
                 if e.is_dir(follow_symlinks=False):
-                    rows.append((root, name, "git" if e.name == ".git" else "dir", 0))
+                    yield root, name, "git" if e.name == ".git" else "dir", 0
                 elif e.is_file():
-                    rows.append((root, name, "file", e.stat().st_size))
-        yield pd.DataFrame(rows, columns=["root", "path", "kind", "size"])
+                    try:
+                        size = e.stat().st_size
+                    except OSError:  # gone meanwhile: it is read as a file without content
+                        size = 0
+                    yield root, name, "file", size
+    except OSError:
+        yield root, here, "unreadable", 0
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of directories, a bounded number at a time: a directory of any size passes through."""
+    for batch in batches:
+        entries = (e for root, here in zip(batch["root"], batch["path"]) for e in _entries(root, here))
+        while rows := list(islice(entries, ENTRIES_PER_BATCH)):
+            yield pd.DataFrame(rows, columns=["root", "path", "kind", "size"])
 
 
 LISTING = "root string, path string, kind string, size long"
@@ -124,19 +136,28 @@ def tree_listing(spark: SparkSession, root: str) -> DataFrame:
 
     A round per level: the directories of a level are listed by tasks, and only their number comes to the driver.
     """
-    level = spark.createDataFrame([(root, "")], "root string, path string")
+    level, n = spark.createDataFrame([(root, "")], "root string, path string"), 1
+    cores = spark.sparkContext.defaultParallelism
     out = None
     while True:
-        found = materialize(level.repartition("path").mapInPandas(_listed, LISTING))
+        # a number of tasks of our own: the few bytes of the names would else be put together into one task
+        tasks = max(min(n, 2 * cores), n // DIRECTORIES_PER_TASK)
+        found = materialize(level.repartition(tasks, "path").mapInPandas(_listed, LISTING))
         out = found if out is None else out.unionByName(found)
         level = found.filter("kind = 'dir'").select("root", "path")
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             return out.filter("kind <> 'dir'")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files of a listing, some small ones or one large one at a time."""
+    def batch_of(paths: list, raws: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(raws, pa.binary())], ["path", "raw"])
+
     for batch in batches:
-        for root, path, kind in zip(batch["root"], batch["path"], batch["kind"]):
+        paths, raws, size = [], [], 0
+        for root, path, kind in zip(*(batch.column(c).to_pylist() for c in ("root", "path", "kind"))):
             raw = b"" if kind == "git" else None
             if kind == "file":
                 try:
@@ -144,7 +165,14 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         raw = f.read()
                 except OSError:  # a row without content; ``files.not_scanned`` lists it
                     raw = None
-            yield pd.DataFrame({"path": [path], "raw": pd.Series([raw], dtype=object)})
+            if paths and size + len(raw or b"") > BYTES_PER_BATCH:
+                yield batch_of(paths, raws)
+                paths, raws, size = [], [], 0
+            paths.append(path)
+            raws.append(raw)
+            size += len(raw or b"")
+        if paths:
+            yield batch_of(paths, raws)
 
 
 def read_tree(spark: SparkSession, path: str, repo: str | None = None) -> DataFrame:
@@ -158,7 +186,7 @@ def read_tree(spark: SparkSession, path: str, repo: str | None = None) -> DataFr
     listing = tree_listing(spark, path)
     size = listing.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(size[0] // BYTES_PER_TASK, size[1] // FILES_PER_TASK, 1)
-    raw = listing.repartition(int(tasks), "path").mapInPandas(_read, "path string, raw binary")
+    raw = listing.repartition(int(tasks), "path").mapInArrow(_read, "path string, raw binary")
     return decode(raw.select(F.lit(repo or os.path.basename(os.path.abspath(path))).alias("repo"), "path", "raw"))
 
 
@@ -166,13 +194,13 @@ def write_tree(files: DataFrame, root: str) -> int:
     """Files (path, content) as a tree below a folder that all executors share; returns their number."""
     root = root.removeprefix("file:")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                full = os.path.join(root, name)
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                full = os.path.join(root, name.as_py())
                 os.makedirs(os.path.dirname(full), exist_ok=True)
                 with open(full, "wb") as f:
-                    f.write((content or "").encode())
-            yield pd.DataFrame({"n": [len(batch)]})
+                    f.write(content.as_buffer() or b"")  # the bytes of the batch, not copied into a string
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    return files.select("path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return files.select("path", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
