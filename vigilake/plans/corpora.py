@@ -222,18 +222,31 @@ MANIFESTS: list[list[tuple[str, str]]] = [
 SPREAD_BY = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "part": "p_partkey"}
 
 
-def spread(df: DataFrame, name: str, splits: int) -> DataFrame:
+#: rows of a few bytes, each of which becomes a file that is scanned: the bytes of a split say nothing of a task's work
+ROWS_PER_TASK = {"events": 200_000}
+
+
+def spread(df: DataFrame, name: str, splits: int, rows: int = 0) -> DataFrame:
     """Rows spread over the cores where the files of a table yield fewer splits than that.
 
-    Large tables arrive in many splits and are read as they are.
+    Large tables arrive in many splits and are read as they are, but for those whose short rows take long to scan: ``rows`` of them
+    go to as many tasks as ``ROWS_PER_TASK`` says.
     """
+    if name not in SPREAD_BY:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores, SPREAD_BY[name]) if name in SPREAD_BY and splits < cores else df
+    tasks = max(2 * cores if splits < cores else 0, -(-rows // ROWS_PER_TASK[name]) if name in ROWS_PER_TASK else 0)
+    return df.repartition(tasks, SPREAD_BY[name]) if tasks > splits else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, name, df.rdd.getNumPartitions()) if name in SPREAD_BY else df
+    return spread(df, name, *sizes(df, name)) if name in SPREAD_BY else df
+
+
+def sizes(df: DataFrame, name: str) -> tuple[int, int]:
+    """Splits of a stored table and, where ``spread`` asks for it, its rows (counted by the footers of its files)."""
+    return df.rdd.getNumPartitions(), df.count() if name in ROWS_PER_TASK else 0
 
 
 def derived(df: DataFrame, keep: list[str], **columns) -> DataFrame:

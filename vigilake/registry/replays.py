@@ -36,7 +36,7 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger:
 def event_stream(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = table_stream(spark, sf_dir, "events", **options)
-    return corpora.change_events(corpora.spread(events, "events", table.rdd.getNumPartitions()))
+    return corpora.change_events(corpora.spread(events, "events", *corpora.sizes(table, "events")))
 
 
 def drain(stream: DataFrame, spark: SparkSession, folder: str, each: Callable | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def replay_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     def findings(released: DataFrame) -> DataFrame:
         # the passes of a scan read what the throttle released, not the stateful operator each for itself
         stored = materialize(released)
-        return top_findings(scan_changes(corpora.spread(stored, "events", stored.rdd.getNumPartitions()), ignores=ignores))
+        return top_findings(scan_changes(corpora.spread(stored, "events", *corpora.sizes(stored, "events")), ignores=ignores))
 
     before = spark.conf.get(live.STATE_STORE)
     spark.conf.set(live.STATE_STORE, live.ROCKS)
